@@ -12,6 +12,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 Text = Column | str
 DURATION_TOLERANCE_MS = 2500
@@ -130,7 +131,7 @@ def lab_norm_text(s: str | None) -> str:
     return re.sub(r"\s+", " ", re.sub(r"[^0-9a-z\s]", " ", plain)).strip()
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _lab_norm(s: pd.Series) -> pd.Series:
     return s.map(lab_norm_text)
 

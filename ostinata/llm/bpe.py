@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ostinata.llm.common import Scratch, table
 
@@ -42,99 +43,137 @@ def encoder(vocabulary: dict[bytes, int]):
     return tiktoken.Encoding("given", pat_str=PATTERN, mergeable_ranks=vocabulary, special_tokens={})
 
 
-def _split(parts: int):
-    """Arrow batches of (text, kept columns) to chunk rows: documents as packed word numbers, words by hash part."""
+def _tight(a: np.ndarray) -> bytes:
+    """Whole numbers below 2**32 by byte planes, compressed: most upper planes are all but empty."""
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(np.asarray(a).astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes())
+
+
+def _loose(b: bytes) -> np.ndarray:
+    import zstandard
+
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(b), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<u4").ravel()
+
+
+#: Documents in a packed row.
+_GROUP = 1000
+
+
+def _split(parts: int, kept_type: pa.DataType):
+    """Arrow batches of (text, kept columns) to chunk rows.
+
+    part -1: up to _GROUP documents; sizes are their counts of words + 1 (0 for NULL), packed the words' numbers, the commonest word's is 0.
+    part p: the distinct words of hash part p; sizes are their byte lengths, packed their bytes, steps the differences of their numbers.
+    """
+    import zstandard
 
     def run(batches):
         import regex
 
         find = regex.compile(PATTERN).findall
         task = TaskContext.get().partitionId() if TaskContext.get() else 0
-        state = {"chunk": task << 20, "chars": 0, "row": 0, "words": {}}
-
-        def words_out():
+        chunk, chars = task << 20, 0
+        words: dict[str, int] = {}
+        coded: list[np.ndarray | None] = []
+        kept: list[pa.Array] = []
+
+        def flush():
+            counts = np.zeros(len(words), np.int64)
+            for a in range(0, len(coded), _GROUP):
+                counts += np.bincount(np.concatenate([c for c in coded[a : a + _GROUP] if c is not None] or [np.zeros(0, np.uint32)]), minlength=len(words))
+            rank = np.empty(len(words), np.uint32)
+            rank[np.argsort(-counts, kind="stable")] = np.arange(len(words), dtype=np.uint32)
+            together = pa.concat_arrays(kept) if kept else pa.array([], kept_type)
+            for a in range(0, len(coded), _GROUP):
+                group = coded[a : a + _GROUP]
+                sizes = _tight(np.array([0 if c is None else len(c) + 1 for c in group], np.uint32))
+                packed = _tight(rank[np.concatenate([c for c in group if c is not None] or [np.zeros(0, np.uint32)])])
+                yield chunk_row(-1, a, sizes, packed, b"", together.slice(a, len(group)))
             by_part: list[tuple[list, list]] = [([], []) for _ in range(parts)]
-            for w, n in state["words"].items():
-                nos, ws = by_part[zlib.crc32(w.encode()) % parts]
-                nos.append(n), ws.append(w)
-            rows = [(p, np.array(nos, np.uint32).tobytes(), ws) for p, (nos, ws) in enumerate(by_part) if nos]
-            n = len(rows)
-            out = pa.RecordBatch.from_arrays(
-                [pa.array([state["chunk"]] * n, pa.int64()), pa.array([p for p, _, _ in rows], pa.int32()), pa.array([None] * n, pa.int64()), pa.array([b for _, b, _ in rows], pa.binary()), pa.array([w for _, _, w in rows], pa.list_(pa.string()))],
-                names=["chunk", "part", "row", "packed", "words"],
-            )
-            state.update(chunk=state["chunk"] + 1, chars=0, row=0, words={})
-            return out
+            for w, n in words.items():
+                raw = w.encode()
+                nos, ws = by_part[zlib.crc32(raw) % parts]
+                nos.append(n), ws.append(raw)
+            for p, (nos, ws) in enumerate(by_part):
+                if nos:
+                    mine = rank[np.array(nos)]
+                    order = np.argsort(mine)
+                    ws = [ws[i] for i in order]
+                    yield chunk_row(p, 0, _tight(np.fromiter(map(len, ws), np.uint32, len(ws))), zstandard.ZstdCompressor(level=3).compress(b"".join(ws)), _tight(np.diff(mine[order], prepend=np.uint32(0))), None)
+
+        def chunk_row(part, row, sizes, packed, steps, mine):
+            lists = pa.ListArray.from_arrays(pa.array([0, len(mine)], pa.int32()), mine) if mine is not None else pa.nulls(1, pa.list_(kept_type))
+            return pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([part], pa.int32()), pa.array([row], pa.int64()), pa.array([sizes], pa.binary()), pa.array([packed], pa.binary()), pa.array([steps], pa.binary()), lists], names=["chunk", "part", "row", "sizes", "packed", "steps", "kept"])
 
         for b in batches:
-            packed = []
-            chunks, rows = [], []
-            for t in b.column(0).to_pylist():
-                words = state["words"]
+            at, texts = 0, b.column(0)
+            mine = pa.StructArray.from_arrays([b.column(k).cast(f.type) for k, f in zip(range(1, b.num_columns), kept_type)], fields=list(kept_type))
+            for i, t in enumerate(texts.to_pylist()):
                 if t is None:
-                    packed.append(None)
+                    coded.append(None)
                 else:
                     found = find(t)
-                    packed.append(np.fromiter((words.setdefault(w, len(words)) for w in found), np.uint32, len(found)).tobytes())
-                    state["chars"] += len(t)
-                chunks.append(state["chunk"]), rows.append(state["row"])
-                state["row"] += 1
-            kept = pa.StructArray.from_arrays([b.column(k) for k in range(1, b.num_columns)], names=b.schema.names[1:])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(chunks, pa.int64()), pa.array([-1] * len(chunks), pa.int32()), pa.array(rows, pa.int64()), pa.array(packed, pa.binary()), pa.array([None] * len(chunks), pa.list_(pa.string())), kept],
-                names=["chunk", "part", "row", "packed", "words", "kept"],
-            )
-            if state["chars"] >= CHUNK_CHARS:
-                yield _with_kept(words_out(), kept.type)
-        if state["words"]:
-            yield _with_kept(words_out(), kept.type)
+                    coded.append(np.fromiter((words.setdefault(w, len(words)) for w in found), np.uint32, len(found)))
+                    chars += len(t)
+                if chars >= CHUNK_CHARS or len(coded) >= 1 << 20:
+                    kept.append(mine.slice(at, i + 1 - at))
+                    yield from flush()
+                    at, chunk, chars, words, coded, kept = i + 1, chunk + 1, 0, {}, [], []
+            kept.append(mine.slice(at))
+        if coded:
+            yield from flush()
 
     return run
 
 
-def _with_kept(batch: pa.RecordBatch, kind: pa.DataType) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([*batch.columns, pa.nulls(batch.num_rows, kind)], names=[*batch.schema.names, "kept"])
-
-
 def _encode_part(vocabulary: dict[bytes, int]):
-    """All words of one hash part: each distinct word is encoded once; (chunk, numbers, id counts, ids) by chunk."""
+    """All words of one hash part: each distinct word is encoded once; the numbers' steps, id counts and ids by chunk."""
 
     def run(t: pa.Table) -> pa.Table:
+        import zstandard
+
         encode = encoder(vocabulary).encode_ordinary
-        seen: dict[str, list[int]] = {}
-        chunks, nos, sizes, ids = [], [], [], []
-        for chunk, packed, words in zip(t.column("chunk").to_pylist(), t.column("packed").to_pylist(), t.column("words").to_pylist()):
-            out = [seen[w] if w in seen else seen.setdefault(w, encode(w)) for w in words]
-            chunks.append(chunk), nos.append(packed)
-            sizes.append(np.fromiter(map(len, out), np.uint16 if max(map(len, out)) < 65536 else np.uint32, len(out)).astype(np.uint32).tobytes())
-            ids.append(np.array([i for x in out for i in x], np.uint32).tobytes())
-        return pa.table({"chunk": pa.array(chunks, pa.int64()), "nos": pa.array(nos, pa.binary()), "sizes": pa.array(sizes, pa.binary()), "ids": pa.array(ids, pa.binary())})
+        seen: dict[bytes, list[int]] = {}
+        sizes, ids = [], []
+        for lengths, packed in zip(t.column("sizes").to_pylist(), t.column("packed").to_pylist()):
+            data = zstandard.ZstdDecompressor().decompress(packed)
+            ends = np.cumsum(_loose(lengths).astype(np.int64)).tolist()
+            out = []
+            for a, b in zip([0, *ends], ends):
+                w = data[a:b]
+                out.append(seen[w] if w in seen else seen.setdefault(w, encode(w.decode())))
+            sizes.append(_tight(np.fromiter(map(len, out), np.uint32, len(out))))
+            ids.append(_tight(np.array([i for x in out for i in x], np.uint32)))
+        return pa.table({"chunk": t.column("chunk"), "steps": t.column("steps"), "sizes": pa.array(sizes, pa.binary()), "ids": pa.array(ids, pa.binary())})
 
     return run
 
 
 def _place(documents: pa.Table, maps: pa.Table) -> pa.Table:
     """The ids of a chunk's words put at the words' positions in its documents."""
-    documents = documents.combine_chunks()
-    nos, sizes, ids = (np.concatenate([np.frombuffer(x, np.uint32) for x in maps.column(k).to_pylist()] or [np.zeros(0, np.uint32)]) for k in ("nos", "sizes", "ids"))
-    size = np.zeros(len(nos), np.int64)
+    nos = np.concatenate([np.cumsum(_loose(x), dtype=np.int64) for x in maps.column("steps").to_pylist()] or [np.zeros(0, np.int64)])
+    sizes, ids = (np.concatenate([_loose(x) for x in maps.column(k).to_pylist()] or [np.zeros(0, np.uint32)]).astype(np.int64) for k in ("sizes", "ids"))
+    size, begin = np.zeros(len(nos), np.int64), np.zeros(len(nos), np.int64)
     size[nos] = sizes
-    begin = np.zeros(len(nos), np.int64)
-    begin[nos] = np.concatenate(([0], np.cumsum(sizes[:-1], dtype=np.int64))) if len(nos) else []
+    begin[nos] = np.cumsum(sizes) - sizes
     ids = ids.astype(np.int32)
-    values, lengths, valid = [], [], []
-    for packed in documents.column("packed").to_pylist():
-        valid.append(packed is not None)
-        w = np.frombuffer(packed or b"", np.uint32)
-        n = size[w]
-        total = int(n.sum())
-        ahead = np.cumsum(n) - n
-        values.append(ids[np.repeat(begin[w] - ahead, n) + np.arange(total)])
-        lengths.append(total)
-    offsets = pa.array([None if not v else o for v, o in zip(valid, np.concatenate(([0], np.cumsum(lengths)))[:-1].tolist())] + [sum(lengths)], pa.int32())
-    lists = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(values) if values else np.zeros(0, np.int32)))
-    key = pa.array(np.array(documents.column("chunk").to_pylist(), np.int64) * (1 << 24) + np.array(documents.column("row").to_pylist(), np.int64)) if len(documents) else pa.array([], pa.int64())
-    return pa.table({"row_key": key, "kept": documents.column("kept"), "ids": lists})
+    keys, kept, lists = [], [], []
+    for chunk, row, counts, packed, mine in zip(*(documents.column(c).to_pylist() if c != "kept" else documents.column(c).combine_chunks() for c in ("chunk", "row", "sizes", "packed", "kept"))):
+        words = _loose(packed)
+        counts = _loose(counts).astype(np.int64)
+        n = size[words]
+        values = ids[np.repeat(begin[words] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+        # ids before each document's words
+        ahead = np.concatenate(([0], np.cumsum(n)))[np.concatenate(([0], np.cumsum(np.maximum(counts - 1, 0))))]
+        offsets = pa.array(ahead.astype(np.int32), mask=np.append(counts == 0, False))
+        lists.append(pa.ListArray.from_arrays(offsets, pa.array(values)))
+        keys.append(chunk * (1 << 24) + row + np.arange(len(counts)))
+        kept.append(mine.values)
+    if not keys:
+        return pa.table({"row_key": pa.array([], pa.int64()), "kept": pa.array([], documents.schema.field("kept").type.value_type), "ids": pa.array([], pa.list_(pa.int32()))})
+    return pa.table({"row_key": pa.array(np.concatenate(keys)), "kept": pa.chunked_array(kept), "ids": pa.chunked_array(lists)})
 
 
 def encode(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), path: str = VOCABULARY) -> DataFrame:
@@ -142,12 +181,13 @@ def encode(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id
     spark = docs.sparkSession
     scratch = Scratch(spark)
     chosen = docs.select(F.col(text).cast("string").alias("_t"), *[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)])
-    kinds = [chosen.schema[f"k{i}"].dataType.simpleString() for i in range(len(keep))]
-    kept = "struct<" + ", ".join(f"k{i}: {k}" for i, k in enumerate(kinds)) + ">"
+    kinds = [chosen.schema[f"k{i}"].dataType for i in range(len(keep))]
+    kept = "struct<" + ", ".join(f"k{i}: {k.simpleString()}" for i, k in enumerate(kinds)) + ">"
+    kept_type = pa.struct([pa.field(f"k{i}", to_arrow_type(k)) for i, k in enumerate(kinds)])
     parts = max(8, chosen.rdd.getNumPartitions())
-    split = scratch.keep(chosen.mapInArrow(_split(parts), f"chunk bigint, part int, row bigint, packed binary, words array<string>, kept {kept}"))
-    maps = split.where("part >= 0").select("part", "chunk", "packed", "words").groupBy("part").applyInArrow(_encode_part(ranks(path)), "chunk bigint, nos binary, sizes binary, ids binary")
-    placed = split.where("part < 0").select("chunk", "row", "packed", "kept").groupBy("chunk").cogroup(maps.groupBy("chunk")).applyInArrow(_place, f"row_key bigint, kept {kept}, ids array<int>")
+    split = scratch.keep(chosen.mapInArrow(_split(parts, kept_type), f"chunk bigint, part int, row bigint, sizes binary, packed binary, steps binary, kept array<{kept}>"))
+    maps = split.where("part >= 0").select("part", "chunk", "sizes", "packed", "steps").groupBy("part").applyInArrow(_encode_part(ranks(path)), "chunk bigint, steps binary, sizes binary, ids binary")
+    placed = split.where("part < 0").select("chunk", "row", "sizes", "packed", "kept").groupBy("chunk").cogroup(maps.groupBy("chunk")).applyInArrow(_place, f"row_key bigint, kept {kept}, ids array<int>")
     return placed.select("row_key", *[F.col(f"kept.k{i}").alias(c) for i, c in enumerate(keep)], "ids", F.size("ids").alias("n_tokens")).withColumn("n_tokens", F.when(F.col("ids").isNotNull(), F.col("n_tokens")))
 
 

@@ -146,7 +146,8 @@ def near_pairs(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding
     x = clean.select("id", "dim", "v").mapInArrow(_packed, "id bigint, dim int, x binary")
     xa = x.select(F.col("id").alias("a"), F.col("x").alias("x_a"))
     xb = x.select(F.col("id").alias("b"), F.col("x").alias("x_b"))
-    return found.join(xa, "a").join(xb, "b").select("a", "b", "x_a", "x_b").mapInArrow(_verified(cosine), "id_a bigint, id_b bigint, cosine double")
+    # the number of candidates can't be foreseen, so no side is broadcast on an estimate
+    return found.join(xa.hint("merge"), "a").join(xb.hint("merge"), "b").select("a", "b", "x_a", "x_b").mapInArrow(_verified(cosine), "id_a bigint, id_b bigint, cosine double")
 
 
 def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

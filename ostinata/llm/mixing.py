@@ -34,6 +34,8 @@ SHARD_SLOTS = 4096
 TEMPER = 0.7
 SEED = 20240229
 BUCKET_TOKENS = 1_500_000
+#: Sources up to which their table (two numbers each) is broadcast.
+BROADCAST_SOURCES = 10_000
 _FINE = 1 << 20
 _TOKEN = "[^ \\t\\n\\x0B\\f\\r]+"
 _SPACE = np.zeros(256, bool)
@@ -119,7 +121,12 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, temper: float
     based = scratch.keep(sized.withColumn("base", F.coalesce(F.sum("blocks").over(ahead), F.lit(0))))
     # one row for each source: the components of the mixture
     rows = {r["source"]: (r["tokens"], r["blocks"]) for r in per_source.join(based.groupBy("source").agg(F.sum("blocks").alias("blocks")), "source").select("source", F.col("total").alias("tokens"), "blocks").collect()}
-    blocks = laid.join(split, "source").withColumn("bucket", F.pmod(F.pmod(F.col("place"), F.lit(_FINE)), F.col("buckets"))).join(based.select("source", "bucket", "base"), ["source", "bucket"])
+    # a join on the source alone would leave a hot source's documents together: few sources are broadcast, many are shuffled apart again
+    laid = laid.join(F.broadcast(split), "source") if len(rows) <= BROADCAST_SOURCES else laid.join(split, "source")
+    laid = laid.withColumn("bucket", F.pmod(F.pmod(F.col("place"), F.lit(_FINE)), F.col("buckets"))).drop("buckets")
+    if len(rows) > BROADCAST_SOURCES:
+        laid = laid.repartition("source", "bucket")
+    blocks = laid.join(based.select("source", "bucket", "base").hint("merge"), ["source", "bucket"])
     blocks = blocks.select("source", "bucket", "base", "place", "doc_id", "lang", "text").groupBy("source", "bucket").applyInArrow(_packed(length), "source string, index bigint, lang string, n_tokens int, doc_ids array<bigint>, text string")
     share = target_weights({s: n for s, (n, _) in rows.items()}, weights, temper)
     names = sorted(share)
@@ -163,7 +170,8 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, temper: float
     before = W.partitionBy("component").orderBy("shard").rowsBetween(W.unboundedPreceding, -1)
     starts = draws.withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0))).groupBy("shard").agg(F.collect_list(F.struct("component", "first")).alias("starts"))
     places = starts.mapInArrow(slotted, "shard bigint, slot bigint, source string, epoch bigint, index bigint")
-    return places.join(blocks, ["source", "index"]).select("shard", "slot", "source", "epoch", F.col("index").alias("block"), "lang", "n_tokens", "doc_ids", "text")
+    # the optimizer can't foresee how many slots a shard's row becomes, so the join's kind isn't left to it
+    return places.join(blocks.hint("merge"), ["source", "index"]).select("shard", "slot", "source", "epoch", F.col("index").alias("block"), "lang", "n_tokens", "doc_ids", "text")
 
 
 def as_documents(mixed: DataFrame) -> DataFrame:

@@ -9,18 +9,25 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-FEATURES = T.StructType.fromDDL("bpm DOUBLE, gain DOUBLE, source STRING")
-LIST_TRACK = T.StructType.fromDDL("title STRING, artist STRING, album STRING, durationMs BIGINT, isrc STRING, ids MAP<STRING,STRING>, features STRUCT<bpm: DOUBLE, gain: DOUBLE, source: STRING>")
-LIST_DOC = T.StructType([T.StructField("name", T.StringType()), T.StructField("tracks", T.ArrayType(LIST_TRACK))])
-TRACK = T.StructType.fromDDL("title STRING, artists ARRAY<STRING>, album STRING, duration_ms BIGINT, isrc STRING, source_id STRING, source_uri STRING")
-PLAYLIST = T.StructType.fromDDL("name STRING, description STRING, kind STRING, owner_id STRING, source_id STRING").add("tracks", T.ArrayType(TRACK))
-SNAPSHOT = T.StructType.fromDDL("pulled_at TIMESTAMP, user_id STRING").add("playlists", T.ArrayType(PLAYLIST))
-MATCH = T.StructType([T.StructField("track", TRACK)] + T.StructType.fromDDL("target_id STRING, confidence STRING, method STRING, note STRING").fields)
-CATALOG = T.StructType.fromDDL("id STRING, title STRING, artist STRING, album STRING, duration_ms BIGINT, isrc STRING")
-FEATURE_CATALOG = T.StructType.fromDDL("id BIGINT, title STRING, artist STRING, album STRING, duration_sec INT, isrc STRING, bpm DOUBLE, gain DOUBLE")
-IMPORTED = T.StructType.fromDDL("title STRING, artist STRING, album STRING, duration_ms BIGINT, isrc STRING, service STRING, service_id STRING")
-REFS = T.StructType.fromDDL("playlist_id STRING, title STRING, artist STRING")
-STATE = T.StructType.fromDDL("name STRING, target_id STRING, added_ids ARRAY<STRING>, done BOOLEAN, adopted BOOLEAN")
+_S, _I, _D, _B = T.StringType(), T.LongType(), T.DoubleType(), T.BooleanType()
+
+
+def _struct(**fields: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField(k, v) for k, v in fields.items()])
+
+
+FEATURES = _struct(bpm=_D, gain=_D, source=_S)
+LIST_TRACK = _struct(title=_S, artist=_S, album=_S, durationMs=_I, isrc=_S, ids=T.MapType(_S, _S), features=FEATURES)
+LIST_DOC = _struct(name=_S, tracks=T.ArrayType(LIST_TRACK))
+TRACK = _struct(title=_S, artists=T.ArrayType(_S), album=_S, duration_ms=_I, isrc=_S, source_id=_S, source_uri=_S)
+PLAYLIST = _struct(name=_S, description=_S, kind=_S, owner_id=_S, source_id=_S, tracks=T.ArrayType(TRACK))
+SNAPSHOT = _struct(pulled_at=T.TimestampType(), user_id=_S, playlists=T.ArrayType(PLAYLIST))
+MATCH = _struct(track=TRACK, target_id=_S, confidence=_S, method=_S, note=_S)
+CATALOG = _struct(id=_S, title=_S, artist=_S, album=_S, duration_ms=_I, isrc=_S)
+FEATURE_CATALOG = _struct(id=_I, title=_S, artist=_S, album=_S, duration_sec=T.IntegerType(), isrc=_S, bpm=_D, gain=_D)
+IMPORTED = _struct(title=_S, artist=_S, album=_S, duration_ms=_I, isrc=_S, service=_S, service_id=_S)
+REFS = _struct(playlist_id=_S, title=_S, artist=_S)
+STATE = _struct(name=_S, target_id=_S, added_ids=T.ArrayType(_S), done=_B, adopted=_B)
 
 KINDS = ("owned", "followed", "liked_songs")
 CONFIDENCES = ("exact", "high", "low", "none")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ostinata import model
 from ostinata.functions import text as tx
@@ -38,7 +39,7 @@ def read_library(spark: SparkSession, folder: str) -> DataFrame:
 
 def read_tolerant(spark: SparkSession, path: str, name: str) -> DataFrame:
     """One row with the list that imports merge into: what the file has, or nothing if it is missing or malformed; always under the given name."""
-    empty = spark.createDataFrame([([],)], model.LIST_DOC.__class__([model.LIST_DOC["tracks"]]))
+    empty = spark.createDataFrame([([],)], T.StructType([model.LIST_DOC["tracks"]]))
     got = spark.read.schema(model.LIST_DOC).option("multiLine", True).option("mode", "PERMISSIVE").json(path).select("tracks") if _exists(spark, path) else empty
     return got.select(F.lit(name).alias("name"), F.coalesce("tracks", F.array().cast(model.LIST_DOC["tracks"].dataType)).alias("tracks"))
 
