@@ -19,6 +19,13 @@ def flatten(playlists: DataFrame, *keys: str, tracks: str = "tracks") -> DataFra
     return playlists.select(*keys, F.posexplode(tracks).alias("pos", "track")).select(*keys, "pos", "track.*")
 
 
+def in_order(position: str, value: Column | str) -> Column:
+    """Aggregate: the values as an array by position; values may be of any type, maps included."""
+    pairs = F.collect_list(F.struct(F.col(position).alias("p"), (F.col(value) if isinstance(value, str) else value).alias("v")))
+    by_position = F.array_sort(pairs, lambda a, b: F.when(a["p"] < b["p"], -1).when(a["p"] > b["p"], 1).otherwise(0))
+    return F.transform(by_position, lambda x: x["v"])
+
+
 def with_key(tracks: DataFrame, isrc: str = "isrc", title: str = "title", artists: str = "artists") -> DataFrame:
     return tracks.withColumn("key", tx.match_key(isrc, title, artists))
 
@@ -60,9 +67,9 @@ def pull(playlists: DataFrame, items: DataFrame, liked: DataFrame, user: str, ow
     """
     kept = F.expr("track IS NOT NULL AND coalesce(type, '') IN ('', 'track')")
     p = playlists.where(F.col("owner_id") == user) if owned_only else playlists
-    lists = items.where(kept).groupBy(F.col("playlist_id").alias("id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "track"))), lambda x: x["track"]).alias("tracks"))
+    lists = items.where(kept).groupBy(F.col("playlist_id").alias("id")).agg(in_order("pos", "track").alias("tracks"))
     own = p.join(lists, "id", "left").select("ord", "name", "description", F.when(F.col("owner_id") == user, F.lit("owned")).otherwise(F.lit("followed")).alias("kind"), "owner_id", F.col("id").alias("source_id"), F.coalesce("tracks", F.array().cast(dict(lists.dtypes)["tracks"])).alias("tracks"))
-    songs = liked.where(kept).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "track"))), lambda x: x["track"]).alias("tracks")).where("size(tracks) > 0")
+    songs = liked.where(kept).agg(in_order("pos", "track").alias("tracks")).where("size(tracks) > 0")
     last = songs.select(F.lit((1 << 62)).alias("ord"), F.lit(LIKED).alias("name"), F.lit(None).cast("string").alias("description"), F.lit("liked_songs").alias("kind"), F.lit(user).alias("owner_id"), F.lit(None).cast("string").alias("source_id"), "tracks")
     return own.unionByName(last)
 

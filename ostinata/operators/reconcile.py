@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ostinata.functions import text as tx
-from ostinata.operators.library import first_by
+from ostinata.operators.library import first_by, in_order
 
 ADD_BATCH = 100
 
@@ -16,7 +16,7 @@ def desired(members: DataFrame, resolved: DataFrame, playlist: str = "name") ->
     """playlist, desired ids: targets of the members in order, unresolved ones dropped, each target once."""
     hit = members.join(resolved, "key").where("coalesce(target_id, '') <> ''")
     once = first_by(hit.select(playlist, "pos", "target_id"), [playlist, "target_id"], ["pos"])
-    return once.groupBy(playlist).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "target_id"))), lambda x: x["target_id"]).alias("desired"))
+    return once.groupBy(playlist).agg(in_order("pos", "target_id").alias("desired"))
 
 
 def reconcile(rows: DataFrame, recorded: str = "recorded", wanted: str = "desired") -> DataFrame:
@@ -64,7 +64,7 @@ def push_plan(playlists: DataFrame, members: DataFrame, resolved: DataFrame, sta
     rec = want.join(state.select("name", F.col("added_ids").alias("recorded"), "adopted"), "name", "left").join(act, "name")
     by_record = reconcile(rec)
     added = state.select("name", F.explode("added_ids").alias("target_id"))
-    lacking = missing_from_library(members, resolved, refs, added).groupBy("name").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "target_id"))), lambda x: x["target_id"]).alias("lacking"))
+    lacking = missing_from_library(members, resolved, refs, added).groupBy("name").agg(in_order("pos", "target_id").alias("lacking"))
     none = F.array().cast("array<string>")
     diff = (F.col("action") == "adopt") | F.coalesce("adopted", F.lit(False))
     out = by_record.join(lacking, "name", "left")

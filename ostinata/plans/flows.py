@@ -17,7 +17,7 @@ from ostinata.sources.tables import ImportSource, TablePort
 
 def match_library(playlists: DataFrame, port: TablePort, prior: DataFrame | None = None) -> DataFrame:
     """key, ord, title, artists, target_id, confidence, method, note of all unique tracks of a library(ord, name, tracks)."""
-    members = lb.with_key(lb.flatten(playlists, F.col("ord").alias("list_ord")).withColumnRenamed("list_ord", "lo"))
+    members = lb.with_key(lb.flatten(playlists, "ord").withColumnRenamed("ord", "lo"))
     unique = lb.first_by(members, ["key"], ["lo", "pos"])
     unique = lb.with_ids(unique, ["lo", "pos"], "ord")
     none = unique.sparkSession.createDataFrame([], "key string, target_id string, confidence string, method string, note string")
@@ -41,7 +41,7 @@ def create(name: str, tracks: DataFrame, state: DataFrame, port: TablePort) -> D
     if not name:
         raise ValueError("a name is required")
     full = tracks.select("pos", F.struct("title", "artists", F.lit(None).cast("string").alias("album"), F.lit(None).cast("bigint").alias("duration_ms"), F.lit(None).cast("string").alias("isrc"), F.lit(None).cast("string").alias("source_id"), F.lit(None).cast("string").alias("source_uri")).alias("t"))
-    one = full.agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "t"))), lambda x: x["t"]).alias("tracks")).select(F.lit(0).cast("bigint").alias("ord"), F.lit(name).alias("name"), "tracks")
+    one = full.agg(lb.in_order("pos", "t").alias("tracks")).select(F.lit(0).cast("bigint").alias("ord"), F.lit(name).alias("name"), "tracks")
     return push(one, match_library(one, port), state, port)
 
 

@@ -175,7 +175,7 @@ def reconcile_prefix(spark, sf):
 
 _RECON = f"""WITH {_M}, {_R}, {_WANT}, q AS (SELECT basket, desired, CASE WHEN basket % 3 = 0 THEN desired[1:2] WHEN basket % 3 = 1 THEN desired[2:21] ELSE []::VARCHAR[] END AS recorded FROM w),
 p AS (SELECT *, len(recorded) <= len(desired) AND desired[1:len(recorded)] = recorded AS ordered FROM q)
-SELECT basket, array_to_string(CASE WHEN ordered THEN desired[len(recorded) + 1:] ELSE list_filter(desired, x -> NOT list_contains(recorded, x)) END, ',') AS to_add, ordered FROM p"""
+SELECT basket, array_to_string(CASE WHEN ordered THEN desired[len(recorded) + 1:] ELSE list_filter(desired, lambda x: NOT list_contains(recorded, x)) END, ',') AS to_add, ordered FROM p"""
 
 
 def adopt_diff(spark, sf):

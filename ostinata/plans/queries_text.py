@@ -222,7 +222,7 @@ SQL = {
     "slugify": f"SELECT page_id, {slug_sql('url')} AS slug FROM pages",
     "lab_norm": r"SELECT doc_id, trim(regexp_replace(regexp_replace(lower(strip_accents(text)), '[^0-9a-z\s]', ' ', 'g'), '\s+', ' ', 'g')) AS norm FROM documents",
     "split_line": _split_sql(),
-    "artist_split": "SELECT doc_id, array_to_string(list_filter(list_transform(string_split(text, ','), x -> " + strip_sql("x") + "), x -> x <> ''), '|') AS names FROM documents",
+    "artist_split": "SELECT doc_id, array_to_string(list_filter(list_transform(string_split(text, ','), lambda x: " + strip_sql("x") + "), lambda x: x <> ''), '|') AS names FROM documents",
     "truncated": "SELECT doc_id, CASE WHEN length(text) > 40 THEN substr(text, 1, 39) || '…' ELSE text END AS title FROM documents",
     "match_keys": f"SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 'isrc:' || upper(p_brand || '-' || CAST(p_partkey AS VARCHAR)) ELSE 'tt:' || {norm_sql('p_name')} || '|' || {norm_sql("p_brand || ' ' || p_type")} END AS key, {norm_sql('p_name')} || '|' || {norm_sql('p_brand')} AS ref FROM part",
     "title_scores": f"WITH {_PAIRS} SELECT p_partkey, kind, {title_sql('source', 'cand')} AS score, {contains_sql('c_artist', 's_artist')} AS artist FROM pairs",

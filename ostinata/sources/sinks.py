@@ -6,13 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ostinata.functions import text as tx
+from ostinata.operators.library import in_order
 from ostinata.operators.reconcile import batches
 
 
 def assembled(members: DataFrame, key: str = "slug", name: str = "name") -> DataFrame:
     """key, name, tracks of lists from their members (key, name, pos, track fields)."""
     fields = [c for c in members.columns if c not in (key, name, "pos")]
-    return members.groupBy(key, name).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.struct(*fields).alias("t")))), lambda x: x["t"]).alias("tracks"))
+    return members.groupBy(key, name).agg(in_order("pos", F.struct(*fields)).alias("tracks"))
 
 
 def write_lists(lists: DataFrame, folder: str) -> None:
@@ -26,7 +27,7 @@ def overwrite(df: DataFrame, path: str) -> None:
 
 def save_snapshot(playlists: DataFrame, user: str, path: str) -> None:
     """The library as one object with its time of pulling."""
-    order = F.transform(F.array_sort(F.collect_list(F.struct("ord", F.struct("name", "description", "kind", "owner_id", "source_id", "tracks").alias("p")))), lambda x: x["p"])
+    order = in_order("ord", F.struct("name", "description", "kind", "owner_id", "source_id", "tracks"))
     overwrite(playlists.agg(order.alias("playlists")).select(F.current_timestamp().alias("pulled_at"), F.lit(user).alias("user_id"), "playlists"), path)
 
 
