@@ -45,6 +45,8 @@ SHARP = 4
 FLOOR = 0.55
 #: Distinct words whose margins a worker remembers; beyond that it forgets them and evaluates anew.
 MEMORY = 300_000
+#: Words and documents that are worked on at a time.
+STEP_WORDS, STEP_DOCS = 10_000, 100
 
 _END = re.compile(r"(?<=[.!?])[ \t\r\f\v]+|[\n  ]+")
 _LONE = re.compile(r"(?<!\S)(?:[^\W\d_][ \t]+){2,}[^\W\d_](?!\S)")
@@ -131,6 +133,12 @@ class Kernel:
 
     def __call__(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(indices of the words with a kernel value over the floor, their values); all others have zeros."""
+        parts = [(a, *self._step(words[a : a + STEP_WORDS])) for a in range(0, len(words), STEP_WORDS)]
+        if not parts:
+            return np.zeros(0, np.int64), np.zeros((0, self.size), np.float32)
+        return np.concatenate([a + rows for a, rows, _ in parts]), np.concatenate([values for _, _, values in parts])
+
+    def _step(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         at, idx, wt = triples(words)
         bound = np.bincount(at, weights=wt * self.most[idx], minlength=len(words))
         norm = np.sqrt(np.bincount(at, weights=wt * wt, minlength=len(words)))
@@ -176,20 +184,21 @@ class Machine:
         if len(self.margins) + len(new) > MEMORY:
             self.margins.clear()
             new = list(tokens)
-        for k in range(0, len(new), 50_000):
-            part = new[k : k + 50_000]
-            read: dict[bytes, list[str]] = {}
-            for t in part:
-                read.setdefault(read_word(t), []).append(t)
-            self.margins.update(dict.fromkeys(part, 0.0))
-            words = list(read)
-            rows, values = self.kernel(words)
-            for i, g in zip(rows.tolist(), (values @ self.alpha).tolist()):
-                for t in read[words[i]]:
-                    self.margins[t] = g
+        read: dict[bytes, list[str]] = {}
+        for t in new:
+            read.setdefault(read_word(t), []).append(t)
+        self.margins.update(dict.fromkeys(new, 0.0))
+        words = list(read)
+        rows, values = self.kernel(words)
+        for i, g in zip(rows.tolist(), (values @ self.alpha).tolist()):
+            for t in read[words[i]]:
+                self.margins[t] = g
 
     def counts(self, texts: list[str]) -> list[tuple[int, int, float]]:
         """(toxic sentences, sentences, sum of the toxic sentences' margins) of each text."""
+        return [c for a in range(0, len(texts), STEP_DOCS) for c in self._counts(texts[a : a + STEP_DOCS])]
+
+    def _counts(self, texts: list[str]) -> list[tuple[int, int, float]]:
         split = [_sentences(t) for t in texts]
         tokens: set[str] = set()
         for s in split:
@@ -213,12 +222,12 @@ def _rule_terms(toxic: int, all_: int, margin: float) -> list[float]:
     return [np.log1p(toxic), np.log1p(margin), np.log1p(all_), 1.0]
 
 
-def _svm(x: np.ndarray, y: np.ndarray, steps: int = 300, penalty: float = 2e-5) -> tuple[np.ndarray, float]:
-    """Linear machine with squared hinge loss by Adam; classes weigh in by the square root of their share."""
+def _svm(x: np.ndarray, y: np.ndarray, times: np.ndarray, steps: int = 300, penalty: float = 2e-5) -> tuple[np.ndarray, float]:
+    """Linear machine with squared hinge loss by Adam; a row counts `times` times, and classes weigh in by the square root of their share."""
     w = np.zeros(x.shape[1] + 1)
     xb = np.hstack([x, np.ones((len(x), 1))])
     s = np.where(y == 1, 1.0, -1.0)
-    weight = np.where(y == 1, np.sqrt((y == 0).sum() / max(1, (y == 1).sum())), 1.0)
+    weight = times * np.where(y == 1, np.sqrt(times[y == 0].sum() / max(1, times[y == 1].sum())), 1.0)
     weight /= weight.sum()
     m, v = np.zeros_like(w), np.zeros_like(w)
     for t in range(1, steps + 1):
@@ -244,12 +253,16 @@ def fit(texts: list[str], toxic: list[int]) -> Machine | None:
     for s, label in zip(docs, y):
         seen[label].update({w for words in s for w in words})
     n = np.bincount(y, minlength=2)
-    odds = {w: np.log(((c + 0.5) / (n[1] + 1)) / ((seen[0][w] + 0.5) / (n[0] + 1))) for w, c in seen[1].items()}
-    surplus = {w: (c - seen[0][w] * n[1] / n[0]) / np.sqrt(c + seen[0][w] * n[1] / n[0]) for w, c in seen[1].items()}
+    judged = []  # (surplus, word) of words that toxic documents have more than 4 times as often
+    for w, c in seen[1].items():
+        other = seen[0][w]
+        if np.log(((c + 0.5) / (n[1] + 1)) / ((other + 0.5) / (n[0] + 1))) > 1.5:
+            judged.append(((c - other * n[1] / n[0]) / np.sqrt(c + other * n[1] / n[0]), w))
+    judged.sort(key=lambda p: (-p[0], p[1]))
     marked: list[bytes] = []
     for least in (2.2, 1.7):  # the lower bound is for small samples
         if len(marked) < 8:
-            marked = sorted((w for w in odds if surplus[w] >= least and odds[w] > 1.5), key=lambda w: (-surplus[w], w))
+            marked = [w for x, w in judged if x >= least]
     if not marked:
         return None
     sharp = set(marked)
@@ -265,26 +278,33 @@ def fit(texts: list[str], toxic: list[int]) -> Machine | None:
     full[rows] = square
     val, vec = np.linalg.eigh((full + full.T) / 2)
     root = vec @ np.diag(1 / np.sqrt(np.maximum(val, 1e-3))) @ vec.T
-    words = sorted({w for s in docs for ws in s for w in ws})
-    number = {w: i for i, w in enumerate(words)}
+    words = sorted(seen[0].keys() | seen[1].keys())
     rows, values = kernel(words)
-    mapped = np.zeros((len(words), len(landmarks)), np.float32)
-    mapped[rows] = values @ root.astype(np.float32)
-    feats, label, toxic_doc, hit = [], [], [], []
+    mapped = values @ root.astype(np.float32)
+    number = {words[i]: k for k, i in enumerate(rows.tolist())}
+    feats, label, toxic_doc, empties = [], [], [], 0
     for s, d in zip(docs, y):
         for ws in s:
-            at = [number[w] for w in ws]
-            f = mapped[at].sum(0) if at else np.zeros(len(landmarks), np.float32)
-            feats.append(f)
-            label.append(int(d == 1 and any(w in sharp for w in ws)))
-            toxic_doc.append(d == 1)
+            at = [number[w] for w in ws if w in number]
+            marked_ = d == 1 and any(w in sharp for w in ws)
+            if not at and d != 1:
+                empties += 1
+            elif at or marked_:
+                feats.append(mapped[at].sum(0))
+                label.append(int(marked_))
+                toxic_doc.append(d == 1)
+    # clean sentences without any kernel value are alike: one row stands for them, with a tenth of their weight
+    feats.append(np.zeros(len(landmarks), np.float32))
+    label.append(0)
+    toxic_doc.append(False)
     feats, label, toxic_doc = np.array(feats), np.array(label), np.array(toxic_doc)
-    empty = ~feats.any(1) & ~toxic_doc  # sentences without any kernel value are alike; a tenth of them will do
-    use = (label == 1) | (~toxic_doc & ~(empty & (np.arange(len(empty)) % 10 > 0)))
-    beta, bias = _svm(feats[use], label[use])
+    times = np.ones(len(label))
+    times[-1] = empties / 10
+    use = (label == 1) | ~toxic_doc
+    beta, bias = _svm(feats[use], label[use], times[use])
     label = np.where(toxic_doc, (feats @ beta + bias > 0) | (label == 1), 0)
-    use = (label == 1) | use & ~toxic_doc
-    beta, bias = _svm(feats[use], label[use])
+    use = (label == 1) | ~toxic_doc
+    beta, bias = _svm(feats[use], label[use], times[use])
     machine = Machine(kernel, (root @ beta).astype(np.float32), bias)
     counts = machine.counts(texts)
     some = np.array([c[0] > 0 for c in counts])  # the others aren't toxic, whatever the rule
