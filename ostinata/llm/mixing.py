@@ -1,7 +1,7 @@
 """Mixing sources to target weights in fixed-length token blocks.
 
 Tokens are maximal runs of characters other than ASCII white space. Each source's documents are laid
-out in hash order in buckets of about BUCKET_TOKENS tokens, and each bucket is cut into blocks of
+out in hash order (of the doc_id, or of the text where there is none) in buckets of about BUCKET_TOKENS tokens, and each bucket is cut into blocks of
 `length` tokens (its last block may be shorter), so that packing is parallel within a hot source too. A
 block's index counts through its source's buckets. For each output shard of `shard_slots` slots a
 multinomial draw says how many slots each source gets; the n-th slot of a source over all shards takes
@@ -78,7 +78,7 @@ def pack(texts: list[str], length: int) -> list[tuple[str, int, list[int]]]:
 
 def _laid_out(docs: DataFrame) -> DataFrame:
     text = F.col("text").cast("string")
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text.alias("text"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source")).where("text IS NOT NULL").withColumn("place", F.xxhash64(F.lit(SEED), "doc_id"))
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text.alias("text"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source")).where("text IS NOT NULL").withColumn("place", F.when(F.col("doc_id").isNull(), F.xxhash64(F.lit(SEED), "text")).otherwise(F.xxhash64(F.lit(SEED), "doc_id")))
 
 
 def _packed(length: int):
