@@ -45,6 +45,8 @@ SHARP = 4
 FLOOR = 0.55
 #: Distinct words whose margins a worker remembers; beyond that it forgets them and evaluates anew.
 MEMORY = 300_000
+#: Words in a sentence; a longer one is read as several, so that small margins of very many words don't add up.
+SPAN = 64
 #: Words and documents that are worked on at a time.
 STEP_WORDS, STEP_DOCS = 10_000, 100
 
@@ -165,7 +167,7 @@ class Kernel:
 def _sentences(text: str) -> list[list[str]]:
     if " " in text and _LONE.search(text):
         text = _LONE.sub(lambda m: "".join(m.group().split()), text)
-    return [w for s in _END.split(text) if (w := s.split())]
+    return [w[a : a + SPAN] for s in _END.split(text) if (w := s.split()) for a in range(0, len(w), SPAN)]
 
 
 @dataclass
