@@ -244,10 +244,9 @@ def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of docs that stay: one for each group, and rows without a doc_id."""
     gone = groups(docs).where("NOT keep").select("doc_id")
-    stay = docs.where("doc_id IS NOT NULL").join(gone, "doc_id", "left_anti").select(*docs.columns)
-    # rows that share a doc_id are one document: of these the first in the order of its columns' hash stays
-    repeated = docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
-    single = stay.join(repeated, "doc_id", "left_anti").select(*docs.columns)
-    several = stay.join(repeated, "doc_id", "left_semi")
-    several = several.groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("row")).select("row.*")
-    return single.unionByName(several).unionByName(docs.where("doc_id IS NULL"))
+    # rows that share a doc_id are one document: of these the first in the order of its columns' hash stays.
+    # grouped and joined by the same key, so texts are moved once
+    others = [c for c in docs.columns if c != "doc_id"]
+    first = docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min_by(F.struct(*others), F.xxhash64(*others)).alias("row"))
+    stay = first.join(gone, "doc_id", "left_anti").select("doc_id", "row.*").select(*docs.columns)
+    return stay.unionByName(docs.where("doc_id IS NULL"))
