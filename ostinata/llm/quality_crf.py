@@ -28,6 +28,8 @@ from ostinata.llm.common import batches_of, labelled_sample, run_bounds, span_ha
 #: Labelled documents of each class that the field is fitted on, at most.
 PER_CLASS = 1500
 SEED = 71
+#: Characters of text whose features are worked out at a time.
+STEP_CHARS = 1_000_000
 _OWN = 16
 
 _CLASS = np.zeros(256, np.uint8)  # 0 other, 1 lower or non-ASCII, 2 upper, 3 digit, 4 space, 5 sentence mark, 6 symbol
@@ -94,6 +96,14 @@ def line_features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return x, size, counts
 
 
+def line_features_in_steps(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same for texts of any number, with the memory of STEP_CHARS of text."""
+    parts = [line_features(texts[a:b]) for a, b in batches_of(texts, STEP_CHARS)]
+    if not parts:
+        return line_features([])
+    return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]), np.concatenate([p[2] for p in parts])
+
+
 def with_neighbours(x: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """Own features, those of the lines before and after (zeros and a flag at a text's ends) and a constant."""
     n = len(x)
@@ -160,6 +170,10 @@ class Field:
     threshold: float
 
     def quality(self, texts: list[str]) -> np.ndarray:
+        steps = [self._step(texts[a:b]) for a, b in batches_of(texts, STEP_CHARS)]
+        return np.concatenate(steps) if steps else np.zeros(0)
+
+    def _step(self, texts: list[str]) -> np.ndarray:
         x, size, counts = line_features(texts)
         if not len(x):
             return np.zeros(len(texts))
@@ -195,7 +209,7 @@ def fit(texts: list[str], good: list[int]) -> Field | None:
     good_a = np.asarray(good, np.int64)
     if not len(good_a) or good_a.min() == good_a.max():
         return None
-    own, size, counts = line_features(texts)
+    own, _, counts = line_features_in_steps(texts)
     if not len(own):
         return None
     x = with_neighbours(own, counts)
@@ -236,10 +250,7 @@ def quality(field: Field | None, text: Column | str) -> Column:
         there = texts.notna().to_numpy()
         known = texts[there].tolist()
         out = np.full(len(texts), np.nan)
-        got = np.zeros(len(known))
-        for a, b in batches_of(known, 2_000_000):
-            got[a:b] = field.quality(known[a:b])
-        out[there] = got
+        out[there] = field.quality(known)
         return pd.Series(out).astype("object").where(there, None)
 
     return score(text)
