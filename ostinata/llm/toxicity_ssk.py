@@ -10,6 +10,11 @@ sentence and a landmark word is the sum over the sentence's words, so a sentence
 K(sentence, Z) K(Z, Z)^(-1/2) and its margin are sums over words, and each distinct word of a batch is
 evaluated once.
 
+A word with more letters inserted than the kernel bridges (INSERTED in all, or one at most in each gap, as in
+"ixdxixoxt") reads as the marked word that is left without them, if it begins and ends like it. Words that clean
+documents of the sample have as often as toxic ones are exempt; a clean word of this form that the sample
+doesn't hold is taken for the insult.
+
 Training: labels belong to documents. Sentences of clean documents are clean; a sentence of a toxic
 document is toxic where it has a word that is much more common in toxic documents than in clean ones,
 and after the first fit where its margin is positive; the rest of a toxic document is left out.
@@ -40,6 +45,8 @@ from ostinata.llm.common import labelled_sample, table
 PER_CLASS = 2000
 SEED = 53
 LANDMARKS = 96
+#: Letters that may be inserted anywhere within a marked word, and the letters it has at least for that.
+INSERTED, STEM = 2, 4
 DECAY = 0.7
 SHARP = 4
 FLOOR = 0.55
@@ -82,6 +89,31 @@ def read_word(token: str) -> bytes:
     return b"\x1c" + core.translate(_CODES).encode("latin-1") + b"\x1d"
 
 
+def readings(token: str) -> list[bytes]:
+    """The words that a token may be: one, or several of a joined run."""
+    return [read_word(x) for x in token.split("\0")] if "\0" in token else [read_word(token)]
+
+
+class Inserted:
+    """Words to the marked words that they are with letters put in between; others to themselves."""
+
+    def __init__(self, marked: list[bytes], exempt: set[bytes] = frozenset()):
+        self.exempt = exempt | set(marked)
+        self.by_ends: dict[bytes, list[tuple[bytes, re.Pattern, re.Pattern]]] = {}
+        for m in marked:
+            if len(m) >= STEM + 2:
+                letters = [re.escape(m[i : i + 1]) for i in range(1, len(m) - 1)]
+                loose, tight = (re.compile(b"\x1c" + gap.join(letters) + b"\x1d", re.DOTALL) for gap in (b".{0,%d}" % INSERTED, b".?"))
+                self.by_ends.setdefault(m[1:2] + m[-2:-1], []).append((m, loose, tight))
+
+    def __call__(self, w: bytes) -> bytes:
+        some = self.by_ends.get(w[1:2] + w[-2:-1])
+        if not some or w in self.exempt:
+            return w
+        found = [m for m, loose, tight in some if len(m) < len(w) < 2 * len(m) - 2 and (len(w) - len(m) <= INSERTED and loose.fullmatch(w) or tight.fullmatch(w))]
+        return max(found, key=len) if found else w
+
+
 def triples(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(word, triple, weight) of every gapped triple; a triple may come up more than once in a word."""
     pad = b"\0\0\0\0"
@@ -165,6 +197,7 @@ class Kernel:
 
 
 def _sentences(text: str) -> list[list[str]]:
+    text = text.replace("\0", "")
     if " " in text and _LONE.search(text):
         text = _LONE.sub(lambda m: "".join(m.group().split()), text)
     return [w[a : a + SPAN] for s in _END.split(text) if (w := s.split()) for a in range(0, len(w), SPAN)]
@@ -173,6 +206,7 @@ def _sentences(text: str) -> list[list[str]]:
 @dataclass
 class Machine:
     kernel: Kernel
+    plain: Inserted
     alpha: np.ndarray
     bias: float
     rule: tuple[float, ...] = (0.0, 0.0, 0.0, 0.0)
@@ -187,14 +221,24 @@ class Machine:
             self.margins.clear()
             new = list(tokens)
         read: dict[bytes, list[str]] = {}
+        several = []
         for t in new:
-            read.setdefault(read_word(t), []).append(t)
+            if "\0" in t:
+                several.append((t, [self.plain(w) for w in readings(t)]))
+                for w in several[-1][1]:
+                    read.setdefault(w, [])
+            else:
+                read.setdefault(self.plain(read_word(t)), []).append(t)
         self.margins.update(dict.fromkeys(new, 0.0))
         words = list(read)
         rows, values = self.kernel(words)
+        found = {}
         for i, g in zip(rows.tolist(), (values @ self.alpha).tolist()):
+            found[words[i]] = g
             for t in read[words[i]]:
                 self.margins[t] = g
+        for t, ws in several:
+            self.margins[t] = max(found.get(w, 0.0) for w in ws)
 
     def counts(self, texts: list[str]) -> list[tuple[int, int, float]]:
         """(toxic sentences, sentences, sum of the toxic sentences' margins) of each text."""
@@ -246,14 +290,14 @@ def fit(texts: list[str], toxic: list[int]) -> Machine | None:
     y = np.asarray(toxic, np.int64)
     if not len(y) or y.min() == y.max():
         return None
-    read: dict[str, bytes] = {}
+    read: dict[str, list[bytes]] = {}
     docs = []
     for t in texts:
-        s = [[read[w] if w in read else read.setdefault(w, read_word(w)) for w in words] for words in _sentences(t)]
-        docs.append([[w for w in words if len(w) > 3] for words in s])
+        s = [[read[w] if w in read else read.setdefault(w, readings(w)) for w in words] for words in _sentences(t)]
+        docs.append([[r for r in words if len(r[0]) > 3] for words in s])
     seen = [Counter(), Counter()]
     for s, label in zip(docs, y):
-        seen[label].update({w for words in s for w in words})
+        seen[label].update({r[0] for words in s for r in words})
     n = np.bincount(y, minlength=2)
     judged = []  # (surplus, word) of words that toxic documents have more than 4 times as often
     for w, c in seen[1].items():
@@ -268,6 +312,10 @@ def fit(texts: list[str], toxic: list[int]) -> Machine | None:
     if not marked:
         return None
     sharp = set(marked)
+    plain = Inserted(marked)
+    plain.exempt |= {w for w, c in seen[0].items() if plain(w) != w and c * n[1] >= seen[1][w] * n[0]}
+    for s in docs:
+        s[:] = [[next((p for w in r if (p := plain(w)) in sharp), r[0]) for r in words] for words in s]
     # landmarks: marked words, and common clean words that share their triples
     clean = [w for w, _ in sorted(seen[0].items(), key=lambda p: (-p[1], p[0])) if w not in sharp and seen[0][w] >= 3]
     landmarks = marked[: LANDMARKS * 5 // 6]
@@ -280,7 +328,7 @@ def fit(texts: list[str], toxic: list[int]) -> Machine | None:
     full[rows] = square
     val, vec = np.linalg.eigh((full + full.T) / 2)
     root = vec @ np.diag(1 / np.sqrt(np.maximum(val, 1e-3))) @ vec.T
-    words = sorted(seen[0].keys() | seen[1].keys())
+    words = sorted({w for s in docs for ws in s for w in ws})
     rows, values = kernel(words)
     mapped = values @ root.astype(np.float32)
     number = {words[i]: k for k, i in enumerate(rows.tolist())}
@@ -307,7 +355,7 @@ def fit(texts: list[str], toxic: list[int]) -> Machine | None:
     label = np.where(toxic_doc, (feats @ beta + bias > 0) | (label == 1), 0)
     use = (label == 1) | ~toxic_doc
     beta, bias = _svm(feats[use], label[use], times[use])
-    machine = Machine(kernel, (root @ beta).astype(np.float32), bias)
+    machine = Machine(kernel, plain, (root @ beta).astype(np.float32), bias)
     counts = machine.counts(texts)
     some = np.array([c[0] > 0 for c in counts])  # the others aren't toxic, whatever the rule
     z, y = np.array([_rule_terms(*c) for c in counts])[some].reshape(-1, 4), y[some]

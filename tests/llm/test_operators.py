@@ -240,6 +240,30 @@ def test_toxicity_on_held_out_documents(big):
         assert m.counts([text])[0][0] == 1
 
 
+FRAMES = ["what {} you are", "quel {} tu es", "was für {} du bist", "qué {} eres tú"]
+STEMS = "idiot moron scum clown loser trash stupid pathetic worthless disgusting".split()
+
+
+@pytest.fixture(scope="module")
+def machine(big):
+    d = big[big.toxic.notna()]
+    return toxicity_ssk.fit(d.text.tolist(), d.toxic.astype(int).tolist())
+
+
+def caught(machine, frame, words):
+    return np.mean([machine.counts([frame.format(w)])[0][0] > 0 for w in words])
+
+
+@pytest.mark.parametrize("frame", FRAMES)
+def test_toxicity_of_inserted_letters(machine, frame):
+    half = [(s[: len(s) // 2], s[len(s) // 2 :]) for s in STEMS]
+    assert caught(machine, frame, [a + "x" + b for a, b in half]) >= 0.9
+    assert caught(machine, frame, [a + "xq" + b for a, b in half]) >= 0.9
+    assert caught(machine, frame, [s[0] + "x" + s[1:-1] + "q" + s[-1] for s in STEMS]) >= 0.9
+    assert caught(machine, frame, ["x".join(s) for s in STEMS]) >= 0.9
+    assert caught(machine, frame, ["spectrum", "station", "football", "leisure", "transhumance"]) == 0
+
+
 def test_toxicity_of_odd_rows(spark, sf):
     m = toxicity_ssk.train(spark, sf)
     out = toxicity_ssk.classify(odd_docs(spark, ODD), m).toPandas()
