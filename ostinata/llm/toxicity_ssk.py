@@ -2,7 +2,8 @@
 
 A word is read as its letters between a begin and an end mark: lower case, accents removed, digits
 and signs that stand for letters replaced, other signs dropped ("i.d.1-o.t" reads as "idiot"), and
-runs of single letters joined ("i d i o t"). Its subsequences are triples of letters that span five
+runs of single letters and such signs joined ("i d 1 o t."); as a word of one letter may stand beside such a run,
+it is also read without its first letter, its last and both, and the highest margin counts. Its subsequences are triples of letters that span five
 places or fewer; a triple counts DECAY to the power of its gaps, so that an inserted letter weakens a
 match and doesn't destroy it. The word kernel is the cosine of these triples to the power SHARP; values of less
 than FLOOR to that power count as 0, so that a cheap upper bound can pass over most words. The kernel of a
@@ -58,7 +59,7 @@ SPAN = 64
 STEP_WORDS, STEP_DOCS = 10_000, 100
 
 _END = re.compile(r"(?<=[.!?])[ \t\r\f\v]+|[\n  ]+")
-_LONE = re.compile(r"(?<!\S)(?:[^\W\d_][ \t]+){2,}[^\W\d_](?!\S)")
+_LONE = re.compile(r"(?<!\S)([^\w\s@$]*)((?:(?:[^\W\d_]|[013457@$])[ \t]+){2,}(?:[^\W\d_]|[013457@$]))(?=[^\w\s]*(?!\S))")
 _OTHER, _BEGIN, _STOP = 27, 28, 29
 _GAPS = [(1, 1), (1, 2), (2, 1), (1, 3), (2, 2), (3, 1)]
 _FEATURES = 32**3
@@ -94,6 +95,11 @@ def readings(token: str) -> list[bytes]:
     return [read_word(x) for x in token.split("\0")] if "\0" in token else [read_word(token)]
 
 
+def _joined(run: re.Match) -> str:
+    s = "".join(run[2].split()).replace("$", "s").replace("@", "a")
+    return run[1] + "\0".join([s] + [x for x in (s[1:], s[:-1], s[1:-1]) if len(x) > 2])
+
+
 class Inserted:
     """Words to the marked words that they are with letters put in between; others to themselves."""
 
@@ -197,9 +203,7 @@ class Kernel:
 
 
 def _sentences(text: str) -> list[list[str]]:
-    text = text.replace("\0", "")
-    if " " in text and _LONE.search(text):
-        text = _LONE.sub(lambda m: "".join(m.group().split()), text)
+    text = _LONE.sub(_joined, text.replace("\0", ""))
     return [w[a : a + SPAN] for s in _END.split(text) if (w := s.split()) for a in range(0, len(w), SPAN)]
 
 

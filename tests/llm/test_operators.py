@@ -264,6 +264,16 @@ def test_toxicity_of_inserted_letters(machine, frame):
     assert caught(machine, frame, ["spectrum", "station", "football", "leisure", "transhumance"]) == 0
 
 
+@pytest.mark.parametrize("frame", FRAMES)
+def test_toxicity_of_spaced_out_words(machine, frame):
+    for end in (".", "!", ",", ""):
+        assert caught(machine, frame, [" ".join(s) + end for s in STEMS]) >= 0.9
+    assert caught(machine, frame, ["a " + " ".join(s) for s in STEMS]) >= 0.9
+    signs = str.maketrans("ioas", "10@$")
+    assert caught(machine, frame, [" ".join(s.translate(signs)) for s in STEMS]) >= 0.9
+    assert caught(machine, frame, ["s t a t i o n.", "1 3 5 7 0", "a b c"]) == 0
+
+
 def test_toxicity_of_odd_rows(spark, sf):
     m = toxicity_ssk.train(spark, sf)
     out = toxicity_ssk.classify(odd_docs(spark, ODD), m).toPandas()
