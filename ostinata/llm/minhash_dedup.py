@@ -215,9 +215,10 @@ def groups(docs: DataFrame) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id IS NOT NULL")
     signed = scratch.keep(texts.where("text IS NOT NULL").mapInArrow(_signed, "doc_id bigint, digest binary, sig binary, bands array<bigint>"))
     rep = signed.groupBy("digest").agg(F.min("doc_id").alias("rep"))
-    # nodes with equal words hang on the least of them; only that one goes into buckets
-    same = scratch.keep(signed.select("doc_id", "digest").join(rep, "digest").select("doc_id", "rep").where("doc_id <> rep").distinct())
-    reps = signed.join(same.select("doc_id"), "doc_id", "left_anti")
+    # nodes with equal words hang on the least of them; only that one goes into buckets, with this text. A doc_id may
+    # hang on another by one of its texts and go into buckets by the others
+    same = scratch.keep(signed.select("doc_id", "digest").join(rep, "digest").select("doc_id", "digest", "rep").where("doc_id <> rep").distinct())
+    reps = signed.join(same.select("doc_id", "digest"), ["doc_id", "digest"], "left_anti")
     exploded = reps.select(F.explode("bands").alias("band"), "doc_id").repartition(F.col("band"))
     buckets = scratch.keep(exploded.mapInArrow(_buckets, "members array<bigint>").distinct())
     first = buckets.select(F.col("members")[0].alias("a"), F.explode(F.expr("slice(members, 2, size(members) - 1)")).alias("b")).distinct()

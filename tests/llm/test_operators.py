@@ -486,6 +486,16 @@ def test_near_dedup_of_large_groups_and_odd_rows(spark):
     assert minhash_dedup.groups(odd_docs(spark, [])).count() == 0
 
 
+def test_near_dedup_of_a_doc_id_with_two_texts(spark):
+    rng = random.Random(3)
+    one, two = (" ".join(f"w{rng.randrange(4000)}" for _ in range(80)) for _ in range(2))
+    near = two.rsplit(" ", 1)[0] + " other"
+    rows = [(3, one, "a"), (5, one, "a"), (5, two, "a"), (9, near, "a")]
+    for more in ([], [(7, two, "a")]):
+        got = {r["doc_id"]: r["group_id"] for r in minhash_dedup.groups(odd_docs(spark, rows + more)).collect()}
+        assert set(got) == {3, 5, 9} | {i for i, _, _ in more} and set(got.values()) == {3}
+
+
 def test_posterior_bounds():
     least = minhash_dedup.least_matches()
     rng = np.random.default_rng(0)
