@@ -33,12 +33,15 @@ from ostinata.llm.common import Scratch, batches_of, mix64, run_bounds, span_has
 from ostinata.llm.components import components
 
 SHINGLE = 3
-BANDS, ROWS = 32, 4
+#: A pair at the threshold meets in some band with probability 1 - (1 - 0.5^4)^40 = 0.924.
+BANDS, ROWS = 40, 4
 THRESHOLD = 0.5
 #: Posterior probability of a similar pair below which it is pruned.
 MISS = 0.001
 #: MinHash values compared between two looks at the posterior.
 BATCH = 16
+#: MinHash values that the posterior looks at, at most.
+COMPARED = 128
 
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 _IN_WORD = np.zeros(256, bool)
@@ -58,7 +61,7 @@ def shingles_of(text: str) -> set[bytes]:
     return {b" ".join(w[i : i + SHINGLE]) for i in range(max(1, len(w) - SHINGLE + 1))} if w else set()
 
 
-def least_matches(batch: int = BATCH, total: int = BANDS * ROWS, threshold: float = THRESHOLD, miss: float = MISS) -> dict[int, int]:
+def least_matches(batch: int = BATCH, total: int = COMPARED, threshold: float = THRESHOLD, miss: float = MISS) -> dict[int, int]:
     """For each number of compared values the least number of equal ones with which a pair goes on.
 
     With m of n equal, the posterior is Beta(m + 1, n - m + 1), and P(similarity >= t) is the binomial

@@ -496,6 +496,10 @@ def test_near_dedup_of_a_doc_id_with_two_texts(spark):
         assert set(got) == {3, 5, 9} | {i for i, _, _ in more} and set(got.values()) == {3}
 
 
+def test_bands_at_the_threshold():
+    assert 1 - (1 - minhash_dedup.THRESHOLD**minhash_dedup.ROWS) ** minhash_dedup.BANDS >= 0.9
+
+
 def test_posterior_bounds():
     least = minhash_dedup.least_matches()
     rng = np.random.default_rng(0)
