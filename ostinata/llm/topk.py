@@ -1,17 +1,19 @@
-"""Exact top-k search by inner product over norm buckets; every vector is a query against all others.
-
-Vectors are sorted by length into buckets of BLOCK. A block of queries walks the buckets from the
-longest down. With theta the query's k-th best product so far, no vector of a bucket can do better
-where theta > |q| * (the bucket's greatest length); such buckets aren't even sent where that holds for
-a whole block under thresholds seeded from the longest bucket. Within a bucket the local cosine
-threshold theta / (|q| * length) chooses the pruning: from COSINE on, coordinate pruning (a vector
-with that cosine lies within an interval around each of the query's coordinates; the query's largest ones are
-looked up in sorted coordinates), below it length pruning (a prefix of the bucket, which is sorted by length).
-What is left is verified by exact products.
+"""Exact top-k search by inner product over norm buckets: stated queries against all vectors.
+
+Vectors are sorted by length into buckets of BLOCK, queries into blocks of QUERIES. A block of queries
+first meets the longest bucket, which gives each query a threshold theta, the k-th best product there.
+No vector of another bucket can do better where theta > |q| * (the bucket's greatest length); buckets for
+which that holds for a whole block aren't joined with it. Every other pair of a block and a bucket is
+worked on by itself, so a search is parallel over both, and a query's best of all buckets are merged.
+Within a bucket the local cosine threshold theta / (|q| * length) chooses the pruning: from COSINE on,
+coordinate pruning (a vector with that cosine lies within an interval around each of the query's
+coordinates; the query's largest ones are looked up in sorted coordinates), below it length pruning (a
+prefix of the bucket, which is sorted by length). What is left is verified by exact products.
 
 Products are ranked rounded to 9 places, ties by the lesser id. Vectors are compared with those of the same
 dimension only. Defined results: see vectors.usable for NULLs and repeats; zero vectors take part with
-product 0; with fewer than k others a query has as many rows; other columns are ignored.
+product 0; with fewer than k others a query has as many rows; a query that is no usable vector has none;
+other columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,7 +21,8 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ostinata.llm.common import Scratch, table
@@ -27,29 +30,37 @@ from ostinata.llm.vectors import usable
 
 K = 10
 BLOCK = 4096
+#: Queries in a block.
+QUERIES = 1024
+#: The query set of op3_topk_search: ids that are a multiple of this.
+EVERY = 100
 #: Local cosine threshold from which coordinates prune better than lengths.
 COSINE = 0.75
 FOCUS = 3
 _PLACES = 9
 
 
-def _blocks(batches):
+def _blocks(size: int):
     """Rows (dim, id, v) of one range of lengths, longest first, to packed blocks."""
-    task = TaskContext.get().partitionId()
-    rows: list[tuple[int, int, list[float]]] = []
-    n = 0
-    for b in batches:
-        rows += zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist())
-        while rows:
-            dim = rows[0][0]
-            same = next((i for i, r in enumerate(rows) if r[0] != dim or i == BLOCK), None)
-            if same is None:
-                break
-            yield _block(task, n, rows[:same])
-            n += 1
-            rows = rows[same:]
-    if rows:
-        yield _block(task, n, rows)
+
+    def run(batches):
+        task = TaskContext.get().partitionId()
+        rows: list[tuple[int, int, list[float]]] = []
+        n = 0
+        for b in batches:
+            rows += zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist())
+            while rows:
+                dim = rows[0][0]
+                same = next((i for i, r in enumerate(rows) if r[0] != dim or i == size), None)
+                if same is None:
+                    break
+                yield _block(task, n, rows[:same])
+                n += 1
+                rows = rows[same:]
+        if rows:
+            yield _block(task, n, rows)
+
+    return run
 
 
 def _block(task: int, n: int, rows: list) -> pa.RecordBatch:
@@ -66,10 +77,10 @@ def _block(task: int, n: int, rows: list) -> pa.RecordBatch:
 class Best:
     """The best k (score, id) of each query so far."""
 
-    def __init__(self, ids: np.ndarray, x: np.ndarray, k: int):
+    def __init__(self, ids: np.ndarray, x: np.ndarray, k: int, theta: np.ndarray | None = None):
         self.ids, self.x, self.k = ids, x, k
         self.length = np.sqrt((x * x).sum(1))
-        self.theta = np.full(len(ids), -np.inf)
+        self.theta = np.full(len(ids), -np.inf) if theta is None else theta.copy()
         self.score = np.full((len(ids), k), -np.inf)
         self.other = np.full((len(ids), k), np.iinfo(np.int64).max)
 
@@ -95,7 +106,7 @@ class Best:
         order = np.lexsort((all_i, -all_s), axis=1)[:, : self.k]
         self.score[who] = np.take_along_axis(all_s, order, 1)
         self.other[who] = np.take_along_axis(all_i, order, 1)
-        self.theta[who] = self.score[who, -1]
+        self.theta[who] = np.maximum(self.theta[who], self.score[who, -1])
 
     def visit(self, ids: np.ndarray, x: np.ndarray) -> None:
         """All vectors of a bucket, longest first, against all queries."""
@@ -162,67 +173,67 @@ def _unpack(ids: bytes, x: bytes, dim: int) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(ids, np.int64), np.frombuffer(x, np.float64).reshape(-1, dim)
 
 
-def top_k(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", k: int = K) -> DataFrame:
-    """query_id, rank, neighbour_id, score: the k greatest inner products of each vector with others."""
+def _by_length(clean: DataFrame, size: int, scratch: Scratch) -> DataFrame:
+    """dim, block, longest, ids, x: packed blocks of vectors of about equal length, longest first within a block."""
+    n = clean.count()
+    key = ("dim", F.col("l2").desc(), F.xxhash64("id"))
+    ranged = clean.select("dim", "id", "v", F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x).alias("l2")).repartitionByRange(max(1, -(-n // size)), *key)
+    return scratch.keep(ranged.sortWithinPartitions("dim", F.col("l2").desc(), "id").select("dim", "id", "v").mapInArrow(_blocks(size), "dim int, block bigint, longest double, ids binary, x binary"))
+
+
+def top_k(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", k: int = K, queries: Column | None = None) -> DataFrame:
+    """query_id, rank, neighbour_id, score: the k greatest inner products of each query with others. queries: which ids are queries, all by default."""
     spark = vectors.sparkSession
     scratch = Scratch(spark)
-    clean = usable(vectors, key, vector)
-    length = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
-    n = clean.count()
-    ranged = clean.select("dim", "id", "v", length.alias("l2")).repartitionByRange(max(1, min(4096, -(-n // BLOCK))), "dim", F.col("l2").desc(), F.xxhash64("id"))
-    packed = scratch.keep(ranged.sortWithinPartitions("dim", F.col("l2").desc(), "id").select("dim", "id", "v").mapInArrow(_blocks, "dim int, block bigint, longest double, ids binary, x binary"))
+    clean = scratch.keep(usable(vectors, key, vector))
+    packed = _by_length(clean, BLOCK, scratch)
+    asked = _by_length(clean if queries is None else clean.where(queries), QUERIES, scratch)
     # the longest bucket of each dimension seeds the thresholds
     top = packed.groupBy("dim").agg(F.max_by(F.struct("ids", "x"), F.struct("longest", -F.col("block"))).alias("top"))
 
     def seeded(batches):
         for b in batches:
-            r = b.to_pydict()
-            least, most = [], []
-            for dim, ids, x, tids, tx in zip(r["dim"], r["ids"], r["x"], r["tids"], r["tx"]):
+            theta, least = [], []
+            for dim, ids, x, tids, tx in zip(*(b.column(c).to_pylist() for c in ("dim", "ids", "x", "tids", "tx"))):
                 best = Best(*_unpack(ids, x, dim), k)
                 best.visit(*_unpack(tids, tx, dim))
+                theta.append(best.theta.tobytes())
                 least.append(float(best.theta.min()))
-                most.append(float(best.length.max()))
-            yield pa.RecordBatch.from_arrays([b.column("dim"), b.column("block"), pa.array(most, pa.float64()), pa.array(least, pa.float64())], names=["dim", "block", "longest", "theta"])
+            yield pa.RecordBatch.from_arrays([b.column("dim"), b.column("block"), b.column("longest"), b.column("ids"), b.column("x"), pa.array(theta, pa.binary()), pa.array(least, pa.float64())], names=["dim", "query", "longest", "q_ids", "q_x", "theta", "least"])
 
-    seeds = scratch.keep(packed.join(top, "dim").select("dim", "block", "ids", "x", F.col("top.ids").alias("tids"), F.col("top.x").alias("tx")).mapInArrow(seeded, "dim int, block bigint, longest double, theta double"))
+    seeds = asked.join(top, "dim").select("dim", "block", "longest", "ids", "x", F.col("top.ids").alias("tids"), F.col("top.x").alias("tx"))
+    seeds = scratch.keep(seeds.mapInArrow(seeded, "dim int, query bigint, longest double, q_ids binary, q_x binary, theta binary, least double"))
     # pairs of a query block and a bucket that may matter to it, by their figures only
     buckets = packed.select("dim", F.col("block").alias("bucket"), F.col("longest").alias("reach"))
-    pairs = seeds.join(buckets, "dim").where("theta <= longest * reach * (1 + 1e-7) + 1e-7").select(F.col("block").alias("query"), "bucket")
-    sent = pairs.join(packed.withColumnRenamed("block", "bucket"), "bucket").select("query", (-F.col("longest")).alias("turn"), "bucket", "dim", "ids", "x")
-    own = packed.select(F.col("block").alias("query"), F.lit(float("-inf")).alias("turn"), F.lit(-1).cast("bigint").alias("bucket"), "dim", "ids", "x")
-    tasks = own.unionByName(sent)
+    pairs = seeds.select("dim", "query", "longest", "least").join(buckets, "dim").where("least <= longest * reach * (1 + 1e-7) + 1e-7").select("query", "bucket")
+    sent = pairs.join(seeds.select("dim", "query", "q_ids", "q_x", "theta").hint("merge"), "query")
+    met = sent.join(packed.select(F.col("block").alias("bucket"), "ids", "x").hint("merge"), "bucket").select("dim", "q_ids", "q_x", "theta", "ids", "x")
 
     def search(batches):
-        query, best = None, None
         for b in batches:
-            for q, bucket, dim, ids, x in zip(*(b.column(c).to_pylist() for c in ("query", "bucket", "dim", "ids", "x"))):
-                if q != query:
-                    if best is not None:
-                        yield _result(best)
-                    query, best = q, Best(*_unpack(ids, x, dim), k)
-                else:
-                    best.visit(*_unpack(ids, x, dim))
-        if best is not None:
-            yield _result(best)
+            for dim, q_ids, q_x, theta, ids, x in zip(*(b.column(c).to_pylist() for c in range(6))):
+                best = Best(*_unpack(q_ids, q_x, dim), k, np.frombuffer(theta, np.float64))
+                best.visit(*_unpack(ids, x, dim))
+                yield _result(best)
 
-    blocks = packed.count()
-    placed = tasks.repartition(max(1, blocks), "query").sortWithinPartitions("query", "turn", "bucket")
-    return placed.mapInArrow(search, "query_id bigint, rank int, neighbour_id bigint, score double")
+    found = met.mapInArrow(search, "query_id bigint, neighbour_id bigint, product double")
+    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("product"), "neighbour_id"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "neighbour_id", (F.round("product", 6) + F.lit(0.0)).alias("score"))
 
 
 def _result(best: Best) -> pa.RecordBatch:
     q, r = np.nonzero(np.isfinite(best.score))
-    return pa.RecordBatch.from_arrays([pa.array(best.ids[q]), pa.array((r + 1).astype(np.int32)), pa.array(best.other[q, r]), pa.array(np.round(best.score[q, r], 6) + 0.0)], names=["query_id", "rank", "neighbour_id", "score"])
+    return pa.RecordBatch.from_arrays([pa.array(best.ids[q]), pa.array(best.other[q, r]), pa.array(best.score[q, r])], names=["query_id", "neighbour_id", "product"])
 
 
 def op3_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return top_k(table(spark, sf_dir, "embeddings"))
+    """The vectors whose id is a multiple of EVERY, against all vectors."""
+    return top_k(table(spark, sf_dir, "embeddings"), queries=F.col("id") % EVERY == 0)
 
 
 OP3_SQL = f"""
-WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
-s AS (SELECT a.vec_id AS query_id, b.vec_id AS neighbour_id, list_dot_product(a.v, b.v) AS p FROM e a JOIN e b ON a.vec_id <> b.vec_id),
+WITH e AS (SELECT vec_id, min(CAST(embedding AS DOUBLE[])) AS v FROM embeddings GROUP BY vec_id),
+s AS (SELECT a.vec_id AS query_id, b.vec_id AS neighbour_id, list_dot_product(a.v, b.v) AS p FROM e a JOIN e b ON a.vec_id <> b.vec_id WHERE a.vec_id % {EVERY} = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(p, {_PLACES}) DESC, neighbour_id) AS rank FROM s)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, neighbour_id, round(p, 6) + 0.0 AS score FROM r WHERE rank <= {K}
 """

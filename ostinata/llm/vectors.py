@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +16,3 @@ def usable(vectors: DataFrame, key: str, vector: str) -> DataFrame:
     v = v.where("id IS NOT NULL AND size(v) > 0").where(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))))
     return v.groupBy("id").agg(F.min("v").alias("v")).withColumn("dim", F.size("v"))
 
-
-def matrix(column: pa.Array, dim: int) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), dim)

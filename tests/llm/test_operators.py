@@ -4,12 +4,13 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from ostinata.llm import bpe, chat, embedding_dedup, licenses, minhash_dedup, mixing, quality_crf, topk, toxicity_ssk, warc
+from ostinata.llm import bpe, chat, embedding_dedup, entries, licenses, minhash_dedup, mixing, quality_crf, topk, toxicity_ssk, warc
 from ostinata.llm.common import Scratch, shared_folder
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint, keep string, score string, group_id string, row_key string"
@@ -35,6 +36,25 @@ def big():
     return d.merge(pd.read_parquet("/root/testdata/sf0.01/labels.parquet"), how="left")
 
 
+# the SQL of the queries
+
+
+@pytest.fixture(scope="module")
+def duck(sf):
+    db = duckdb.connect()
+    for t in ("documents", "embeddings", "pages", "labels", "conversations"):
+        db.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf}/{t}.parquet')")
+    return db
+
+
+@pytest.mark.parametrize("name", sorted(entries.ORACLE_SQL))
+def test_query_equals_its_sql(spark, sf, duck, name):
+    got, want = entries.QUERIES[name](spark, sf), duck.execute(entries.ORACLE_SQL[name])
+    columns = [d[0] for d in want.description]
+    assert sorted(got.columns) == sorted(columns)
+    assert Counter(got.select(*columns).toPandas().itertuples(index=False, name=None)) == Counter(want.df().itertuples(index=False, name=None))
+
+
 # 1. archive
 
 
@@ -155,11 +175,14 @@ def test_top_k_against_brute_force(spark, kind, monkeypatch):
         x = -np.abs(x) * np.where(np.arange(n) % 2, 1, -1)[:, None]
     ids = [int(i) * 3 - 50 for i in range(n)]
     monkeypatch.setattr(topk, "BLOCK", 64)
+    monkeypatch.setattr(topk, "QUERIES", 32)
     df = spark.createDataFrame(list(zip(ids, x.tolist())), "vec_id bigint, embedding array<double>")
-    got = defaultdict(list)
-    for r in topk.top_k(df, k=7).orderBy("query_id", "rank").collect():
-        got[r["query_id"]].append(r["neighbour_id"])
-    assert dict(got) == brute_top(ids, x, 7)
+    want = brute_top(ids, x, 7)
+    for some in (None, F.col("id") % 5 == 0):
+        got = defaultdict(list)
+        for r in topk.top_k(df, k=7, queries=some).orderBy("query_id", "rank").collect():
+            got[r["query_id"]].append(r["neighbour_id"])
+        assert dict(got) == {q: n for q, n in want.items() if some is None or q % 5 == 0}
 
 
 def test_top_k_of_odd_rows(spark):
@@ -173,27 +196,56 @@ def test_top_k_of_odd_rows(spark):
 # 4. embedding near-dedup
 
 
+def near_by_brute_force(ids, x):
+    """{(a, b)} of near classes and {id: class} of equal vectors."""
+    least = {}
+    for i, v in zip(ids, map(tuple, x.tolist())):
+        least[v] = min(least.get(v, i), i)
+    own = {int(i): int(least[v]) for i, v in zip(ids, map(tuple, x.tolist()))}
+    at = [k for k, i in enumerate(ids) if own[int(i)] == i]
+    u = x[at] / np.linalg.norm(x[at], axis=1)[:, None]
+    c = np.round(u @ u.T, 9)
+    return {tuple(sorted((int(ids[at[i]]), int(ids[at[j]])))) for i, j in zip(*np.nonzero(c >= embedding_dedup.COSINE)) if i != j}, own
+
+
 @pytest.mark.parametrize("dim", [5, 64])
 def test_near_pairs_against_brute_force(spark, dim, monkeypatch):
     rng = np.random.default_rng(7)
     base = rng.standard_normal((120, dim))
-    x = np.vstack([base, base[rng.integers(0, 40, 200)] + rng.standard_normal((200, dim)) * rng.uniform(0, 0.5, (200, 1)) , base[:20] * 3])
+    x = np.vstack([base, base[rng.integers(0, 40, 200)] + rng.standard_normal((200, dim)) * rng.uniform(0, 0.5, (200, 1)), base[:20] * 3, base[:30], base[:10]])
     ids = rng.permutation(len(x))
-    u = x / np.linalg.norm(x, axis=1)[:, None]
-    c = np.round(u @ u.T, 9)
-    want = {(min(ids[i], ids[j]), max(ids[i], ids[j])) for i, j in zip(*np.nonzero(c >= 0.95)) if i != j}
+    want, own = near_by_brute_force(ids, x)
     for cell in (4096, 4):
         monkeypatch.setattr(embedding_dedup, "CELL", cell)
         df = spark.createDataFrame(list(zip(map(int, ids), x.tolist())), "vec_id bigint, embedding array<double>")
         rows = embedding_dedup.near_pairs(df).collect()
         assert len(rows) == len(want) and {(r["id_a"], r["id_b"]) for r in rows} == want
+    degree = Counter(i for p in want for i in p)
+    got = {r["id"]: (r["class_id"], r["links"]) for r in embedding_dedup.links(df).collect()}
+    assert got == {i: (c, degree[c]) for i, c in own.items()}
+    up = dict(own)
+    for a, b in sorted(want):
+        one, two = up[a], up[b]
+        up = {i: min(one, two) if c in (one, two) else c for i, c in up.items()}
+    out = {r["id"]: (r["group_id"], r["keep"]) for r in embedding_dedup.groups(df).collect()}
+    assert out == {i: (g, i == g) for i, g in up.items()}
+
+
+def test_near_pairs_of_very_many_equal_vectors(spark):
+    """A third and more of the rows are one vector: linear work, and no link of another vector is lost."""
+    n = 100_000
+    df = spark.range(n).select(F.col("id").alias("vec_id"), F.when(F.col("id") % 50 > 0, F.array([F.lit(float(i)) for i in range(1, 17)])).otherwise(F.array([F.lit(float(i)) + (F.lit(1e-4) * F.col("id") if i == 1 else F.lit(0.0)) for i in range(1, 17)])).alias("embedding"))
+    out = embedding_dedup.links(df.where("vec_id % 50 > 0 OR vec_id < 500")).toPandas()
+    assert len(out) == n // 50 * 49 + 10 and out[out.id % 50 > 0].class_id.unique().tolist() == [0]
+    assert set(out.links) == {9} and out.class_id.nunique() == 10
 
 
 def test_near_pairs_of_odd_rows(spark):
-    rows = [(1, [1.0, 0.0], 1), (1, [1.0, 0.0], 1), (2, [2.0, 0.0], 1), (3, None, 1), (4, [0.0, 0.0], 1), (5, [1.0, None], 1), (None, [1.0, 0.0], 1), (7, [1.0, 0.0, 0.0], 1)]
+    rows = [(1, [1.0, 0.0], 1), (1, [1.0, 0.0], 1), (2, [2.0, 0.0], 1), (3, None, 1), (4, [0.0, 0.0], 1), (5, [1.0, None], 1), (None, [1.0, 0.0], 1), (7, [1.0, 0.0, 0.0], 1), (8, [1.0, -0.0], 1)]
     df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, a int")
     assert [(r["id_a"], r["id_b"]) for r in embedding_dedup.near_pairs(df).collect()] == [(1, 2)]
-    assert embedding_dedup.near_pairs(df.limit(0)).count() == 0
+    assert {tuple(r) for r in embedding_dedup.links(df).collect()} == {(1, 1, 1), (8, 1, 1), (2, 2, 1), (7, 7, 0)}
+    assert embedding_dedup.near_pairs(df.limit(0)).count() == 0 and embedding_dedup.links(df.limit(0)).count() == 0 and embedding_dedup.groups(df.limit(0)).count() == 0
 
 
 # 5. toxicity
