@@ -3,8 +3,12 @@
 Texts are split into words by the vocabulary's published pattern. A chunk of documents numbers its
 distinct words and keeps each document as the numbers of its words in order. Words of all chunks meet
 by hash, where each distinct word is encoded once; the ids return to their chunks and are joined to the
-documents' words by position. Neither texts nor single occurrences are shuffled: a chunk's documents
-travel as packed word numbers, and its words once each.
+documents' words by position. Neither texts nor single occurrences are shuffled, nor are packed documents: they
+lie in a table bucketed by chunk, and only a chunk's words travel, once each.
+
+Memory: a chunk is bounded by CHUNK_CHARS (or one text, if that is longer), and the words of a hash part are
+streamed, so `parts` bounds the time of a task; raise it with the corpus. A part forgets words beyond MEMORY and
+encodes them anew.
 
 Defined results: a NULL text has NULL ids, an empty one none; each row is encoded by itself, so
 repeated rows and NULL or repeated doc_ids are as good as others; other columns than those asked for
@@ -23,13 +27,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from ostinata.llm.common import Scratch, table
+from ostinata.llm.common import Scratch, batches_of, table
+from ostinata.llm.words import PATTERN, numbered
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-#: The published splitting pattern of the vocabulary.
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Characters of text in a chunk, about.
-CHUNK_CHARS = 24_000_000
+#: Characters of text in a chunk, about, and in a step of its splitting.
+CHUNK_CHARS, STEP_CHARS = 24_000_000, 1_500_000
+#: Hash parts of the distinct words.
+PARTS = 256
+#: Distinct words that a part remembers.
+MEMORY = 1_000_000
 
 
 def ranks(path: str = VOCABULARY) -> dict[bytes, int]:
@@ -43,6 +50,9 @@ def encoder(vocabulary: dict[bytes, int]):
     return tiktoken.Encoding("given", pat_str=PATTERN, mergeable_ranks=vocabulary, special_tokens={})
 
 
+_PACKED = ("sizes", "numbers", "lengths", "words", "steps")
+
+
 def _tight(a: np.ndarray) -> bytes:
     """Whole numbers below 2**32 by byte planes, compressed: most upper planes are all but empty."""
     import zstandard
@@ -57,96 +67,86 @@ def _loose(b: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view("<u4").ravel()
 
 
-#: Documents in a packed row.
-_GROUP = 1000
-
-
 def _split(parts: int, kept_type: pa.DataType):
     """Arrow batches of (text, kept columns) to chunk rows.
 
-    part -1: up to _GROUP documents; sizes are their counts of words + 1 (0 for NULL), packed the words' numbers, the commonest word's is 0.
-    part p: the distinct words of hash part p; sizes are their byte lengths, packed their bytes, steps the differences of their numbers.
+    part -1: documents in order, the first of which is the row-th; sizes are their counts of words + 1 (0 for NULL), numbers their words, the commonest word's is 0.
+    part p: the distinct words of hash part p; lengths are their byte lengths, words their bytes, steps the differences of their numbers.
     """
-    import zstandard
-
     def run(batches):
-        import regex
+        import zstandard
 
-        find = regex.compile(PATTERN).findall
+        pack = zstandard.ZstdCompressor(level=3).compress
         task = TaskContext.get().partitionId() if TaskContext.get() else 0
         chunk, chars = task << 20, 0
-        words: dict[str, int] = {}
-        coded: list[np.ndarray | None] = []
-        kept: list[pa.Array] = []
+        known: dict[str, int] = {}
+        steps: list[tuple[np.ndarray, np.ndarray, pa.Array]] = []
 
         def flush():
-            counts = np.zeros(len(words), np.int64)
-            for a in range(0, len(coded), _GROUP):
-                counts += np.bincount(np.concatenate([c for c in coded[a : a + _GROUP] if c is not None] or [np.zeros(0, np.uint32)]), minlength=len(words))
-            rank = np.empty(len(words), np.uint32)
-            rank[np.argsort(-counts, kind="stable")] = np.arange(len(words), dtype=np.uint32)
-            together = pa.concat_arrays(kept) if kept else pa.array([], kept_type)
-            for a in range(0, len(coded), _GROUP):
-                group = coded[a : a + _GROUP]
-                sizes = _tight(np.array([0 if c is None else len(c) + 1 for c in group], np.uint32))
-                packed = _tight(rank[np.concatenate([c for c in group if c is not None] or [np.zeros(0, np.uint32)])])
-                yield chunk_row(-1, a, sizes, packed, b"", together.slice(a, len(group)))
-            by_part: list[tuple[list, list]] = [([], []) for _ in range(parts)]
-            for w, n in words.items():
-                raw = w.encode()
-                nos, ws = by_part[zlib.crc32(raw) % parts]
-                nos.append(n), ws.append(raw)
-            for p, (nos, ws) in enumerate(by_part):
-                if nos:
-                    mine = rank[np.array(nos)]
-                    order = np.argsort(mine)
-                    ws = [ws[i] for i in order]
-                    yield chunk_row(p, 0, _tight(np.fromiter(map(len, ws), np.uint32, len(ws))), zstandard.ZstdCompressor(level=3).compress(b"".join(ws)), _tight(np.diff(mine[order], prepend=np.uint32(0))), None)
-
-        def chunk_row(part, row, sizes, packed, steps, mine):
+            counts = np.zeros(len(known), np.int64)
+            for _, numbers, _ in steps:
+                counts += np.bincount(numbers, minlength=len(known))
+            rank = np.empty(len(known), np.uint32)
+            rank[np.argsort(-counts, kind="stable")] = np.arange(len(known), dtype=np.uint32)
+            row = 0
+            for sizes, numbers, mine in steps:
+                yield chunk_row(-1, row, mine, sizes=_tight(sizes), numbers=_tight(rank[numbers]))
+                row += len(sizes)
+            raw = [w.encode() for w in known]
+            part = np.fromiter((zlib.crc32(w) % parts for w in raw), np.int64, len(raw))
+            order = np.lexsort((rank, part))
+            edges = np.searchsorted(part[order], np.arange(parts + 1))
+            for p in np.flatnonzero(np.diff(edges)):
+                at = order[edges[p] : edges[p + 1]]
+                ws = [raw[i] for i in at]
+                yield chunk_row(int(p), 0, None, lengths=_tight(np.fromiter(map(len, ws), np.uint32, len(ws))), words=pack(b"".join(ws)), steps=_tight(np.diff(rank[at], prepend=np.uint32(0))))
+
+        def chunk_row(part, row, mine, **packed):
             lists = pa.ListArray.from_arrays(pa.array([0, len(mine)], pa.int32()), mine) if mine is not None else pa.nulls(1, pa.list_(kept_type))
-            return pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([part], pa.int32()), pa.array([row], pa.int64()), pa.array([sizes], pa.binary()), pa.array([packed], pa.binary()), pa.array([steps], pa.binary()), lists], names=["chunk", "part", "row", "sizes", "packed", "steps", "kept"])
+            return pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([part], pa.int32()), pa.array([row], pa.int64()), *[pa.array([packed.get(c)], pa.binary()) for c in _PACKED], lists], names=["chunk", "part", "row", *_PACKED, "kept"])
 
         for b in batches:
-            at, texts = 0, b.column(0)
             mine = pa.StructArray.from_arrays([b.column(k).cast(f.type) for k, f in zip(range(1, b.num_columns), kept_type)], fields=list(kept_type))
-            for i, t in enumerate(texts.to_pylist()):
-                if t is None:
-                    coded.append(None)
-                else:
-                    found = find(t)
-                    coded.append(np.fromiter((words.setdefault(w, len(words)) for w in found), np.uint32, len(found)))
-                    chars += len(t)
-                if chars >= CHUNK_CHARS or len(coded) >= 1 << 20:
-                    kept.append(mine.slice(at, i + 1 - at))
+            texts = b.column(0).to_pylist()
+            for lo, hi in batches_of([t or "" for t in texts], STEP_CHARS):
+                some = texts[lo:hi]
+                code, words, counts = numbered([t or "" for t in some])
+                number = np.fromiter((known.setdefault(w, len(known)) for w in words), np.uint32, len(words))
+                there = np.fromiter((t is not None for t in some), bool, len(some))
+                steps.append((np.where(there, counts + 1, 0).astype(np.uint32), number[code] if len(words) else np.zeros(0, np.uint32), mine.slice(lo, hi - lo)))
+                chars += sum(len(t) for t in some if t is not None)
+                if chars >= CHUNK_CHARS or sum(len(x[0]) for x in steps) >= 1 << 20:
                     yield from flush()
-                    at, chunk, chars, words, coded, kept = i + 1, chunk + 1, 0, {}, [], []
-            kept.append(mine.slice(at))
-        if coded:
+                    chunk, chars, known, steps = chunk + 1, 0, {}, []
+        if steps:
             yield from flush()
 
     return run
 
 
-def _encode_part(vocabulary: dict[bytes, int]):
-    """All words of one hash part: each distinct word is encoded once; the numbers' steps, id counts and ids by chunk."""
+def _encode_parts(vocabulary: dict[bytes, int]):
+    """Words by hash part, streamed: each distinct word is encoded once; the numbers' steps, id counts and ids by chunk."""
 
-    def run(t: pa.Table) -> pa.Table:
+    def run(batches):
         import zstandard
 
+        unpack = zstandard.ZstdDecompressor().decompress
         encode = encoder(vocabulary).encode_ordinary
         seen: dict[bytes, list[int]] = {}
-        sizes, ids = [], []
-        for lengths, packed in zip(t.column("sizes").to_pylist(), t.column("packed").to_pylist()):
-            data = zstandard.ZstdDecompressor().decompress(packed)
-            ends = np.cumsum(_loose(lengths).astype(np.int64)).tolist()
-            out = []
-            for a, b in zip([0, *ends], ends):
-                w = data[a:b]
-                out.append(seen[w] if w in seen else seen.setdefault(w, encode(w.decode())))
-            sizes.append(_tight(np.fromiter(map(len, out), np.uint32, len(out))))
-            ids.append(_tight(np.array([i for x in out for i in x], np.uint32)))
-        return pa.table({"chunk": t.column("chunk"), "steps": t.column("steps"), "sizes": pa.array(sizes, pa.binary()), "ids": pa.array(ids, pa.binary())})
+        for b in batches:
+            sizes, ids = [], []
+            for lengths, packed in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
+                if len(seen) > MEMORY:
+                    seen.clear()
+                data = unpack(packed)
+                ends = np.cumsum(_loose(lengths).astype(np.int64)).tolist()
+                out = []
+                for lo, hi in zip([0, *ends], ends):
+                    w = data[lo:hi]
+                    out.append(seen[w] if w in seen else seen.setdefault(w, encode(w.decode())))
+                sizes.append(_tight(np.fromiter(map(len, out), np.uint32, len(out))))
+                ids.append(_tight(np.array([i for x in out for i in x], np.uint32)))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(3), pa.array(sizes, pa.binary()), pa.array(ids, pa.binary())], names=["chunk", "steps", "sizes", "ids"])
 
     return run
 
@@ -160,7 +160,7 @@ def _place(documents: pa.Table, maps: pa.Table) -> pa.Table:
     begin[nos] = np.cumsum(sizes) - sizes
     ids = ids.astype(np.int32)
     keys, kept, lists = [], [], []
-    for chunk, row, counts, packed, mine in zip(*(documents.column(c).to_pylist() if c != "kept" else documents.column(c).combine_chunks() for c in ("chunk", "row", "sizes", "packed", "kept"))):
+    for chunk, row, counts, packed, mine in zip(*(documents.column(c).to_pylist() if c != "kept" else documents.column(c).combine_chunks() for c in ("chunk", "row", "sizes", "numbers", "kept"))):
         words = _loose(packed)
         counts = _loose(counts).astype(np.int64)
         n = size[words]
@@ -176,7 +176,7 @@ def _place(documents: pa.Table, maps: pa.Table) -> pa.Table:
     return pa.table({"row_key": pa.array(np.concatenate(keys)), "kept": pa.chunked_array(kept), "ids": pa.chunked_array(lists)})
 
 
-def encode(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), path: str = VOCABULARY) -> DataFrame:
+def encode(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), path: str = VOCABULARY, parts: int = PARTS) -> DataFrame:
     """row_key, the kept columns, ids array<int>, n_tokens of every row. row_key is unique."""
     spark = docs.sparkSession
     scratch = Scratch(spark)
@@ -184,10 +184,11 @@ def encode(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id
     kinds = [chosen.schema[f"k{i}"].dataType for i in range(len(keep))]
     kept = "struct<" + ", ".join(f"k{i}: {k.simpleString()}" for i, k in enumerate(kinds)) + ">"
     kept_type = pa.struct([pa.field(f"k{i}", to_arrow_type(k)) for i, k in enumerate(kinds)])
-    parts = max(8, chosen.rdd.getNumPartitions())
-    split = scratch.keep(chosen.mapInArrow(_split(parts, kept_type), f"chunk bigint, part int, row bigint, sizes binary, packed binary, steps binary, kept array<{kept}>"))
-    maps = split.where("part >= 0").select("part", "chunk", "sizes", "packed", "steps").groupBy("part").applyInArrow(_encode_part(ranks(path)), "chunk bigint, steps binary, sizes binary, ids binary")
-    placed = split.where("part < 0").select("chunk", "row", "sizes", "packed", "kept").groupBy("chunk").cogroup(maps.groupBy("chunk")).applyInArrow(_place, f"row_key bigint, kept {kept}, ids array<int>")
+    split = chosen.mapInArrow(_split(parts, kept_type), f"chunk bigint, part int, row bigint, {', '.join(f'{c} binary' for c in _PACKED)}, kept array<{kept}>")
+    split = scratch.keep_bucketed(split, "chunk")
+    words = split.where("part >= 0").select("part", "chunk", "lengths", "words", "steps").repartition("part").select("chunk", "lengths", "words", "steps")
+    maps = words.mapInArrow(_encode_parts(ranks(path)), "chunk bigint, steps binary, sizes binary, ids binary")
+    placed = split.where("part < 0").select("chunk", "row", "sizes", "numbers", "kept").groupBy("chunk").cogroup(maps.groupBy("chunk")).applyInArrow(_place, f"row_key bigint, kept {kept}, ids array<int>")
     return placed.select("row_key", *[F.col(f"kept.k{i}").alias(c) for i, c in enumerate(keep)], "ids", F.size("ids").alias("n_tokens")).withColumn("n_tokens", F.when(F.col("ids").isNotNull(), F.col("n_tokens")))
 
 
@@ -199,6 +200,8 @@ def pieces(spark: SparkSession, path: str = VOCABULARY) -> DataFrame:
 def decode(encoded: DataFrame, key: str = "row_key", ids: str = "ids", path: str = VOCABULARY) -> DataFrame:
     """(key, text) of every row with ids, by a join of ids with the pieces; an id without a piece gives nothing. NULL ids give a NULL text."""
     spark = encoded.sparkSession
+    # whole arrays move once, by key; what comes of them stays there
+    encoded = encoded.select(key, ids).repartition(key)
     flat = encoded.select(key, F.posexplode(ids).alias("pos", "id"))
     joined = flat.join(F.broadcast(pieces(spark, path)), "id")
     whole = joined.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", F.hex("piece").alias("h")))).alias("p"))

@@ -49,6 +49,17 @@ class Scratch:
         out.scratch_path = path
         return out
 
+    def keep_bucketed(self, df: DataFrame, column: str) -> DataFrame:
+        """The same in buckets by a column, as many as there are shuffle partitions: a grouping by it moves nothing."""
+        self.count += 1
+        path = f"{self.root}/{self.count}"
+        name = f"scratch_{uuid.uuid4().hex}"
+        buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        df.write.mode("overwrite").format("parquet").bucketBy(buckets, column).option("path", path).saveAsTable(name)
+        out = self.spark.table(name)
+        out.scratch_path = path
+        return out
+
     def drop(self, *frames: DataFrame) -> None:
         """Delete tables that no later result reads."""
         jvm = self.spark._jvm
