@@ -137,8 +137,11 @@ def _lab_norm(s: pd.Series) -> pd.Series:
 
 
 def lab_norm(c: Text) -> Column:
-    """Accents dropped, then only ASCII letters, digits and single spaces; the one function without a JVM form."""
-    return _lab_norm(_s(c))
+    """Accents dropped, then only ASCII letters, digits and single spaces. Plain ASCII stays in the JVM, other texts go to Python."""
+    s = _s(c)
+    ascii_ = F.rlike(s, F.lit(r"\A\p{ASCII}*\z"))
+    plain = F.trim(F.regexp_replace(F.lower(s), r"[^0-9a-z]+", " "))
+    return F.when(ascii_, plain).otherwise(_lab_norm(F.when(~ascii_, s)))
 
 
 def lab_key(title: Text, artist: Text) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -95,6 +95,42 @@ def tempo_steps(members: DataFrame, basket: str, position: str, bpm: str, within
     return m.groupBy(basket).agg(F.coalesce(F.sum("_step"), F.lit(0)).alias("steps"), F.coalesce(F.sum("_near"), F.lit(0)).alias("smooth"))
 
 
+def camelot(key: Column, mode: Column) -> Column:
+    """The place of a key on the wheel of fifths: 1 to 12 and A (minor) or B (major). key: pitch class from 0 (C), mode: 1 major, 0 minor; others have none."""
+    major = F.pmod(key * 7 + 7, F.lit(12)) + 1
+    minor = F.pmod(key * 7 + 4, F.lit(12)) + 1
+    fine = key.between(0, 11) & mode.isin(0, 1)
+    return F.when(fine, F.concat(F.when(mode == 1, major).otherwise(minor).cast("int").cast("string"), F.when(mode == 1, F.lit("B")).otherwise(F.lit("A"))))
+
+
+def camelot_steps(members: DataFrame, basket: str, position: str, code: str) -> DataFrame:
+    """basket, steps, smooth: neighbours of known key; smooth are the same key, one step of the wheel, the relative key or two steps up."""
+    w = W.partitionBy(basket).orderBy(position)
+    b, a = F.col(code), F.lag(code).over(w)
+    number = lambda c: F.regexp_extract(c, r"^(\d+)", 1).cast("int")
+    up = F.pmod(number(b) - number(a), F.lit(12))
+    same = F.right(a, F.lit(1)) == F.right(b, F.lit(1))
+    near = F.when(same, up.isin(0, 1, 2, 11)).otherwise(up == 0)
+    known = a.isNotNull() & b.isNotNull()
+    m = members.withColumn("_step", known.cast("int")).withColumn("_near", F.when(known, near.cast("int")))
+    return m.groupBy(basket).agg(F.coalesce(F.sum("_step"), F.lit(0)).alias("steps"), F.coalesce(F.sum("_near"), F.lit(0)).alias("smooth"))
+
+
+def arc_target(place: Column, size: Column) -> Column:
+    """A gentle rise to 1 at two thirds of a list and a release to 0.5: the energy wanted at a place from 1."""
+    x = (place - 1) / F.greatest(size - 1, F.lit(1))
+    return F.when(x <= 2 / 3, 0.3 + 0.7 * x / (2 / 3)).otherwise(1.0 - 0.5 * (x - 2 / 3) / (1 / 3))
+
+
+def energy_arc(members: DataFrame, basket: str, position: str, energy: str) -> DataFrame:
+    """basket, jump, off: the mean energy step between neighbours and the mean distance from the arc; members without energy are left out."""
+    order = W.partitionBy(basket).orderBy(position)
+    known = members.where(F.col(energy).isNotNull())
+    m = known.withColumn("_place", F.row_number().over(order)).withColumn("_size", F.count("*").over(W.partitionBy(basket))).withColumn("_jump", F.abs(F.col(energy) - F.lag(energy).over(order)))
+    off = F.abs(F.col(energy) - arc_target(F.col("_place"), F.col("_size")))
+    return m.groupBy(basket).agg(F.avg("_jump").alias("jump"), F.avg(off).alias("off"))
+
+
 def item_vectors(members: DataFrame, size: int = 32, window: int = 10, min_count: int = 1, seed: int = 1):
     """Word2vec over baskets as sentences of items in order; returns the fitted model."""
     from pyspark.ml.feature import Word2Vec

@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ostinata.functions import text as tx
+from ostinata.sources.storage import Scratch
 
 LIKED = "Liked Songs (from Spotify)"
 
@@ -42,13 +43,18 @@ def unique_tracks(members: DataFrame, key: str = "key", order: tuple[str, ...] =
 
 
 def with_ids(rows: DataFrame, order: list[str], name: str = "id") -> DataFrame:
-    """Dense ids from 1 in the given total order, without moving all rows to one task: each range is numbered by itself and shifted by the counts before it."""
-    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id())
-    counts = ranged.groupBy("_p").agg(F.count("*").alias("_n"))
+    """Dense ids from 1 in the given total order, without moving all rows to one task: each range is numbered by itself and shifted by the counts before it.
+
+    The ranges are written with their numbers, so that counts and rows can't be of different ranges.
+    """
+    ranged = rows.repartitionByRange(*order).withColumn("_p", F.spark_partition_id())
+    kept = Scratch(rows.sparkSession).keep(ranged)
+    counts = kept.groupBy("_p").agg(F.count("*").alias("_n"))
     before = W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)  # one row for each range
     shifts = counts.select("_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     inner = W.partitionBy("_p").orderBy(*order)
-    return ranged.withColumn("_rn", F.row_number().over(inner)).join(shifts, "_p").withColumn(name, F.col("_before") + F.col("_rn")).drop("_p", "_rn", "_before")
+    numbered = kept.withColumn("_rn", F.row_number().over(inner)).join(F.broadcast(shifts), "_p")  # no more rows than shuffle partitions
+    return numbered.withColumn(name, F.col("_before") + F.col("_rn")).drop("_p", "_rn", "_before")
 
 
 def unique_names(playlists: DataFrame, name: str = "name", order: str = "ord") -> DataFrame:

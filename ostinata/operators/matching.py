@@ -1,8 +1,10 @@
 """Entity resolution of tracks against a catalog: exact code first, then scored titles.
 
 tracks(ord, title, artists, duration_ms, isrc), catalog(id, title, artist, duration_ms, isrc, cand_pos).
-Titles that can score at all are in a prefix relation once normalised, so candidates are found by equi-joins
-of one side's prefixes with the other side's whole title; no cross product is formed.
+Titles that can score at all are in a prefix relation once normalised. The shorter one's longest prefix of a
+length in STEPS is among those of the longer one, so candidates are found by an equi-join of the one with the
+few others, and kept where the relation holds. Titles of nothing but signs score with every song (or every song of such a
+title); of these only the best can win, so they meet the catalog's best by artist and by duration. No cross product is formed.
 """
 
 from __future__ import annotations
@@ -12,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ostinata.functions import text as tx
 from ostinata.operators.library import first_by
+from ostinata.sources.storage import Scratch
 
 
 def resolve_by_isrc(tracks: DataFrame, catalog: DataFrame) -> DataFrame:
@@ -22,27 +25,69 @@ def resolve_by_isrc(tracks: DataFrame, catalog: DataFrame) -> DataFrame:
     return t.join(c, "code").groupBy("ord").agg(F.min_by("id", near).alias("target_id"))
 
 
-def _prefixes(c: str) -> Column:
-    """All prefixes of a normalised title but the empty one."""
-    return F.transform(F.sequence(F.lit(1), F.length(c)), lambda n: F.substring(F.col(c), F.lit(1), n))
+#: Lengths of the prefixes that titles are joined by.
+STEPS = (1, 2, 3, 4, 6, 8, 11, 16, 23, 32, 45, 64, 91, 128)
+_GRAM = 3
 
 
-def title_candidates(tracks: DataFrame, catalog: DataFrame) -> DataFrame:
-    """ord, cand_pos pairs whose title score can be positive. tracks(ord, ns, nk), catalog(cand_pos, nc): normalised titles."""
-    t, c = tracks.where("ns <> ''"), catalog.where("nc <> ''")
-    shorter = t.select("ord", F.explode(_prefixes("ns")).alias("k")).join(c.select("cand_pos", F.col("nc").alias("k")), "k")
-    longer = c.select("cand_pos", F.explode(_prefixes("nc")).alias("k")).join(t.select("ord", F.col("ns").alias("k")), "k")
-    # empty source titles score against everything, sources that clean to nothing against empty candidates
-    empty = tracks.where("ns = ''").select("ord").crossJoin(catalog.select("cand_pos"))
-    blank = tracks.where("nk = '' AND ns <> ''").select("ord").crossJoin(catalog.where("nc = ''").select("cand_pos"))
-    return shorter.select("ord", "cand_pos").unionByName(longer.select("ord", "cand_pos")).unionByName(empty).unionByName(blank).distinct()
+def _step_of(c: str) -> Column:
+    """The longest prefix of a length in STEPS."""
+    cut = F.lit(STEPS[0])
+    for n in STEPS[1:]:
+        cut = F.when(F.length(c) >= n, F.lit(n)).otherwise(cut)
+    return F.substring(F.col(c), F.lit(1), cut)
+
+
+def _steps(c: str) -> Column:
+    """All prefixes of lengths in STEPS."""
+    return F.transform(F.filter(F.array(*map(F.lit, STEPS)), lambda n: n <= F.length(c)), lambda n: F.substring(F.col(c), F.lit(1), n))
+
+
+def _holding(tracks: DataFrame, catalog: DataFrame) -> DataFrame:
+    """na, ca: artists of tracks and, for each, those of the catalog that contain it; blocked by the first _GRAM characters."""
+    a = tracks.where("na <> ''").select("na").distinct().withColumn("g", F.substring("na", 1, _GRAM))
+    grams = F.array_distinct(F.flatten(F.transform(F.array(*map(F.lit, range(1, _GRAM + 1))), lambda k: F.transform(F.sequence(F.lit(1), F.greatest(F.length("ca") - k + 1, F.lit(1))), lambda i: F.substring(F.col("ca"), i, k)))))
+    c = catalog.where("ca <> ''").select("ca").distinct().select("ca", F.explode(grams).alias("g"))
+    return a.join(c, "g").where(F.contains("ca", "na")).select("na", "ca").distinct()
+
+
+def _signs_only(tracks: DataFrame, catalog: DataFrame) -> DataFrame:
+    """ord, cand_pos: for titles that are, or clean to, nothing, the songs of which the best must be one.
+
+    Any song scores for an empty title, a song of an empty title for one that cleans to nothing. Without the artist and the
+    duration none reaches the lowest band, so the songs wanted are the first of each artist that contains the track's,
+    all of these with a near duration, and the first with a near duration.
+    """
+    t = tracks.where("ns = '' OR nk = ''").select("ord", "na", "ms", (F.col("ns") != "").alias("only_empty"))
+    c = catalog.select("cand_pos", "ca", "song_ms", (F.col("nc") == "").alias("is_empty"))
+    fits = F.expr("is_empty OR NOT only_empty")
+    tol = tx.DURATION_TOLERANCE_MS
+    slot = F.floor(F.col("song_ms") / tol)
+    near_slots = F.explode(F.sequence(F.floor(F.col("ms") / tol) - 1, F.floor(F.col("ms") / tol) + 1)).alias("slot")
+    near = F.abs(F.col("ms") - F.col("song_ms")) <= tol
+    held = t.join(_holding(t, c), "na")
+    first = c.groupBy("ca", "is_empty").agg(F.min("cand_pos").alias("cand_pos"))
+    by_artist = held.join(first, "ca").where(fits)
+    at = c.groupBy("ca", "is_empty", "song_ms").agg(F.min("cand_pos").alias("cand_pos")).withColumn("slot", slot)
+    both = held.select("ord", "ca", "ms", "only_empty", near_slots).join(at, ["ca", "slot"]).where(fits & near)
+    when = c.groupBy("is_empty", "song_ms").agg(F.min("cand_pos").alias("cand_pos")).withColumn("slot", slot)
+    asked = t.select("ms", "only_empty").distinct().select("ms", "only_empty", near_slots)
+    soonest = asked.join(when, "slot").where(fits & near).groupBy("ms", "only_empty", "is_empty").agg(F.min("cand_pos").alias("cand_pos"))
+    by_time = t.select("ord", "ms", "only_empty").join(soonest, ["ms", "only_empty"])
+    return by_artist.select("ord", "cand_pos").unionByName(both.select("ord", "cand_pos")).unionByName(by_time.select("ord", "cand_pos")).distinct()
 
 
 def score_candidates(tracks: DataFrame, catalog: DataFrame) -> DataFrame:
-    """ord, cand_pos, target_id, score of all candidates with a positive title score."""
+    """ord, cand_pos, target_id, score of the candidates with a positive title score; of titles that are or clean to nothing only those that can be best."""
     t = tracks.select("ord", tx.normalize("title").alias("ns"), tx.track_key("title").alias("nk"), tx.normalize(F.try_element_at("artists", F.lit(1))).alias("na"), F.coalesce("duration_ms", F.lit(0)).alias("ms"))
     c = catalog.select("cand_pos", F.col("id").alias("target_id"), tx.normalize("title").alias("nc"), tx.normalize("artist").alias("ca"), F.coalesce("duration_ms", F.lit(0)).alias("song_ms"))
-    pairs = title_candidates(t, c).join(t, "ord").join(c, "cand_pos")
+    some, songs = t.where("ns <> ''"), c.where("nc <> ''")
+    # the song's title begins the track's, or is longer and begins with it
+    within = some.withColumn("k", F.explode(_steps("ns"))).join(songs.withColumn("k", _step_of("nc")), "k").where(F.startswith("ns", "nc"))
+    beyond = songs.withColumn("k", F.explode(_steps("nc"))).join(some.withColumn("k", _step_of("ns")), "k").where(F.startswith("nc", "ns") & (F.length("nc") > F.length("ns")))
+    columns = ["ord", "ns", "nk", "na", "ms", "cand_pos", "target_id", "nc", "ca", "song_ms"]
+    signs = _signs_only(t, c).join(t, "ord").join(c, "cand_pos")
+    pairs = within.select(*columns).unionByName(beyond.select(*columns)).unionByName(signs.select(*columns))
     title = tx.title_score_normalized(F.col("ns"), F.col("nk"), F.col("nc"))
     artist = F.when((F.col("na") != "") & F.contains("ca", "na"), F.lit(1.0)).otherwise(F.lit(0.0))
     near = F.abs(F.col("ms") - F.col("song_ms")) <= tx.DURATION_TOLERANCE_MS
@@ -57,7 +102,7 @@ def resolve_by_title(tracks: DataFrame, catalog: DataFrame) -> DataFrame:
 
 def match(tracks: DataFrame, catalog: DataFrame) -> DataFrame:
     """ord, target_id, confidence, method, note of every track: code lookup, then titles for the rest."""
-    exact = resolve_by_isrc(tracks, catalog)
+    exact = Scratch(tracks.sparkSession).keep(resolve_by_isrc(tracks, catalog))  # read twice
     rest = tracks.join(exact, "ord", "left_anti")
     found = resolve_by_title(rest, catalog)
     out = tracks.select("ord").join(exact.select("ord", F.col("target_id").alias("x")), "ord", "left").join(found.select("ord", F.col("target_id").alias("s"), "confidence"), "ord", "left")

@@ -127,3 +127,12 @@ def enrich(tracks: DataFrame, catalog: DataFrame, source: str = "deezer") -> Dat
 
 def enrich_counts(enriched: DataFrame) -> DataFrame:
     return enriched.agg(F.count_if("searched").alias("searched"), F.count_if("new_isrc").alias("with_isrc"), F.count_if("new_bpm").alias("with_bpm"))
+
+
+def lookup_dimension(tracks: DataFrame, catalog: DataFrame, *columns: str) -> DataFrame:
+    """Tracks with further columns (a key and mode, lyrics) of the catalog's song that pick_features finds; tracks without one have NULLs.
+
+    catalog(id, title, artist, duration_sec, cand_pos, columns), tracks(ord unique, title, artist, durationMs).
+    """
+    found = pick_features(tracks, catalog).select("ord", "id").join(catalog.select("id", *columns), "id").drop("id")
+    return tracks.drop(*columns).join(found, "ord", "left")

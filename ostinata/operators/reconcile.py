@@ -55,7 +55,7 @@ def batches(rows: DataFrame, playlist: str = "name", size: int = ADD_BATCH) -> D
 
 
 def push_plan(playlists: DataFrame, members: DataFrame, resolved: DataFrame, state: DataFrame, existing: DataFrame, refs: DataFrame, adopt: bool = False) -> DataFrame:
-    """name, action, to_add, ordered of every collection: what a push would append. Nothing is written (dry run).
+    """name, action, target_id, to_add, ordered of every collection: what a push would append, and to what (NULL where it is to be created). Nothing is written (dry run).
 
     state(name, target_id, added_ids, adopted). Adopted collections are compared with their contents, others with the record.
     """
@@ -69,17 +69,24 @@ def push_plan(playlists: DataFrame, members: DataFrame, resolved: DataFrame, sta
     diff = (F.col("action") == "adopt") | F.coalesce("adopted", F.lit(False))
     out = by_record.join(lacking, "name", "left")
     to_add = F.when(F.col("action") == "skip", none).when(diff, F.coalesce("lacking", none)).otherwise(F.col("to_add"))
-    return out.select("name", "action", to_add.alias("to_add"), F.when(diff, F.lit(True)).otherwise(F.col("ordered")).alias("ordered"))
+    return out.select("name", "action", "target_id", to_add.alias("to_add"), F.when(diff, F.lit(True)).otherwise(F.col("ordered")).alias("ordered"))
 
 
-def next_state(state: DataFrame, plan: DataFrame) -> DataFrame:
-    """The record after a push: created ones get an id by name, appended ids are recorded, all but skipped ones are done."""
+def next_state(state: DataFrame, plan: DataFrame, created: DataFrame | None = None) -> DataFrame:
+    """The record after a push: created ones get their id from created(name, target_id) (by name without it), adopted ones that of what was found,
+    appended ids are recorded, all but skipped ones are done."""
     none = F.array().cast("array<string>")
-    j = plan.join(state, "name", "full")
+    p = plan.select("name", "action", "to_add", *[F.col(c).alias("_found") for c in plan.columns if c == "target_id"])
+    j = p.join(state, "name", "full")
+    if created is not None:
+        j = j.join(created.select("name", F.col("target_id").alias("_new")), "name", "left")
     done = F.coalesce(F.col("action") != "skip", F.lit(False))
+    fresh = F.col("_new") if created is not None else F.concat(F.lit("new:"), "name")
+    known = F.nullif("target_id", F.lit(""))
+    found = F.when(F.col("action") == "adopt", F.col("_found")) if "_found" in j.columns else F.lit(None).cast("string")
     return j.select(
         "name",
-        F.coalesce(F.nullif("target_id", F.lit("")), F.when(done, F.concat(F.lit("new:"), "name"))).alias("target_id"),
+        F.coalesce(known, found, F.when(done & (F.col("action") != "resume"), fresh)).alias("target_id"),
         F.when(done, F.concat(F.coalesce("added_ids", none), "to_add")).otherwise(F.coalesce("added_ids", none)).alias("added_ids"),
         (done | F.coalesce("done", F.lit(False))).alias("done"),
         (F.coalesce(F.col("action") == "adopt", F.lit(False)) | F.coalesce("adopted", F.lit(False))).alias("adopted"),

@@ -12,8 +12,13 @@ from ostinata.operators import library as lb
 from ostinata.operators import matching as mt
 from ostinata.operators import merge as mg
 from ostinata.operators import reconcile as rc
+from ostinata.sources.lists import path_exists, read_library
+from ostinata.sources.sinks import write_lists
+from ostinata.sources.storage import Scratch
 from ostinata.sources.tables import ImportSource, TablePort
 
+_MEMBERS = "slug string, pos int, " + ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in model.LIST_TRACK)
+
 
 def match_library(playlists: DataFrame, port: TablePort, prior: DataFrame | None = None) -> DataFrame:
     """key, ord, title, artists, target_id, confidence, method, note of all unique tracks of a library(ord, name, tracks)."""
@@ -48,15 +53,35 @@ def create(name: str, tracks: DataFrame, state: DataFrame, port: TablePort) -> D
 def import_lists(existing: DataFrame, source: ImportSource) -> DataFrame:
     """slug, pos and track of all lists after an import; existing(slug, pos, columns of model.LIST_TRACK).
 
-    Lists that the source couldn't read (error is set) are left out; lists with one slug merge into one.
+    Lists that the source couldn't read to their end (error is set) are merged as far as they were read; lists with one slug merge into one.
     """
-    fine = source.lists().where("error IS NULL").select("list", "ord")
-    new = source.tracks().join(fine, "list").withColumn("slug", tx.slugify("list")).withColumn("key", tx.track_key("title"))
+    new = source.tracks().join(source.lists().select("list", "ord"), "list").withColumn("slug", tx.slugify("list")).withColumn("key", tx.track_key("title"))
     # positions run over all lists that share a slug, in the order of the source
     new = new.withColumn("pos", F.col("ord") * F.lit(1 << 32) + F.col("pos"))
     return mg.merge_fold(existing.withColumn("key", tx.track_key("title")), new)
 
 
+def import_counts(source: ImportSource) -> DataFrame:
+    """One row: lists, how many of them are incomplete, tracks."""
+    tracks = source.tracks().groupBy("list").agg(F.count("*").alias("n"))
+    return source.lists().join(tracks, "list", "left").agg(F.count("*").alias("lists"), F.count_if(F.col("error").isNotNull()).alias("incomplete"), F.coalesce(F.sum("n"), F.lit(0)).alias("tracks"))
+
+
+def import_into(folder: str, source: ImportSource) -> DataFrame:
+    """An import merged into the list files of a folder, whose names become those of the source; returns the counts."""
+    spark = source.lists().sparkSession
+    there = lists_exist(spark, folder)
+    old = lb.flatten(read_library(spark, folder), "slug") if there else spark.createDataFrame([], _MEMBERS)
+    merged = Scratch(spark).keep(import_lists(old, source))
+    named = source.lists().groupBy(tx.slugify("list").alias("slug")).agg(F.max_by("list", "ord").alias("name"))
+    # lists that the import didn't touch stay as they are; those without a track have a file too
+    fields = [c for c in merged.columns if c not in ("slug", "pos")]
+    tracks = merged.groupBy("slug").agg(lb.in_order("pos", F.struct(*fields)).alias("tracks"))
+    kind = dict(tracks.dtypes)["tracks"]
+    write_lists(named.join(tracks, "slug", "left").select("name", F.coalesce("tracks", F.array().cast(kind)).alias("tracks")), folder)
+    return import_counts(source)
+
+
 def enrich_library(members: DataFrame, catalog: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(tracks filled from the feature catalog, counters); members(ord unique, title, artist, durationMs, isrc, features)."""
     done = mg.enrich(members, catalog)
@@ -64,11 +89,24 @@ def enrich_library(members: DataFrame, catalog: DataFrame) -> tuple[DataFrame, D
 
 
 def curate_library(members: DataFrame, seed: str, name: str | None = None, **options) -> DataFrame:
-    """name, place, title, artist of a new list around a seed."""
+    """name, place, title, artist and further columns of members in a new list around a seed."""
     if not seed.strip():
         raise ValueError("a seed is required")
     label = F.lit(name) if name else tx.curated_name(F.lit(seed))
-    return cu.curate(members, seed, **options).select(label.alias("name"), "place", "title", "artist")
+    return cu.curate(members, seed, **options).select(label.alias("name"), "*")
+
+
+def curate_into(folder: str, seed: str, name: str | None = None, **options) -> DataFrame:
+    """A list around a seed from the list files of a folder, with all that their tracks have but ids and gain, written beside them; returns its rows."""
+    spark = SparkSession.getActiveSession()
+    made = Scratch(spark).keep(cu.to_tracks(curate_library(cu.to_rows(read_library(spark, folder), "ord"), seed, name, **options)))
+    fields = [f.name for f in model.LIST_TRACK if f.name in made.columns]
+    write_lists(made.groupBy("name").agg(lb.in_order("place", F.struct(*fields)).alias("tracks")), folder)
+    return made
+
+
+def lists_exist(spark: SparkSession, folder: str) -> bool:
+    return path_exists(spark, f"{folder}/*.json")
 
 
 def empty_state(spark: SparkSession) -> DataFrame:

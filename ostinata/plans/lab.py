@@ -47,6 +47,9 @@ CONNECTORS = "SELECT t.id, t.title, t.artist, count(DISTINCT m.playlist_id) AS i
 TOP_PAIRS = "SELECT artist_a, artist_b, weight FROM artist_cooccurrence ORDER BY weight DESC, artist_a, artist_b LIMIT 20"
 NEIGHBOURS = "SELECT CASE WHEN artist_a = :a THEN artist_b ELSE artist_a END AS artist, weight FROM artist_cooccurrence WHERE artist_a = :a OR artist_b = :a ORDER BY weight DESC, artist LIMIT :k"
 
+LIST_TRACKS = "SELECT m.position, t.title, t.artist FROM tracks t JOIN playlist_tracks m ON m.track_id = t.id JOIN playlists p ON p.id = m.playlist_id WHERE p.slug = :slug ORDER BY m.position LIMIT :n"
+COUNTS = "SELECT (SELECT count(*) FROM playlists) AS playlists, (SELECT count(*) FROM tracks) AS tracks, (SELECT count(*) FROM playlist_tracks) AS memberships, (SELECT count(*) FROM track_cooccurrence) AS track_pairs, (SELECT count(*) FROM artist_cooccurrence) AS artist_pairs"
+
 
 def artist_pmi(found: dict[str, DataFrame], min_weight: int = 2) -> DataFrame:
     members = found["playlist_tracks"].join(found["tracks"].select(F.col("id").alias("track_id"), "artist"), "track_id")

@@ -17,10 +17,11 @@ from ostinata.operators import library as lb
 from ostinata.operators import merge as mg
 from ostinata.operators import reconcile as rc
 from ostinata.operators import report as rp
+from ostinata.plans import lab
 from ostinata.plans.queries_text import t
 from ostinata.streaming.imports import windowed_counts
 
-CAP = 8
+CAP = af.MAX_BASKET
 SEED = "Brand#11"
 
 
@@ -227,12 +228,126 @@ SELECT CAST(pick AS INTEGER) AS pick, artist, title FROM c WHERE pick <= 100"""
 
 
 def separate(spark, sf):
-    """All orders resequenced; greedy and sequential within an order, so without SQL."""
+    """All orders resequenced."""
     return cu.separate(members(spark, sf).select("basket", "pos", "item", "artist"), "basket", "pos", "artist").select("basket", "place", "item", "artist")
 
 
 def curate(spark, sf):
-    return cu.curate(members(spark, sf).withColumnRenamed("basket", "ord"), SEED, cap=CAP)
+    return cu.curate(members(spark, sf).select(F.col("basket").alias("ord"), "pos", "title", "artist", "item"), SEED, cap=CAP)
+
+
+#: One step of the separation rule over `left_`, a list of structs with artist and pos; `pick` was taken last.
+def _next_sql(*fields: str) -> str:
+    kept = ", ".join(f"'{f}': x.{f}" for f in fields)
+    return f"list_min(list_transform(left_, lambda x: {{'same': coalesce(x.artist = pick.artist, false), 'c': -len(list_filter(left_, lambda y: y.artist = x.artist)), 'pos': x.pos, 'artist': x.artist, {kept}}}))"
+
+
+_SEPARATE = f"""WITH RECURSIVE {_M}, g AS (SELECT basket, list({{'same': false, 'c': 0, 'pos': pos, 'artist': artist, 'item': item}} ORDER BY pos) AS left_ FROM m GROUP BY basket),
+r AS (SELECT basket, left_, {{'same': false, 'c': 0, 'pos': CAST(-1 AS BIGINT), 'artist': CAST(NULL AS VARCHAR), 'item': CAST(NULL AS BIGINT)}} AS pick, 0 AS place FROM g
+UNION ALL SELECT basket, list_filter(left_, lambda x: x.pos <> p.pos), p, place + 1 FROM (SELECT basket, left_, place, {_next_sql('item')} AS p FROM r WHERE len(left_) > 0))
+SELECT basket, CAST(place AS BIGINT) AS place, pick.item AS item, pick.artist AS artist FROM r WHERE place > 0"""
+
+_CURATE = f"""WITH RECURSIVE {_CAPPED}, {_pairs_sql("artist")}, nb AS (SELECT CASE WHEN a = '{SEED}' THEN b ELSE a END AS artist, weight FROM pr WHERE a = '{SEED}' OR b = '{SEED}' ORDER BY weight DESC, artist LIMIT 12),
+rk AS (SELECT artist, row_number() OVER (ORDER BY weight DESC, artist) AS rank FROM nb UNION ALL SELECT '{SEED}', 0),
+po AS (SELECT artist, title, arg_min(item, (basket, pos)) AS item FROM m GROUP BY artist, title), rd AS (SELECT *, row_number() OVER (PARTITION BY artist ORDER BY title) AS round FROM po JOIN rk USING (artist)),
+c AS (SELECT artist, title, item, row_number() OVER (ORDER BY round, rank) AS pos FROM rd),
+g AS (SELECT list({{'same': false, 'c': 0, 'pos': pos, 'artist': artist, 'title': title, 'item': item}} ORDER BY pos) AS left_ FROM c WHERE pos <= {cu.SIZE}),
+r AS (SELECT left_, {{'same': false, 'c': 0, 'pos': CAST(-1 AS BIGINT), 'artist': CAST('' AS VARCHAR), 'title': CAST(NULL AS VARCHAR), 'item': CAST(NULL AS BIGINT)}} AS pick, 0 AS place FROM g
+UNION ALL SELECT list_filter(left_, lambda x: x.pos <> p.pos), p, place + 1 FROM (SELECT left_, place, {_next_sql('title', 'item')} AS p FROM r WHERE len(left_) > 0))
+SELECT CAST(place AS BIGINT) AS place, pick.title AS title, pick.artist AS artist, pick.item AS item FROM r WHERE place > 0"""
+
+
+def _library(spark, sf):
+    """Orders as lists of list tracks: ord, slug, name, tracks."""
+    m = members(spark, sf)
+    none = F.lit(None)
+    ids = F.when(F.col("item") % 3 == 0, F.create_map(F.lit("appleMusic"), F.col("item").cast("string"))).otherwise(none.cast("map<string,string>"))
+    features = F.when(F.col("item") % 4 > 0, F.struct((F.col("p_size") % 4 * 30).cast("double").alias("bpm"), F.lit(-7.0).alias("gain"), F.lit("f").alias("source")))
+    track = F.struct("title", "artist", F.col("p_type").alias("album"), F.round(F.col("p_retailprice") * 100).cast("bigint").alias("durationMs"), F.when(F.col("item") % 5 == 0, F.concat(F.lit("C"), "item")).alias("isrc"), ids.alias("ids"), features.alias("features"))
+    lists = m.groupBy("basket").agg(lb.in_order("pos", track).alias("tracks"))
+    return lists.select(F.col("basket").alias("ord"), F.concat(F.lit("order-"), "basket").alias("slug"), F.concat(F.lit("Order "), "basket").alias("name"), "tracks")
+
+
+def flattened(spark, sf):
+    """Lists back to memberships."""
+    return lb.flatten(_library(spark, sf), "slug").select("slug", "pos", "title", "artist", "durationMs", "isrc", F.element_at("ids", "appleMusic").alias("apple_id"))
+
+
+def curator_rows(spark, sf):
+    """List tracks as curation's rows and back: ids and gain are lost, a tempo gets the catalog's name."""
+    return cu.to_tracks(cu.to_rows(_library(spark, sf), "slug")).select("slug", "pos", "title", "artist", "album", "isrc", "durationMs", F.col("features.bpm").alias("bpm"), F.col("features.source").alias("source"))
+
+
+_ROWS = f"""WITH {_M} SELECT 'order-' || CAST(basket AS VARCHAR) AS slug, CAST(pos AS INTEGER) AS pos, title, artist, p_type AS album, CASE WHEN item % 5 = 0 THEN 'C' || CAST(item AS VARCHAR) END AS isrc, CAST(round(p_retailprice * 100) AS BIGINT) AS "durationMs",
+CASE WHEN item % 4 > 0 AND p_size % 4 > 0 THEN CAST(p_size % 4 * 30 AS DOUBLE) END AS bpm, CASE WHEN item % 4 > 0 AND p_size % 4 > 0 THEN 'deezer' END AS source FROM m"""
+
+
+def track_total(spark, sf):
+    return rp.track_count(_library(spark, sf))
+
+
+def table_rows(spark, sf):
+    """Rows of a table through the parameterised SQL."""
+    t(spark, sf, "lineitem").createOrReplaceTempView("lineitem_rows")
+    return lab.q(spark, "SELECT count(*) AS n FROM lineitem_rows WHERE l_orderkey >= :least", least=0)
+
+
+def lab_counts(spark, sf):
+    """Rows of the analysis tables over all orders."""
+    lab.open_lab(_library(spark, sf))
+    return lab.q(spark, lab.COUNTS)
+
+
+_LAB_COUNTS = f"""WITH {_M}, k AS (SELECT basket, title || '|' || lower(replace(artist, '#', ' ')) AS key, artist FROM m), ok AS (SELECT basket FROM m GROUP BY basket HAVING count(*) <= {CAP}),
+t AS (SELECT DISTINCT basket, key FROM k SEMI JOIN ok USING (basket)), a AS (SELECT DISTINCT basket, artist FROM k SEMI JOIN ok USING (basket))
+SELECT (SELECT count(DISTINCT basket) FROM m) AS playlists, (SELECT count(DISTINCT key) FROM k) AS tracks, (SELECT count(*) FROM m) AS memberships,
+(SELECT count(*) FROM (SELECT DISTINCT x.key, y.key FROM t x JOIN t y ON x.basket = y.basket AND x.key < y.key)) AS track_pairs, (SELECT count(*) FROM (SELECT DISTINCT x.artist, y.artist FROM a x JOIN a y ON x.basket = y.basket AND x.artist < y.artist)) AS artist_pairs"""
+
+
+def list_tracks(spark, sf):
+    """The first forty tracks of one list, by its slug."""
+    lab.open_lab(_library(spark, sf))
+    return lab.q(spark, lab.LIST_TRACKS, slug="order-7", n=40)
+
+
+def line_surrogates(spark, sf):
+    """Dense ids of all order lines, with further columns."""
+    keys = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
+    return lb.with_ids(t(spark, sf, "lineitem").select(*keys, "l_returnflag", "l_shipdate"), keys)
+
+
+def enrich_counters(spark, sf):
+    """How many parts were searched, and how many of them got a code and a tempo."""
+    p = t(spark, sf, "part")
+    tracks = p.select(F.col("p_partkey").alias("ord"), F.col("p_name").alias("title"), F.col("p_brand").alias("artist"), F.lit(0).cast("bigint").alias("durationMs"), F.when(F.col("p_partkey") % 2 == 0, F.lit("own")).alias("isrc"), F.when(F.col("p_partkey") % 3 == 0, F.struct(F.lit(90.0).alias("bpm"), F.lit(0.0).alias("gain"), F.lit("x").alias("source"))).alias("features"))
+    songs = p.where("p_size % 2 = 0").groupBy("p_name", "p_brand").agg(F.min("p_partkey").alias("id"))
+    songs = songs.select("id", F.col("p_name").alias("title"), F.col("p_brand").alias("artist"), F.lit(1).alias("duration_sec"), F.when(F.col("id") % 4 > 0, F.concat(F.lit("C"), "id")).alias("isrc"), F.when(F.col("id") % 5 > 0, 100.0).otherwise(0.0).alias("bpm"), F.lit(-1.0).alias("gain"), F.col("id").alias("cand_pos"))
+    return mg.enrich_counts(mg.enrich(tracks, songs))
+
+
+_COUNTERS = """WITH s AS (SELECT p_name, p_brand, min(p_partkey) AS id FROM part WHERE p_size % 2 = 0 GROUP BY 1, 2), j AS (SELECT p.p_partkey AS k, s.id FROM part p LEFT JOIN s ON p.p_name = s.p_name AND p.p_brand = s.p_brand WHERE p.p_partkey % 3 <> 0)
+SELECT count(*) AS searched, count(*) FILTER (k % 2 <> 0 AND id % 4 > 0) AS with_isrc, count(*) FILTER (id % 5 > 0) AS with_bpm FROM j"""
+
+
+def camelot_moves(spark, sf):
+    m = members(spark, sf).withColumn("code", ev.camelot(F.col("p_size") % 13, F.col("item") % 2))
+    return ev.camelot_steps(m, "basket", "pos", "code")
+
+
+_CAMELOT = f"""WITH {_M}, k AS (SELECT basket, pos, CASE WHEN p_size % 13 < 12 THEN (p_size % 13 * 7 + CASE WHEN item % 2 = 1 THEN 7 ELSE 4 END) % 12 END AS n, item % 2 AS major FROM m),
+l AS (SELECT basket, n, major, lag(n) OVER w AS pn, lag(major) OVER w AS pm FROM k WINDOW w AS (PARTITION BY basket ORDER BY pos))
+SELECT basket, count(*) FILTER (n IS NOT NULL AND pn IS NOT NULL) AS steps, count(*) FILTER (n IS NOT NULL AND pn IS NOT NULL AND CASE WHEN major = pm THEN (n - pn + 12) % 12 IN (0, 1, 2, 11) ELSE n = pn END) AS smooth FROM l GROUP BY 1"""
+
+
+def energy_arcs(spark, sf):
+    m = members(spark, sf).withColumn("energy", F.col("p_size") / 50.0)
+    out = ev.energy_arc(m, "basket", "pos", "energy")
+    return out.select("basket", F.round("jump", 6).alias("jump"), F.round("off", 6).alias("off"))
+
+
+_ARC = f"""WITH {_M}, k AS (SELECT basket, p_size / 50.0::DOUBLE AS e, row_number() OVER (PARTITION BY basket ORDER BY pos) AS p, count(*) OVER (PARTITION BY basket) AS n, abs(p_size / 50.0::DOUBLE - lag(p_size / 50.0::DOUBLE) OVER (PARTITION BY basket ORDER BY pos)) AS j FROM m),
+x AS (SELECT *, (p - 1)::DOUBLE / greatest(n - 1, 1) AS x FROM k), y AS (SELECT basket, j, abs(e - CASE WHEN x <= 2::DOUBLE / 3 THEN 0.3::DOUBLE + 0.7::DOUBLE * x / (2::DOUBLE / 3) ELSE 1.0::DOUBLE - 0.5::DOUBLE * (x - 2::DOUBLE / 3) / (1::DOUBLE / 3) END) AS o FROM x)
+SELECT basket, round(avg(j), 6) AS jump, round(avg(o), 6) AS off FROM y GROUP BY 1"""
 
 
 # merge
@@ -264,6 +379,22 @@ def merge_fold(spark, sf):
     return mg.merge_fold(e, i).select("slug", "pos", "title", "artist", "album", "durationMs", "isrc", F.element_at("ids", "shop").alias("shop_id"))
 
 
+_FOLD = """WITH RECURSIVE o AS (SELECT p_brand AS slug, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS i, p_name AS title, CASE WHEN p_partkey % 4 = 0 THEN 'OLD' END AS isrc FROM part WHERE p_partkey % 2 = 0),
+n AS (SELECT p_brand AS slug, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS k, upper(p_name) AS title, p_name AS key, CASE WHEN p_partkey % 5 > 0 THEN p_type END AS album, p_partkey % 7 * 100 AS dur, CASE WHEN p_partkey % 5 = 1 THEN 'NEW' END AS isrc, CAST(p_partkey AS VARCHAR) AS sid FROM part WHERE p_partkey % 3 > 0),
+u AS (SELECT slug FROM o UNION SELECT slug FROM n),
+c AS (SELECT slug, map_from_entries(list({'k': isrc, 'v': i})) AS m FROM (SELECT slug, isrc, max(i) AS i FROM o WHERE isrc IS NOT NULL GROUP BY 1, 2) GROUP BY 1),
+t AS (SELECT slug, map_from_entries(list({'k': title, 'v': i})) AS m FROM (SELECT slug, title, max(i) AS i FROM o GROUP BY 1, 2) GROUP BY 1),
+l AS (SELECT slug, list({'title': title, 'key': title, 'album': CAST(NULL AS VARCHAR), 'dur': CAST(5 AS BIGINT), 'isrc': isrc, 'sid': CAST(NULL AS VARCHAR)} ORDER BY i) AS r FROM o GROUP BY 1),
+z AS (SELECT slug, coalesce(l.r, []) AS r, coalesce(c.m, MAP {}) AS code, coalesce(t.m, MAP {}) AS title, CAST(0 AS BIGINT) AS k FROM u LEFT JOIN l USING (slug) LEFT JOIN c USING (slug) LEFT JOIN t USING (slug)),
+f AS (SELECT * FROM z UNION ALL
+  SELECT slug, r2, CASE WHEN isrc IS NULL THEN code ELSE map_concat(code, MAP {isrc: i}) END, map_concat(title, MAP {r2[i].key: i}), k FROM (
+    SELECT slug, code, title, k, isrc, i, list_transform(r1, lambda x, j: CASE WHEN j = i THEN {'title': x.title, 'key': x.key, 'album': coalesce(album, x.album), 'dur': CASE WHEN dur > 0 THEN dur ELSE x.dur END, 'isrc': coalesce(isrc, x.isrc), 'sid': sid} ELSE x END) AS r2 FROM (
+      SELECT g.*, coalesce(hit, len(r) + 1) AS i, CASE WHEN hit IS NULL THEN list_append(r, {'title': ntitle, 'key': key, 'album': CAST(NULL AS VARCHAR), 'dur': CAST(NULL AS BIGINT), 'isrc': CAST(NULL AS VARCHAR), 'sid': CAST(NULL AS VARCHAR)}) ELSE r END AS r1 FROM (
+        SELECT f.slug, f.r, f.code, f.title, n.k, n.isrc, n.album, n.dur, n.sid, n.key, n.title AS ntitle, coalesce(CASE WHEN n.isrc IS NOT NULL THEN f.code[n.isrc] END, f.title[n.key]) AS hit FROM f JOIN n ON n.slug = f.slug AND n.k = f.k + 1) g))),
+e AS (SELECT slug, max_by(r, k) AS r FROM f GROUP BY slug), w AS (SELECT slug, unnest(r) AS x, generate_subscripts(r, 1) AS i FROM e)
+SELECT slug, CAST(i - 1 AS BIGINT) AS pos, x.title AS title, slug AS artist, x.album AS album, x.dur AS "durationMs", x.isrc AS isrc, x.sid AS shop_id FROM w"""
+
+
 # evaluation
 
 
@@ -343,7 +474,7 @@ def event_features(spark, sf):
 _NAMES = [
     artist_cooccurrence, track_cooccurrence, neighbours, top_neighbours, playlists_per_artist, pmi, unique_tracks, distinct_artists, library_overview, size_describe, size_histogram, top_artists,
     connectors, union_liked, owned_only, completeness_filter, resolved_count, track_surrogates, resolve_ids, reconcile_prefix, adopt_diff, playlist_decision, append_batches, gather_round_robin, separate,
-    curate, merge_tracks, merge_fold, holdout_recall, adjacent_repeats, ranking_metrics, r_precision, label_diversity, concentration, tempo_steps, event_counts, event_features,
+    curate, flattened, curator_rows, track_total, table_rows, lab_counts, list_tracks, line_surrogates, enrich_counters, camelot_moves, energy_arcs, merge_tracks, merge_fold, holdout_recall, adjacent_repeats, ranking_metrics, r_precision, label_diversity, concentration, tempo_steps, event_counts, event_features,
 ]
 QUERIES = {f.__name__: f for f in _NAMES}
 
@@ -372,7 +503,20 @@ SQL = {
     "playlist_decision": _DECIDE,
     "append_batches": "SELECT user_id AS name, event_id AS pos, (row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1) // 15 AS batch FROM events",
     "gather_round_robin": _GATHER,
+    "separate": _SEPARATE,
+    "curate": _CURATE,
+    "flattened": f"""WITH {_M} SELECT 'order-' || CAST(basket AS VARCHAR) AS slug, CAST(pos AS INTEGER) AS pos, title, artist, CAST(round(p_retailprice * 100) AS BIGINT) AS "durationMs", CASE WHEN item % 5 = 0 THEN 'C' || CAST(item AS VARCHAR) END AS isrc, CASE WHEN item % 3 = 0 THEN CAST(item AS VARCHAR) END AS apple_id FROM m""",
+    "curator_rows": _ROWS,
+    "track_total": "SELECT count(*) AS tracks FROM lineitem JOIN part ON l_partkey = p_partkey",
+    "table_rows": "SELECT count(*) AS n FROM lineitem WHERE l_orderkey >= 0",
+    "lab_counts": _LAB_COUNTS,
+    "list_tracks": f"WITH {_M} SELECT CAST(pos AS INTEGER) AS position, title, artist FROM m WHERE basket = 7 AND pos < 40",
+    "line_surrogates": "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_returnflag, l_shipdate, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS id FROM lineitem",
+    "enrich_counters": _COUNTERS,
+    "camelot_moves": _CAMELOT,
+    "energy_arcs": _ARC,
     "merge_tracks": _MERGE,
+    "merge_fold": _FOLD,
     "holdout_recall": _HOLD,
     "adjacent_repeats": f"WITH {_M}, l AS (SELECT basket, artist = lag(artist) OVER (PARTITION BY basket ORDER BY pos) AS same FROM m) SELECT basket, count(*) FILTER (same) AS repeats FROM l GROUP BY 1",
     "ranking_metrics": _RANK,

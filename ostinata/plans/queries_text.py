@@ -213,7 +213,22 @@ _UNIQUE_NAMES = """WITH b AS (SELECT p_partkey AS ord, CASE WHEN p_partkey % 7 =
 n AS (SELECT ord, base, row_number() OVER (PARTITION BY base ORDER BY ord) AS k FROM b)
 SELECT ord, CASE WHEN k > 1 THEN base || ' (' || CAST(k AS VARCHAR) || ')' ELSE base END AS name FROM n"""
 
-QUERIES = {f.__name__: f for f in (norm_title, clean_title, track_key, slugify, lab_norm, split_line, artist_split, truncated, match_keys, title_scores, match_score_bands, isrc_resolve, text_resolve, match_two_pass, match_resume, enrich_lookup, match_summary, unmatched_report, unmatched_more, unique_names)}
+
+def lab_keys(spark, sf):
+    return t(spark, sf, "part").select("p_partkey", tx.lab_key(F.concat("p_name", F.lit(" ("), "p_type", F.lit(")")), "p_brand").alias("key"))
+
+
+def joined_artists(spark, sf):
+    """Sorted brands of each size, joined as a display name."""
+    g = t(spark, sf, "part").groupBy("p_size").agg(F.sort_array(F.collect_set("p_brand")).alias("artists"))
+    return g.select("p_size", tx.join_artists("artists").alias("artist"))
+
+
+def default_names(spark, sf):
+    return t(spark, sf, "part").select("p_partkey", tx.curated_name("p_brand").alias("name"))
+
+
+QUERIES = {f.__name__: f for f in (norm_title, clean_title, track_key, slugify, lab_norm, split_line, artist_split, truncated, match_keys, title_scores, match_score_bands, isrc_resolve, text_resolve, match_two_pass, match_resume, enrich_lookup, match_summary, unmatched_report, unmatched_more, unique_names, lab_keys, joined_artists, default_names)}
 
 SQL = {
     "norm_title": f"SELECT doc_id, {norm_sql('text')} AS norm FROM documents",
@@ -237,4 +252,7 @@ SELECT 'k' || CAST(m.ord AS VARCHAR) AS key, coalesce(pr.target_id, m.target_id)
     "unmatched_report": "SELECT doc_id AS ord, CASE WHEN length(text) > 60 THEN substr(text, 1, 59) || '…' ELSE text END AS title FROM documents LEFT JOIN labels USING (doc_id) WHERE quality IS NULL ORDER BY doc_id LIMIT 50",
     "unmatched_more": "SELECT greatest(count(*) FILTER (quality IS NULL) - 50, 0) AS more FROM documents LEFT JOIN labels USING (doc_id)",
     "unique_names": _UNIQUE_NAMES,
+    "lab_keys": r"SELECT p_partkey, trim(regexp_replace(lower(p_name || ' (' || p_type || ')'), '[^0-9a-z]+', ' ', 'g')) || '|' || trim(regexp_replace(lower(p_brand), '[^0-9a-z]+', ' ', 'g')) AS key FROM part",
+    "joined_artists": "SELECT p_size, string_agg(DISTINCT p_brand, ', ' ORDER BY p_brand) AS artist FROM part GROUP BY 1",
+    "default_names": "SELECT p_partkey, 'Around ' || p_brand AS name FROM part",
 }

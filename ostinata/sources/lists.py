@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import sys
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -11,7 +13,7 @@ from ostinata import model
 from ostinata.functions import text as tx
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def path_exists(spark: SparkSession, path: str) -> bool:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     found = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(p)
     return found is not None and len(found) > 0
@@ -29,7 +31,7 @@ def read_list(spark: SparkSession, path: str) -> DataFrame:
 def read_library(spark: SparkSession, folder: str) -> DataFrame:
     """ord, slug, name, tracks of all lists of a folder by file name; a folder without lists is an error. Missing names are the slug, missing tracks none."""
     glob = f"{folder}/*.json"
-    if not _exists(spark, glob):
+    if not path_exists(spark, glob):
         raise FileNotFoundError(f"no playlist files in {folder}")
     raw = _slug(spark.read.schema(model.LIST_DOC).option("multiLine", True).option("mode", "FAILFAST").json(glob).select("*", "_metadata"))
     out = raw.select("slug", F.coalesce("name", "slug").alias("name"), F.coalesce("tracks", F.array().cast(model.LIST_DOC["tracks"].dataType)).alias("tracks"))
@@ -40,7 +42,7 @@ def read_library(spark: SparkSession, folder: str) -> DataFrame:
 def read_tolerant(spark: SparkSession, path: str, name: str) -> DataFrame:
     """One row with the list that imports merge into: what the file has, or nothing if it is missing or malformed; always under the given name."""
     empty = spark.createDataFrame([([],)], T.StructType([model.LIST_DOC["tracks"]]))
-    got = spark.read.schema(model.LIST_DOC).option("multiLine", True).option("mode", "PERMISSIVE").json(path).select("tracks") if _exists(spark, path) else empty
+    got = spark.read.schema(model.LIST_DOC).option("multiLine", True).option("mode", "PERMISSIVE").json(path).select("tracks") if path_exists(spark, path) else empty
     return got.select(F.lit(name).alias("name"), F.coalesce("tracks", F.array().cast(model.LIST_DOC["tracks"].dataType)).alias("tracks"))
 
 
@@ -68,11 +70,19 @@ def read_json_list(spark: SparkSession, path: str) -> DataFrame:
     return parse_documents(read_list(spark, path))
 
 
-def read_track_list(spark: SparkSession, path: str, name: str | None = None) -> tuple[str | None, DataFrame]:
-    """(name, tracks) by the path's ending: JSON lists name themselves unless a name is given, text lists need one."""
-    if path.lower().endswith(".json"):
+def read_stream(spark: SparkSession, lines) -> DataFrame:
+    """pos, title, artists of a hand-written list from an open text file, such as standard input."""
+    return parse_lines(spark.createDataFrame(list(enumerate(x.rstrip("\r\n") for x in lines)), "pos int, value string"))
+
+
+def read_track_list(spark: SparkSession, path: str | None, name: str | None = None) -> tuple[str | None, DataFrame]:
+    """(name, tracks) by the path's ending: JSON lists name themselves unless a name is given, text lists need one; no path is standard input."""
+    name = (name or "").strip()
+    if not path:
+        tracks = read_stream(spark, sys.stdin)
+    elif path.lower().endswith(".json"):
         own = read_list(spark, path).select("name").first()
-        name, tracks = name or (own and own["name"]), read_json_list(spark, path).drop("name")
+        name, tracks = name or (own and own["name"] or "").strip(), read_json_list(spark, path).drop("name")
     else:
         tracks = read_text_list(spark, path)
     if not name:

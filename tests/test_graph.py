@@ -43,9 +43,9 @@ def test_cooccurrence_against_brute_force(spark):
         assert r["pmi"] == pytest.approx(math.log(r["weight"] * 40 / (n[r["a"]] * n[r["b"]])))
 
 
-def greedy(artists):
-    """The separation rule, step by step."""
-    left, out, last = list(range(len(artists))), [], None
+def greedy(artists, last=None):
+    """The separation rule, step by step; a list around a seed begins as if after an empty artist."""
+    left, out = list(range(len(artists))), []
     while left:
         count = Counter(artists[i] for i in left)
         other = [i for i in left if artists[i] != last]
@@ -61,6 +61,9 @@ def test_separation_follows_the_rule(spark):
     for _ in range(200):
         a = [rng.choice("abcd"[: rng.randrange(1, 5)]) for _ in range(rng.randrange(0, 14))]
         assert cu.separate_order(a) == greedy(a)
+        a = [x.replace("d", "") for x in a]
+        assert cu.separate_order(a, "") == greedy(a, "")
+    assert cu.separate_order(["", "", "a"], "") == [2, 0, 1] and cu.separate_order(["", "", "a"]) == [0, 2, 1]
     rows = [(b, i, rng.choice("abc")) for b in range(5) for i in range(9)]
     got = cu.separate(spark.createDataFrame(rows, "b int, i int, a string"), "b", "i", "a").orderBy("b", "place").collect()
     for b in range(5):
@@ -68,6 +71,40 @@ def test_separation_follows_the_rule(spark):
         assert [r["i"] for r in got if r["b"] == b] == greedy(mine)
 
 
+@pytest.mark.parametrize("size", ["3", "7", "10000"])
+def test_separation_over_batch_borders(spark, size):
+    """Collections are put together whatever the size of Arrow batches, and each keeps its rows."""
+    rng = random.Random(int(size))
+    rows = [(b, i, rng.choice(["a", "b", "c", "", None])) for b in range(40) for i in range(rng.randrange(1, 12))]
+    df = spark.createDataFrame(rows, "b int, i int, a string")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    try:
+        for last in (None, ""):
+            got = {}
+            for r in cu.separate(df, "b", "i", "a", last).orderBy("b", "place").collect():
+                got.setdefault(r["b"], []).append((r["i"], r["place"]))
+            for b in range(40):
+                mine = [a or "" for k, _, a in rows if k == b]
+                assert got[b] == [(i, n + 1) for n, i in enumerate(greedy(mine, last))]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert cu.separate(df.limit(0), "b", "i", "a").count() == 0
+
+
+def test_arc_keeps_artists_apart(spark):
+    rng = random.Random(9)
+    for _ in range(50):
+        a = [rng.choice("abcd") for _ in range(rng.randrange(1, 14))]
+        e = [rng.random() for _ in a]
+        order = cu.arc_order(a, e)
+        assert sorted(order) == list(range(len(a)))
+        repeats = lambda o: sum(a[x] == a[y] for x, y in zip(o, o[1:]))
+        assert repeats(order) <= repeats(greedy(a))
+    rows = [(1, i, x, float(i) / 6) for i, x in enumerate("abcdef")] + [(2, 0, "a", None)]
+    out = cu.sequence_arc(spark.createDataFrame(rows, "b int, i int, a string, e double"), "b", "i", "a", "e").orderBy("b", "place").collect()
+    assert [r["i"] for r in out if r["b"] == 1][0] == 2 and len(out) == 7
+
+
 def test_curation(spark):
     lists = {0: [("s1", "Seed"), ("n1", "Near"), ("o1", "Other")], 1: [("s2", "seed!"), ("n2", "Near"), ("n1", "near")], 2: [("j1", "Jazz"), ("j2", "Jazzy")]}
     df = spark.createDataFrame([(b, p, t, a) for b, ts in lists.items() for p, (t, a) in enumerate(ts)], MEMBERS)
@@ -77,6 +114,8 @@ def test_curation(spark):
     assert {r["artist"].lower().strip("!") for r in cu.curate(df, "seed", breadth=1).collect()} == {"seed", "near"}
     assert cu.curate(df, "nobody").count() == 0 and cu.curate(df.limit(0), "seed").count() == 0
     assert cu.curate(df, "seed", size=2).count() == 2
+    more = df.withColumn("isrc", F.concat(F.lit("C"), "title"))
+    assert all(r["isrc"] == "C" + r["title"] for r in cu.curate(more, "seed").collect())
     with pytest.raises(ValueError):
         flows.curate_library(df, " ")
 
@@ -150,6 +189,21 @@ def test_evaluation(spark):
     assert ev.adjacent_repeats(m.join(who, "item").replace("Y", "X", "artist"), "basket", "position", "artist").where("basket = 1").first()["repeats"] == 2
 
 
+def test_keys_arcs_and_further_dimensions(spark):
+    keys = spark.createDataFrame([(k, m) for k in (*range(12), 12, None) for m in (0, 1, 2)], "k int, m int")
+    got = {(r["k"], r["m"]): r["c"] for r in keys.select("k", "m", ev.camelot(F.col("k"), F.col("m")).alias("c")).collect()}
+    assert (got[0, 1], got[9, 0], got[7, 1], got[4, 0], got[11, 1], got[6, 0], got[12, 1], got[0, 2], got[None, 1]) == ("8B", "8A", "9B", "9A", "1B", "11A", None, None, None)
+    assert len({v for v in got.values() if v}) == 24
+    m = spark.createDataFrame([(1, i, c) for i, c in enumerate(["8B", "9B", "8B", "8A", "10A", "10A", "3B", None, "3B", "12B", "1B"])] + [(2, 0, "1A")], "b int, p int, c string")
+    assert {r["b"]: (r["steps"], r["smooth"]) for r in ev.camelot_steps(m, "b", "p", "c").collect()} == {1: (8, 6), 2: (0, 0)}
+    e = spark.createDataFrame([(1, 0, 0.3), (1, 1, 0.65), (1, 2, 1.0), (1, 3, 0.5), (1, 4, None), (2, 0, 0.9)], "b int, p int, e double")
+    got = {r["b"]: r for r in ev.energy_arc(e, "b", "p", "e").collect()}
+    assert got[1]["jump"] == pytest.approx(0.4) and got[1]["off"] == pytest.approx(0) and got[2]["jump"] is None
+    tracks = spark.createDataFrame([(0, "Rust", "Band", 180_000), (1, "None", "Band", 0)], "ord bigint, title string, artist string, durationMs bigint")
+    songs = spark.createDataFrame([(7, "Rust (Live)", "The Band", 181, 0, 5, "la la")], "id bigint, title string, artist string, duration_sec int, cand_pos bigint, key int, lyrics string")
+    assert {r["ord"]: (r["key"], r["lyrics"]) for r in mg.lookup_dimension(tracks, songs, "key", "lyrics").collect()} == {0: (5, "la la"), 1: (None, None)}
+
+
 def test_item_vectors(spark):
     m = spark.createDataFrame([(b, i, f"i{(b % 2) * 5 + i}") for b in range(60) for i in range(5)], "basket int, position int, item string")
     model = ev.item_vectors(m, size=8, window=4)

@@ -1,5 +1,7 @@
 """Entity resolution, reconciliation and pushes on small tables."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -37,17 +39,24 @@ def test_two_passes(spark):
     assert matched(spark, tracks, songs) == {1: ("s1", "exact", "isrc"), 2: ("s2", "high", "search"), 3: ("s2", "high", "search"), 4: (None, "none", "none"), 5: ("s1", "low", "search")}
 
 
-def test_candidates_lose_nothing(spark):
-    """Every pair with a positive score is a candidate."""
-    titles = ["", "a", "a b", "ab", "a b (x)", "b", "!!", "a b - c", "- a", None, "é", "é e"]
-    t = spark.createDataFrame([(i, s, ["q"], 0, None) for i, s in enumerate(titles)], TRACKS)
-    c = spark.createDataFrame([(str(i), s, "q", 0, None, i) for i, s in enumerate(titles)], SONGS)
+def test_best_candidates_against_all_pairs(spark):
+    """Of all pairs with a positive title score each track's best, the first of equals, whatever its title."""
     from ostinata.functions import text as tx
 
-    every = t.select("ord", F.col("title").alias("s")).crossJoin(c.select("cand_pos", F.col("title").alias("c"))).where(tx.title_score("s", "c") > 0)
-    want = {(r["ord"], r["cand_pos"]) for r in every.collect()}
-    got = {(r["ord"], r["cand_pos"]) for r in mt.score_candidates(t, c).where("score > 0.5").collect()}  # 0.35 + 0.15 without a title
-    assert want == got
+    rng = random.Random(2)
+    titles = ["", "a", "a b", "ab", "a b (x)", "b", "!!", "a b - c", "- a", None, "é", "é e", "(x) - y", "?? - b", "long title of a song", "long title of a song that goes on", "long title"]
+    artists = ["q", "The Q Band", "qq", "", None, "band", "the", "Ü", "xqx"]
+    t = spark.createDataFrame([(i, rng.choice(titles), [a] if (a := rng.choice(artists)) is not None else [], rng.choice([0, 1000, 2500, 5001, 9000, None]), None) for i in range(150)], TRACKS)
+    c = spark.createDataFrame([(str(i), rng.choice(titles), rng.choice(artists), rng.choice([0, 1000, 3500, 7501, 20000]), None, i) for i in range(120)], SONGS)
+    pairs = t.select("ord", F.col("title").alias("s"), F.try_element_at("artists", F.lit(1)).alias("a"), F.coalesce("duration_ms", F.lit(0)).alias("ms")).crossJoin(c.select("cand_pos", "id", F.col("title").alias("c"), F.col("artist").alias("b"), F.col("duration_ms").alias("song_ms")))
+    scored = pairs.where(tx.title_score("s", "c") > 0).select("ord", "cand_pos", "id", tx.match_score(tx.title_score("s", "c"), tx.contains_norm("b", "a"), F.abs(F.col("ms") - F.col("song_ms")) <= 2500).alias("score"))
+    want = {}
+    for r in sorted(scored.collect(), key=lambda r: (r["ord"], -r["score"], r["cand_pos"])):
+        want.setdefault(r["ord"], (r["id"], r["score"]))
+    got = {r["ord"]: (r["target_id"], r["score"]) for r in mt.resolve_by_title(t, c).collect()}
+    assert got == {k: v for k, v in want.items() if v[1] >= 0.55}
+    plan = mt.match(t, c)._jdf.queryExecution().toString()
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
 
 
 def test_resumed_matches_keep_what_was_found(spark):

@@ -78,7 +78,7 @@ def test_curate_query_by_brute_force(spark, sf):
         pool.setdefault(fold(a), {}).setdefault(fold(t), (t, a))
     pool = {a: sorted(p.values()) for a, p in pool.items()}
     picked = [pool[a][k] for k in range(max(map(len, pool.values()))) for a in ranked if k < len(pool.get(a, []))][:30]
-    want = [picked[i] for i in greedy([fold(a) for _, a in picked])]
+    want = [picked[i] for i in greedy([fold(a) for _, a in picked], "")]
     assert [(r["title"], r["artist"]) for r in OWN["curate"](spark, sf).orderBy("place").collect()] == want
 
 

@@ -1,8 +1,10 @@
 """Sources, sinks, the analysis tables and the streams."""
 
 import datetime
+import io
 import json
 import os
+import shutil
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,8 +12,9 @@ from pyspark.sql import functions as F
 from ostinata import model
 from ostinata.functions.text import lab_norm_text
 from ostinata.plans import flows, lab
-from ostinata.sources import lists, sinks, tables
+from ostinata.sources import lists, paged, services, sinks, tables, wire
 from ostinata.streaming import imports
+from paged_fixture import fetch
 
 
 @pytest.fixture
@@ -72,29 +75,157 @@ def test_snapshot_and_state_round_trips(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "t")).groupBy("batch").count().orderBy("batch").collect() == [(0, 200), (1, 2)]
 
 
-def test_import_merges_by_slug(spark, folder, tmp_path):
-    class Source:
-        label = "shop"
+IMPORTED = "list string, pos bigint, title string, artist string, album string, duration_ms bigint, isrc string, service string, service_id string"
 
-        def lists(self):
-            return spark.createDataFrame([("B List!", 0, None), ("b list", 1, None), ("Bad", 2, "no access")], "list string, ord bigint, error string")
 
-        def tracks(self):
-            rows = [("B List!", 0, "RUST", "Q", "Alb", 7, None, "shop", "1"), ("b list", 0, "Must", "A", None, None, None, "shop", "2"), ("Bad", 0, "x", "y", None, None, None, "shop", "3")]
-            return spark.createDataFrame(rows, "list string, pos bigint, title string, artist string, album string, duration_ms bigint, isrc string, service string, service_id string")
+class Shop:
+    """A service with two lists of one slug, one that broke off after its first page and one without tracks."""
 
+    label = "shop"
+
+    def __init__(self, spark):
+        self.spark = spark
+
+    def lists(self):
+        return self.spark.createDataFrame([("B List!", 0, None), ("b list", 1, None), ("Bad", 2, "no access"), ("Empty", 3, None)], "list string, ord bigint, error string")
+
+    def tracks(self):
+        rows = [("B List!", 0, "RUST", "Q", "Alb", 7, None, "shop", "1"), ("b list", 0, "Must", "A", None, None, None, "shop", "2"), ("Bad", 0, "x", "y", None, None, None, "shop", "3")]
+        return self.spark.createDataFrame(rows, IMPORTED)
+
+
+def test_import_merges_by_slug_and_keeps_partial_lists(spark, folder):
     from ostinata.operators.library import flatten
 
     old = flatten(lists.read_library(spark, folder), "slug").where("slug = 'b-list'")
-    out = flows.import_lists(old, Source()).orderBy("pos").collect()
-    assert [(r["slug"], r["title"]) for r in out] == [("b-list", "Rust"), ("b-list", "Dust"), ("b-list", "Must")]
+    out = flows.import_lists(old, Shop(spark)).orderBy("slug", "pos").collect()
+    assert [(r["slug"], r["title"]) for r in out] == [("b-list", "Rust"), ("b-list", "Dust"), ("b-list", "Must"), ("bad", "x")]
     assert out[0]["album"] == "Alb" and out[0]["ids"] == {"appleMusic": "9", "shop": "1"}
-    made = sinks.assembled(spark.createDataFrame(out).withColumn("name", F.lit("B List")))
-    sinks.write_lists(made.select("name", "tracks"), str(tmp_path / "out"))
-    again = spark.read.schema(model.LIST_DOC).json(str(tmp_path / "out/slug=b-list")).first()
-    assert again["name"] == "B List" and [t["title"] for t in again["tracks"]] == ["Rust", "Dust", "Must"]
-    written = "".join(open(os.path.join(d, f)).read() for d, _, fs in os.walk(tmp_path / "out") for f in fs if f.endswith(".json"))
-    assert '"isrc":""' not in written and "null" not in written
+    assert flows.import_counts(Shop(spark)).first().asDict() == {"lists": 4, "incomplete": 1, "tracks": 3}
+
+
+def test_lists_written_are_lists_read(spark, tmp_path):
+    out = str(tmp_path / "lists")
+    os.mkdir(out)
+    rows = [("Ärger: 1/2", [("T", "A", None, 5, None, {"x": "1"}, (90.0, None, "f"))]), ("A b", [("one", "A", None, None, None, None, None)]), ("a B!", [("two", "B", "", 0, "", None, None)]), ("None", [])]
+    sinks.write_lists(spark.createDataFrame(rows, "name string, tracks " + model.LIST_DOC["tracks"].dataType.simpleString()), out)
+    assert sorted(f for f in os.listdir(out) if not f.startswith(".")) == ["a-b.json", "none.json", "ärger-1-2.json"]
+    got = {r["slug"]: r for r in lists.read_library(spark, out).collect()}
+    assert [t["title"] for t in got["a-b"]["tracks"]] == ["one", "two"] and got["none"]["tracks"] == [] and got["ärger-1-2"]["name"] == "Ärger: 1/2"
+    assert got["ärger-1-2"]["tracks"][0]["features"]["bpm"] == 90.0 and got["ärger-1-2"]["tracks"][0]["ids"] == {"x": "1"}
+    assert "null" not in "".join(open(os.path.join(out, f)).read() for f in os.listdir(out) if f.endswith(".json"))
+
+
+def test_import_enrich_curate_and_create_on_files(spark, folder):
+    """The flows one after another over one folder of list files."""
+    assert flows.import_into(folder, Shop(spark)).first()["lists"] == 4
+    lib = {r["slug"]: r for r in lists.read_library(spark, folder).collect()}
+    assert set(lib) == {"a-list", "b-list", "c-list", "bad", "empty"} and lib["b-list"]["name"] == "b list"
+    assert [t["title"] for t in lib["b-list"]["tracks"]] == ["Rust", "Dust", "Must"] and lib["empty"]["tracks"] == []
+    again = {r["slug"]: r["tracks"] for r in lists.read_library(spark, folder).collect()}
+    flows.import_into(folder, Shop(spark))
+    assert {r["slug"]: r["tracks"] for r in lists.read_library(spark, folder).collect()} == again  # a second run changes nothing
+    songs = spark.createDataFrame([(1, "Dust", "B", 0, "D9", 98.0, 0.0, 0)], "id bigint, title string, artist string, duration_sec int, isrc string, bpm double, gain double, cand_pos bigint")
+    from ostinata.operators.library import flatten, in_order, with_ids
+
+    members = flatten(lists.read_library(spark, folder), "ord", "name")
+    done, _ = flows.enrich_library(with_ids(members.withColumnRenamed("ord", "lo"), ["lo", "pos"], "ord"), songs)
+    fields = [f.name for f in model.LIST_TRACK]
+    sinks.write_lists(done.groupBy("lo", "name").agg(in_order("pos", F.struct(*fields)).alias("tracks")).withColumnRenamed("lo", "ord"), folder)
+    made = flows.curate_into(folder, "a").orderBy("place").collect()
+    assert {r["title"] for r in made} >= {"rust!", "Must", "Dust"} and made[0]["name"] == "Around a"
+    lib = {r["slug"]: r for r in lists.read_library(spark, folder).collect()}
+    t = {t["title"]: t for t in lib["around-a"]["tracks"]}
+    assert t["Dust"]["isrc"] == "D9" and t["Dust"]["features"]["source"] == "deezer" and t["rust!"]["ids"] is None and t["Must"]["ids"] is None
+    name, tracks = lists.read_track_list(spark, os.path.join(folder, "around-a.json"))
+    catalog = spark.createDataFrame([("s1", "Dust", "B", 0, None, 0)], "id string, title string, artist string, duration_ms bigint, isrc string, cand_pos bigint")
+    port = tables.TablePort(catalog, spark.createDataFrame([], "name string, id string, ord bigint"), spark.createDataFrame([], model.REFS))
+    plan = flows.create(name, tracks, flows.empty_state(spark), port).collect()
+    assert [(r["name"], r["action"], r["to_add"]) for r in plan] == [("Around a", "create", ["s1"])]
+
+
+def test_push_is_committed_by_groups_and_goes_on(spark, tmp_path):
+    rows = [(f"n{i}", "skip" if i == 3 else "create" if i % 2 else "resume", None if i % 2 else f"t{i}", [f"x{i}", f"y{i}"], True) for i in range(7)]
+    plan = spark.createDataFrame(rows, "name string, action string, target_id string, to_add array<string>, ordered boolean")
+    state = spark.createDataFrame([(f"n{i}", f"t{i}", ["old"], True, False) for i in (0, 2, 4, 6)], model.STATE)
+    path = str(tmp_path / "push")
+    out = {r["name"]: r for r in sinks.commit_push(plan, state, path, 2).collect()}
+    assert set(out) == {"n0", "n1", "n2", "n4", "n5", "n6"} and out["n0"]["added_ids"] == ["old", "x0", "y0"] and out["n1"]["target_id"].startswith("p.")
+    contents = lambda: sorted((r["name"], r["pos"], r["target_id"]) for r in spark.read.parquet(path + "/contents").collect())
+    want = contents()
+    assert len(want) == 12 and spark.read.parquet(path + "/targets").count() == 2
+    shutil.rmtree(path + "/state/2")  # the push broke off before the last record was saved
+    again = {r["name"]: r for r in sinks.commit_push(plan, state, path, 2).collect()}
+    assert again == out and contents() == want
+
+
+def test_paged_source(spark):
+    assert list(paged.pages(fetch, "bad")) == [("bad", 0, '{"name": "Four"}', None), ("bad", 1, None, "no access")]
+    assert list(paged.pages(fetch, "gone")) == [] == list(paged.pages(fetch, "none"))
+    records, errors = paged.read_paged(spark, "paged_fixture:fetch", ["u1", "bad", "gone"], "id string, name string")
+    assert sorted((r["start"], r["pos"], r["name"]) for r in records.collect()) == [("bad", 0, "Four"), ("u1", 0, "One"), ("u1", 1, "Two"), ("u1", 2, "Three")]
+    assert [tuple(r) for r in errors.collect()] == [("bad", "no access")]
+    assert paged.read_paged(spark, "paged_fixture:fetch", [], "id string")[0].count() == 0
+
+
+def test_wire_projections(spark):
+    rec = lambda schema, row: spark.createDataFrame([row], schema)
+    r = wire.tracks(rec(wire.SOURCE_TRACK, ("i", "u", "T", 5, "track", ("Al",), [("A",), ("B",)], ("",)))).first()
+    assert tuple(r) == ("T", ["A", "B"], "Al", 5, None, "i", "u")
+    assert wire.tracks(rec(wire.SOURCE_TRACK, ("i", None, "T", None, None, None, None, None))).first()["artists"] == []
+    r = wire.songs(rec(wire.CATALOG_SONG, ("9", ("N", "A", "L", 7, "X1", None)))).first()
+    assert r.asDict() == {"id": "9", "title": "N", "artist": "A", "album": "L", "duration_ms": 7, "isrc": "X1"}
+    assert tuple(wire.found_songs(rec(wire.SEARCH_SONG, (12345678901, "N", "A", "C", 3))).first()) == ("12345678901", "N", "A", "C", 3, None)
+    r = wire.library_tracks(rec("list string, pos int, " + wire.CATALOG_SONG, ("l", 4, "x", ("N", "A", "L", 7, None, ("c1",)))), "shop", "list", "pos").first()
+    assert r.asDict() == {"list": "l", "pos": 4, "title": "N", "artist": "A", "album": "L", "duration_ms": 7, "isrc": None, "service": "shop", "service_id": "c1"}
+    assert tuple(wire.features(rec(wire.FEATURE_TRACK, (1, "T", 200, "I", 120.0, -7.5, ("A",), ("L",)))).first()) == (1, "T", "A", "L", 200, "I", 120.0, -7.5)
+    kinds = spark.createDataFrame([("track", "x"), ("", "x"), (None, "x"), ("episode", "x"), ("track", None)], "k string, t string")
+    assert kinds.where(paged.music(F.col("k"), F.col("t"))).count() == 3
+
+
+def test_sources_by_name_and_places(spark, monkeypatch):
+    existing = spark.createDataFrame([("B", "1", 0), ("A", "2", 1), ("B", "3", 2)], "name string, id string, ord bigint")
+    rows = [("3", 0, "T", "A", None, 1, None, "shop", "9"), ("1", 0, "old", "A", None, 1, None, "shop", "8"), ("2", 0, "U", "A", None, 1, None, "shop", "7")]
+    tracks = spark.createDataFrame(rows, IMPORTED.replace("list", "playlist_id"))
+    errors = spark.createDataFrame([("2", "timeout")], "playlist_id string, error string")
+    known = services.Sources()
+    known.register("shop", lambda owned_only=False: services.by_name("Shop", existing, tracks, errors))
+    src = known.open("shop", owned_only=True)
+    assert [tuple(r) for r in src.lists().orderBy("ord").collect()] == [("A", 0, "timeout"), ("B", 1, None)]
+    assert {(r["list"], r["title"]) for r in src.tracks().collect()} == {("A", "U"), ("B", "T")}
+    with pytest.raises(ValueError, match="shop"):
+        known.open("other")
+    lib = spark.createDataFrame([(0, "L", [("T", ["A", "B"], None, 3, "I", "s", None)])], "ord int, name string, tracks " + model.PLAYLIST["tracks"].dataType.simpleString())
+    src = services.by_library("Pulled", "pulled", lib)
+    assert src.tracks().first()["artist"] == "A, B" and src.lists().first()["error"] is None
+    monkeypatch.setenv("OSTINATA_HOME", "/x/")
+    assert services.Places().state == "/x/state" and services.Places("s3a://b/c").matches == "s3a://b/c/matches"
+    with pytest.raises(AttributeError):
+        services.Places().other
+
+
+def test_hand_written_list_from_a_stream(spark, monkeypatch):
+    monkeypatch.setattr("sys.stdin", io.StringIO("# x\nOne - A\n\nTwo\r\n"))
+    name, t = lists.read_track_list(spark, None, " Mine ")
+    assert name == "Mine" and [(r["title"], r["artists"]) for r in t.orderBy("pos").collect()] == [("One", ["A"]), ("Two", [])]
+
+
+@pytest.mark.parametrize("adaptive", ["true", "false"])
+def test_ids_are_dense_with_further_columns(spark, adaptive):
+    from ostinata.operators.library import with_ids
+
+    spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        rows = spark.range(400_000).select((F.col("id") * 7919 % 400_009).alias("k"), F.concat(F.lit("v"), "id").alias("v"), (F.col("id") % 13).alias("w"))
+        r = with_ids(rows, ["k"]).agg(F.count("*"), F.count_distinct("id"), F.min("id"), F.max("id"), F.count_distinct("v")).first()
+        assert tuple(r) == (400_000, 400_000, 1, 400_000, 400_000)
+        late = with_ids(rows, ["k"]).select("id", "k").orderBy("id").limit(1000).collect()
+        assert [x["k"] for x in late] == sorted(x["k"] for x in late)
+        assert with_ids(rows.limit(0), ["k"]).count() == 0
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
 
 
 def test_catalog_without_codes(spark):
