@@ -3,36 +3,42 @@
 A word is read as its letters between a begin and an end mark: lower case, accents removed, digits
 and signs that stand for letters replaced, other signs dropped ("i.d.1-o.t" reads as "idiot"), and
 runs of single letters and such signs joined ("i d 1 o t."); as a word of one letter may stand beside such a run,
-it is also read without its first letter, its last and both, and the highest margin counts. Its subsequences are triples of letters that span five
+it is also read without its first letter, its last and both, and the highest margin counts. Letters beyond a-z have
+codes of their own, hashed from their code points. In scripts that put no spaces between words every two neighbouring
+characters are a word. A word's subsequences are triples of letters that span five
 places or fewer; a triple counts DECAY to the power of its gaps, so that an inserted letter weakens a
 match and doesn't destroy it. The word kernel is the cosine of these triples to the power SHARP; values of less
 than FLOOR to that power count as 0, so that a cheap upper bound can pass over most words. The kernel of a
-sentence and a landmark word is the sum over the sentence's words, so a sentence's feature vector
-K(sentence, Z) K(Z, Z)^(-1/2) and its margin are sums over words, and each distinct word of a batch is
-evaluated once.
+run of words and a landmark word is the sum over the run's words, so its feature vector
+K(run, Z) K(Z, Z)^(-1/2) and its margin are sums over words, and each distinct word of a batch is
+evaluated once. A sentence's margin is that of its best run of at most SPAN words: what stands farther apart
+doesn't add up, whatever the sentence's length, and no place is a cut.
 
 A word with more letters inserted than the kernel bridges (INSERTED in all, or one at most in each gap, as in
 "ixdxixoxt") reads as the marked word that is left without them, if it begins and ends like it. Words that clean
 documents of the sample have as often as toxic ones are exempt; a clean word of this form that the sample
 doesn't hold is taken for the insult.
 
-Training: labels belong to documents. Sentences of clean documents are clean; a sentence of a toxic
-document is toxic where it has a word that is much more common in toxic documents than in clean ones,
-and after the first fit where its margin is positive; the rest of a toxic document is left out.
+Training: labels belong to documents, and near copies of one document count once. Sentences of clean documents are
+clean; a sentence of a toxic document is toxic where it has a marked word, that is, one which toxic documents have more often
+than chance gives to any word of the sample (a binomial tail below 1 / number of words frequent enough for that),
+and after the first fit where its margin is positive; the rest of a toxic document is left out. Landmarks
+are marked words, chosen until every marked word has a kernel value of COVER or more with one of them, and half as many common clean
+words that are close to them.
 Documents are toxic by a logistic rule over their count of toxic sentences, these sentences' summed
 margins and the count of all sentences. The sample is
 bounded by PER_CLASS documents of each class.
 
 Defined results: a NULL text has NULL counts and score and isn't toxic; an empty text has no sentence,
-score 0 and isn't toxic; repeated rows get equal results; without labels of both classes nothing is
-toxic. Columns other than the text are untouched.
+score 0 and isn't toxic; repeated rows get equal results; without labels of both classes, or with so few that no word is
+marked, nothing is toxic; a word of any length is read whole, in steps. Columns other than the text are untouched.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
-from collections import Counter
+from collections import ChainMap, Counter
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -40,12 +46,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ostinata.llm.common import labelled_sample, table
+from ostinata.llm.common import batches_of, labelled_sample, table
+from ostinata.llm.minhash_dedup import BANDS, UNSPACED, signatures
 
 #: Labelled documents of each class that the machine is fitted on, at most.
 PER_CLASS = 2000
 SEED = 53
-LANDMARKS = 96
+#: Kernel value that every marked word has with some landmark.
+COVER = 0.5
 #: Letters that may be inserted anywhere within a marked word, and the letters it has at least for that.
 INSERTED, STEM = 2, 4
 DECAY = 0.7
@@ -53,16 +61,22 @@ SHARP = 4
 FLOOR = 0.55
 #: Distinct words whose margins a worker remembers; beyond that it forgets them and evaluates anew.
 MEMORY = 300_000
-#: Words in a sentence; a longer one is read as several, so that small margins of very many words don't add up.
+#: Neighbouring words that a sentence's margin can add up.
 SPAN = 64
-#: Words and documents that are worked on at a time.
-STEP_WORDS, STEP_DOCS = 10_000, 100
+#: Letters and documents that are worked on at a time; a word of more than LONG letters is remembered by no worker.
+STEP_LETTERS, STEP_DOCS, LONG = 100_000, 100, 64
 
-_END = re.compile(r"(?<=[.!?])[ \t\r\f\v]+|[\n  ]+")
+_END = re.compile(r"(?<=[.!?])[ \t\r\f\v]+|[\n\u2028\u2029]+|(?<=[\u3002\uff01\uff1f])")
+_UNSPACED_RUN = re.compile(UNSPACED.pattern + "+")
 _LONE = re.compile(r"(?<!\S)([^\w\s@$]*)((?:(?:[^\W\d_]|[013457@$])[ \t]+){2,}(?:[^\W\d_]|[013457@$]))(?=[^\w\s]*(?!\S))")
-_OTHER, _BEGIN, _STOP = 27, 28, 29
+_BEGIN, _STOP, _OTHER = 28, 29, 30  # letters beyond a-z have the codes from _OTHER to 255
 _GAPS = [(1, 1), (1, 2), (2, 1), (1, 3), (2, 2), (3, 1)]
-_FEATURES = 32**3
+#: Triples of a-z and marks have a number each, others share 2**17 by hash.
+_FEATURES = 32**3 + (1 << 17)
+
+
+def _other(c: str) -> str:
+    return chr(_OTHER + (ord(c) * 0x9E3779B1 >> 7) % (256 - _OTHER))
 
 
 class _Codes(dict):
@@ -71,7 +85,7 @@ class _Codes(dict):
     def __missing__(self, point: int) -> str:
         c = chr(point)
         base = "ss" if c == "ß" else "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))
-        out = "".join(chr(ord(x) - 96) if "a" <= x <= "z" else _SIGNS[x] if x in _SIGNS else chr(_OTHER) if x.isalpha() else "" for x in base)
+        out = "".join(chr(ord(x) - 96) if "a" <= x <= "z" else _SIGNS[x] if x in _SIGNS else _other(x) if x.isalpha() else "" for x in base)
         self[point] = out
         return out
 
@@ -120,6 +134,16 @@ class Inserted:
         return max(found, key=len) if found else w
 
 
+def _numbered(x: np.ndarray, y: np.ndarray, z: np.ndarray) -> np.ndarray:
+    plain = x * 1024 + y * 32 + z
+    other = np.maximum(np.maximum(x, y), z) >= 32
+    if other.any():
+        h = (x.astype(np.uint32) * np.uint32(0x01000193) ^ y.astype(np.uint32)) * np.uint32(0x01000193) ^ z.astype(np.uint32)
+        h = (h * np.uint32(0x9E3779B1)) >> np.uint32(15)
+        plain = np.where(other, 32**3 + h.astype(np.int32), plain)
+    return plain
+
+
 def triples(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(word, triple, weight) of every gapped triple; a triple may come up more than once in a word."""
     pad = b"\0\0\0\0"
@@ -132,59 +156,88 @@ def triples(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         x, y, z = c[:n], c[a : a + n], c[a + b : a + b + n]
         ok = np.flatnonzero((x > 0) & (y > 0) & (z > 0))
         at.append(owner[ok])
-        idx.append(x[ok] * 1024 + y[ok] * 32 + z[ok])
+        idx.append(_numbered(x[ok], y[ok], z[ok]))
         wt.append(np.full(len(ok), DECAY ** (a + b - 2), np.float32))
     return np.concatenate(at), np.concatenate(idx), np.concatenate(wt)
 
 
+def _summed(word: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(triples, weights) of one word of any length, in steps of letters."""
+    total = np.zeros(_FEATURES)
+    for a in range(0, len(word), STEP_LETTERS):
+        # a triple belongs to the step of its first letter
+        c = np.frombuffer(word[a : a + STEP_LETTERS + 4], np.uint8).astype(np.int32)
+        for i, j in _GAPS:
+            n = min(STEP_LETTERS, len(c) - i - j)
+            if n > 0:
+                total += DECAY ** (i + j - 2) * np.bincount(_numbered(c[:n], c[i : i + n], c[i + j : i + j + n]), minlength=_FEATURES)
+    idx = np.flatnonzero(total)
+    return idx, total[idx]
+
+
 def _merged(at: np.ndarray, idx: np.ndarray, wt: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     key, back = np.unique(at.astype(np.int64) * _FEATURES + idx, return_inverse=True)
     return (key // _FEATURES).astype(np.int32), (key % _FEATURES).astype(np.int32), np.bincount(back, weights=wt, minlength=len(key)).astype(np.float32)
 
 
 class Kernel:
-    """Word kernel against fixed landmark words."""
+    """Word kernel against fixed landmark words. Only triples of landmarks have a row in the table; row 0 is that of all others."""
 
     def __init__(self, landmarks: list[bytes]):
         at, idx, wt = _merged(*triples(landmarks))
-        self.size = len(landmarks)
-        self.table = np.zeros((_FEATURES, self.size), np.float32)
-        self.table[idx, at] = wt
+        self.size, self.landmarks = len(landmarks), landmarks
+        known = np.unique(idx)
+        self.row = np.zeros(_FEATURES, np.int32)
+        self.row[known] = np.arange(1, len(known) + 1)
+        self.table = np.zeros((len(known) + 1, self.size), np.float32)
+        self.table[self.row[idx], at] = wt
         self.table /= np.maximum(np.sqrt((self.table**2).sum(0)), 1e-9)
         self.most = self.table.max(1)
         order = sorted(range(self.size), key=landmarks.__getitem__)  # neighbours have much in common
         self.group_most = np.column_stack([self.table[:, order[k : k + 8]].max(1) for k in range(0, self.size, 8)])
 
-    def _bounded(self, near: np.ndarray, norm: np.ndarray, at: np.ndarray, idx: np.ndarray, wt: np.ndarray) -> np.ndarray:
+    def _bounded(self, near: np.ndarray, norm: np.ndarray, at: np.ndarray, row: np.ndarray, wt: np.ndarray) -> np.ndarray:
         """The near words that may reach the floor with a landmark of some group of eight."""
         keep = near[at]
-        at, idx, wt = at[keep], idx[keep], wt[keep]
+        at, row, wt = at[keep], row[keep], wt[keep]
         order = np.argsort(at, kind="stable")
-        at, idx, wt = at[order], idx[order], wt[order]
+        at, row, wt = at[order], row[order], wt[order]
         rows = np.flatnonzero(near)
         first = np.searchsorted(at, rows)
         ends = np.append(first[1:], len(at))
         out = np.zeros(len(near), bool)
         for a in range(0, len(rows), 5000):
             b = min(a + 5000, len(rows))
-            bound = np.add.reduceat(self.group_most[idx[first[a] : ends[b - 1]]] * wt[first[a] : ends[b - 1], None], first[a:b] - first[a], axis=0)
+            bound = np.add.reduceat(self.group_most[row[first[a] : ends[b - 1]]] * wt[first[a] : ends[b - 1], None], first[a:b] - first[a], axis=0)
             out[rows[a:b]] = bound.max(1) >= FLOOR * norm[rows[a:b]]
         return out
 
     def __call__(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(indices of the words with a kernel value over the floor, their values); all others have zeros."""
-        parts = [(a, *self._step(words[a : a + STEP_WORDS])) for a in range(0, len(words), STEP_WORDS)]
-        if not parts:
+        found_at, found = [], []
+        short = [i for i, w in enumerate(words) if len(w) <= STEP_LETTERS]
+        for lo, hi in batches_of([words[i] for i in short], STEP_LETTERS):
+            rows, values = self._step([words[i] for i in short[lo:hi]])
+            found_at.append(np.array(short[lo:hi], np.int64)[rows])
+            found.append(values)
+        for i, w in enumerate(words):
+            if len(w) > STEP_LETTERS:
+                idx, wt = _summed(w)
+                cos = (self.table[self.row[idx]] * wt[:, None]).sum(0) / np.sqrt((wt * wt).sum())
+                found_at.append(np.array([i]))
+                found.append(np.where(cos < FLOOR, 0, cos)[None].astype(np.float32) ** SHARP)
+        if not found:
             return np.zeros(0, np.int64), np.zeros((0, self.size), np.float32)
-        return np.concatenate([a + rows for a, rows, _ in parts]), np.concatenate([values for _, _, values in parts])
+        return np.concatenate(found_at), np.concatenate(found)
 
     def _step(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         at, idx, wt = triples(words)
-        bound = np.bincount(at, weights=wt * self.most[idx], minlength=len(words))
         norm = np.sqrt(np.bincount(at, weights=wt * wt, minlength=len(words)))
-        near = bound >= FLOOR * np.maximum(norm, 1e-9)
-        near &= norm > 0
-        near = self._bounded(near, norm, at, idx, wt)
+        row = self.row[idx]
+        hit = np.flatnonzero(row)  # other triples count in the norm alone
+        bound = np.bincount(at[hit], weights=wt[hit] * self.most[row[hit]], minlength=len(words))
+        near = (bound >= FLOOR * np.maximum(norm, 1e-9)) & (norm > 0)
+        near = self._bounded(near, norm, at[hit], row[hit], wt[hit])
         keep = near[at]
         at, idx, wt = _merged(at[keep], idx[keep], wt[keep])
         rows = np.flatnonzero(near)
@@ -195,16 +248,47 @@ class Kernel:
             for a in range(0, len(rows), 2000):  # in steps, for memory
                 b = min(a + 2000, len(rows))
                 lo, hi = first[a], ends[b - 1]
-                out[a:b] = np.add.reduceat(self.table[idx[lo:hi]] * wt[lo:hi, None], first[a:b] - lo, axis=0)
+                out[a:b] = np.add.reduceat(self.table[self.row[idx[lo:hi]]] * wt[lo:hi, None], first[a:b] - lo, axis=0)
             norm = np.sqrt(np.add.reduceat(wt * wt, first))
             out /= norm[:, None]
         out[out < FLOOR] = 0
         return rows, out**SHARP
 
 
+def _pairs(run: re.Match) -> str:
+    s = run[0]
+    return " " + (" ".join(s[i : i + 2] for i in range(len(s) - 1)) or s) + " "
+
+
 def _sentences(text: str) -> list[list[str]]:
     text = _LONE.sub(_joined, text.replace("\0", ""))
-    return [w[a : a + SPAN] for s in _END.split(text) if (w := s.split()) for a in range(0, len(w), SPAN)]
+    out = []
+    for s in _END.split(text):
+        if not s.isascii():
+            s = _UNSPACED_RUN.sub(_pairs, s)
+        if w := s.split():
+            out.append(w)
+    return out
+
+
+def best_run(values: list[float]) -> tuple[float, int, int]:
+    """(sum, start, end) of the run of at most SPAN values with the greatest sum; the greatest value where none is positive."""
+    top = max(values)
+    if top <= 0:
+        i = values.index(top)
+        return top, i, i + 1
+    some = [(i, v) for i, v in enumerate(values) if v]
+    best = (0.0, 0, 0)
+    for k, (i, v) in enumerate(some):
+        if v > 0:
+            total = 0.0
+            for j, u in some[k : k + SPAN]:
+                if j - i >= SPAN:
+                    break
+                total += u
+                if total > best[0]:
+                    best = (total, i, j + 1)
+    return best
 
 
 @dataclass
@@ -216,14 +300,20 @@ class Machine:
     rule: tuple[float, ...] = (0.0, 0.0, 0.0, 0.0)
     margins: dict = field(default_factory=dict)
 
+    @property
+    def landmarks(self) -> list[bytes]:
+        return self.kernel.landmarks
+
     def __getstate__(self):
         return self.__dict__ | {"margins": {}}
 
-    def learn_words(self, tokens: set[str]) -> None:
+    def words(self, tokens: set[str]) -> dict[str, float]:
+        """The margin of each token; those of short ones are remembered."""
         new = [t for t in tokens if t not in self.margins]
         if len(self.margins) + len(new) > MEMORY:
             self.margins.clear()
             new = list(tokens)
+        long = {}
         read: dict[bytes, list[str]] = {}
         several = []
         for t in new:
@@ -233,16 +323,19 @@ class Machine:
                     read.setdefault(w, [])
             else:
                 read.setdefault(self.plain(read_word(t)), []).append(t)
-        self.margins.update(dict.fromkeys(new, 0.0))
+        found_all = dict.fromkeys(new, 0.0)
         words = list(read)
         rows, values = self.kernel(words)
         found = {}
         for i, g in zip(rows.tolist(), (values @ self.alpha).tolist()):
             found[words[i]] = g
             for t in read[words[i]]:
-                self.margins[t] = g
+                found_all[t] = g
         for t, ws in several:
-            self.margins[t] = max(found.get(w, 0.0) for w in ws)
+            found_all[t] = max(found.get(w, 0.0) for w in ws)
+        for t, g in found_all.items():
+            (self.margins if len(t) <= LONG else long)[t] = g
+        return ChainMap(self.margins, long) if long else self.margins
 
     def counts(self, texts: list[str]) -> list[tuple[int, int, float]]:
         """(toxic sentences, sentences, sum of the toxic sentences' margins) of each text."""
@@ -254,11 +347,10 @@ class Machine:
         for s in split:
             for w in s:
                 tokens.update(w)
-        self.learn_words(tokens)
-        get = self.margins.__getitem__
+        get = self.words(tokens).__getitem__
         out = []
         for s in split:
-            over = [m for w in s if (m := sum(map(get, w)) + self.bias) > 0]
+            over = [m for w in s if (m := best_run(list(map(get, w)))[0] + self.bias) > 0]
             out.append((len(over), len(s), float(sum(over))))
         return out
 
@@ -289,8 +381,73 @@ def _svm(x: np.ndarray, y: np.ndarray, times: np.ndarray, steps: int = 300, pena
     return w[:-1], float(w[-1])
 
 
+def _same(texts: list[str]) -> list[int]:
+    """A number for each text, equal for near copies: the least of those that share a MinHash band, and of theirs."""
+    up = list(range(len(texts)))
+
+    def least(i: int) -> int:
+        while up[i] != i:
+            up[i] = up[up[i]]
+            i = up[i]
+        return i
+
+    first: dict[tuple[int, bytes], int] = {}
+    for lo, hi in batches_of(texts, 600_000):
+        sig, some, _ = signatures(texts[lo:hi])
+        for i in np.flatnonzero(some).tolist():
+            for k in range(BANDS):
+                a, b = least(lo + i), least(first.setdefault((k, sig[i, k::BANDS].tobytes()), lo + i))
+                up[max(a, b)] = min(a, b)
+    return [least(i) for i in range(len(texts))]
+
+
+def _tail(hits: int, trials: int, share: float) -> float:
+    """log of P(X >= hits), X ~ Bin(trials, share)."""
+    k = np.arange(hits, trials + 1)
+    log = np.cumsum(np.concatenate(([0.0], np.log(np.arange(1, trials + 1)))))
+    terms = log[trials] - log[k] - log[trials - k] + k * np.log(share) + (trials - k) * np.log1p(-share)
+    return float(terms.max() + np.log(np.exp(terms - terms.max()).sum()))
+
+
+def marked_words(seen: list[Counter], n: np.ndarray) -> list[bytes]:
+    """Words that toxic documents have more often than chance gives to any of all words, the surest first. seen: documents of each label by word, n: their sums."""
+    share = n[1] / n.sum()
+    # only words that come up often enough to be sure at all count as tried (Tarone's correction)
+    total = np.sort(np.fromiter((c + seen[0][w] for w, c in seen[1].items()), np.int64, len(seen[1])))
+    least = next((t for t in range(1, int(total.max(initial=0)) + 1) if share**t * (len(total) - np.searchsorted(total, t)) <= 1), None)
+    if least is None:
+        return []
+    sure = -np.log(len(total) - np.searchsorted(total, least))
+    judged = []
+    for w, c in seen[1].items():
+        other = seen[0][w]
+        if c * n[0] > 4 * other * n[1] and (p := _tail(c, c + other, share)) <= sure:
+            judged.append((p, w))
+    return [w for _, w in sorted(judged)]
+
+
+def landmarks_of(marked: list[bytes], clean: list[bytes]) -> list[bytes]:
+    """Marked words that cover all of them, and half as many clean words close to these."""
+    rows, values = Kernel(marked)(marked)
+    near = np.zeros((len(marked), len(marked)), np.float32)
+    near[rows] = values
+    chosen: list[int] = []
+    covered = np.zeros(len(marked), bool)
+    for i in range(len(marked)):
+        if not covered[i]:
+            chosen.append(i)
+            covered |= near[:, i] >= COVER
+            covered[i] = True
+    out = [marked[i] for i in chosen]
+    if clean:
+        rows, values = Kernel(out)(clean)
+        if len(rows):
+            out += [clean[i] for i in rows[np.argsort(-values.max(1), kind="stable")][: -(-len(chosen) // 2)]]
+    return out
+
+
 def fit(texts: list[str], toxic: list[int]) -> Machine | None:
-    """A machine from documents labelled 1 (toxic) or 0; None without both labels."""
+    """A machine from documents labelled 1 (toxic) or 0; None without both labels, or where no word is marked."""
     y = np.asarray(toxic, np.int64)
     if not len(y) or y.min() == y.max():
         return None
@@ -299,20 +456,15 @@ def fit(texts: list[str], toxic: list[int]) -> Machine | None:
     for t in texts:
         s = [[read[w] if w in read else read.setdefault(w, readings(w)) for w in words] for words in _sentences(t)]
         docs.append([[r for r in words if len(r[0]) > 3] for words in s])
+    held: dict[tuple[int, int], set[bytes]] = {}
+    for s, label, one in zip(docs, y.tolist(), _same(texts)):
+        held.setdefault((label, one), set()).update(r[0] for words in s for r in words)
     seen = [Counter(), Counter()]
-    for s, label in zip(docs, y):
-        seen[label].update({r[0] for words in s for r in words})
-    n = np.bincount(y, minlength=2)
-    judged = []  # (surplus, word) of words that toxic documents have more than 4 times as often
-    for w, c in seen[1].items():
-        other = seen[0][w]
-        if np.log(((c + 0.5) / (n[1] + 1)) / ((other + 0.5) / (n[0] + 1))) > 1.5:
-            judged.append(((c - other * n[1] / n[0]) / np.sqrt(c + other * n[1] / n[0]), w))
-    judged.sort(key=lambda p: (-p[0], p[1]))
-    marked: list[bytes] = []
-    for least in (2.2, 1.7):  # the lower bound is for small samples
-        if len(marked) < 8:
-            marked = [w for x, w in judged if x >= least]
+    n = np.zeros(2, np.int64)
+    for (label, _), words in held.items():
+        seen[label].update(words)
+        n[label] += len(words)  # a long document has more of all words
+    marked = marked_words(seen, n)
     if not marked:
         return None
     sharp = set(marked)
@@ -320,12 +472,7 @@ def fit(texts: list[str], toxic: list[int]) -> Machine | None:
     plain.exempt |= {w for w, c in seen[0].items() if plain(w) != w and c * n[1] >= seen[1][w] * n[0]}
     for s in docs:
         s[:] = [[next((p for w in r if (p := plain(w)) in sharp), r[0]) for r in words] for words in s]
-    # landmarks: marked words, and common clean words that share their triples
-    clean = [w for w, _ in sorted(seen[0].items(), key=lambda p: (-p[1], p[0])) if w not in sharp and seen[0][w] >= 3]
-    landmarks = marked[: LANDMARKS * 5 // 6]
-    rows, near = Kernel(landmarks)(clean) if clean else (np.zeros(0, int), np.zeros((0, 1)))
-    close = [clean[i] for i in rows[np.argsort(-near.max(1) if len(rows) else near.sum(1), kind="stable")]]
-    landmarks = landmarks + close[: LANDMARKS - len(landmarks)]
+    landmarks = landmarks_of(marked, [w for w, _ in sorted(seen[0].items(), key=lambda p: (-p[1], p[0])) if w not in sharp and seen[0][w] >= 3])
     kernel = Kernel(landmarks)
     rows, square = kernel(landmarks)
     full = np.zeros((len(landmarks), len(landmarks)))
@@ -336,29 +483,35 @@ def fit(texts: list[str], toxic: list[int]) -> Machine | None:
     rows, values = kernel(words)
     mapped = values @ root.astype(np.float32)
     number = {words[i]: k for k, i in enumerate(rows.tolist())}
-    feats, label, toxic_doc, empties = [], [], [], 0
+    kept, label, toxic_doc, empties = [], [], [], 0
     for s, d in zip(docs, y):
         for ws in s:
-            at = [number[w] for w in ws if w in number]
+            at = [number.get(w, -1) for w in ws]
             marked_ = d == 1 and any(w in sharp for w in ws)
-            if not at and d != 1:
+            if max(at, default=-1) < 0 and d != 1:
                 empties += 1
-            elif at or marked_:
-                feats.append(mapped[at].sum(0))
+            elif max(at, default=-1) >= 0:
+                kept.append(at)
                 label.append(int(marked_))
                 toxic_doc.append(d == 1)
     # clean sentences without any kernel value are alike: one row stands for them, with a tenth of their weight
-    feats.append(np.zeros(len(landmarks), np.float32))
-    label.append(0)
-    toxic_doc.append(False)
-    feats, label, toxic_doc = np.array(feats), np.array(label), np.array(toxic_doc)
+    label, toxic_doc = np.array([*label, 0]), np.array([*toxic_doc, False])
     times = np.ones(len(label))
     times[-1] = empties / 10
-    use = (label == 1) | ~toxic_doc
-    beta, bias = _svm(feats[use], label[use], times[use])
-    label = np.where(toxic_doc, (feats @ beta + bias > 0) | (label == 1), 0)
-    use = (label == 1) | ~toxic_doc
-    beta, bias = _svm(feats[use], label[use], times[use])
+    first = label
+    beta, bias = None, 0.0
+    for _ in range(2):
+        feats = np.zeros((len(label), len(landmarks)), np.float32)
+        margin = np.append(mapped @ beta, 0.0) if beta is not None else None
+        for i, at in enumerate(kept):
+            if margin is not None:  # the run that the sentence's margin is of
+                _, a, b = best_run(margin[at].tolist())
+                at = at[a:b]
+            feats[i] = mapped[[k for k in at if k >= 0]].sum(0)
+        if beta is not None:
+            label = np.where(toxic_doc, (feats @ beta + bias > 0) | (first == 1), 0)
+        use = (label == 1) | ~toxic_doc
+        beta, bias = _svm(feats[use], label[use], times[use])
     machine = Machine(kernel, plain, (root @ beta).astype(np.float32), bias)
     counts = machine.counts(texts)
     some = np.array([c[0] > 0 for c in counts])  # the others aren't toxic, whatever the rule
