@@ -1,7 +1,8 @@
 """Near-duplicate documents by MinHash banding and sequential Bayesian verification.
 
-Documents are sets of SHINGLE-word shingles of lower-case words (letters, digits and all non-ASCII
-characters). Documents with equal word sequences are one node from the start. Bands of MinHash values
+Documents are sets of SHINGLE-word shingles of lower-case words: runs of ASCII letters, digits and non-ASCII
+characters that are no punctuation, symbol or space. In scripts that put no spaces between words (Han, Kana, Thai, Lao,
+Khmer, Burmese, Tibetan) each character is a word, so shingles are of characters there. Documents with equal word sequences are one node from the start. Bands of MinHash values
 name candidates; a candidate pair's signatures are compared batch by batch, and the pair is pruned as
 soon as the posterior probability of a similarity of THRESHOLD or more, under a uniform prior, falls
 below MISS; survivors are verified on the shingles themselves. Near-duplicates are the connected
@@ -9,7 +10,10 @@ components of verified pairs.
 
 No pair of a bucket is left out, and large groups of copies don't cost a square: in a first round each
 bucket's members meet its least member only; a second round takes every pair of a bucket whose members
-are still in different components. A pair within a component can't change the result.
+are still in different components. A pair within a component can't change the result. Buckets are never
+collected: they are figures (least member, count, order-free hashes) and joins, which AQE splits where a bucket is
+hot, and of buckets with the same members one is taken. Texts move only if they are in a surviving pair, as
+long as the ids of these fit a broadcast of BROADCAST_IDS.
 
 Defined results: rows that share a doc_id are one document, near to another if any of these rows is,
 and give one result row; rows with a NULL doc_id have no result row here and are kept by the filter;
@@ -22,6 +26,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+import unicodedata
 
 import numpy as np
 import pandas as pd
@@ -42,6 +47,8 @@ MISS = 0.001
 BATCH = 16
 #: MinHash values that the posterior looks at, at most.
 COMPARED = 128
+#: Ids up to which those of surviving pairs are broadcast to filter the texts before they move; 16 bytes each.
+BROADCAST_IDS = 1_000_000
 
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 _IN_WORD = np.zeros(256, bool)
@@ -52,8 +59,32 @@ _B = _rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
 
 
+#: Han, Kana, Thai, Lao, Tibetan, Burmese, Khmer.
+UNSPACED = re.compile("[\u0e01-\u0e4e\u0e81-\u0edf\u0f40-\u0fbc\u1000-\u109f\u1780-\u17d3\u3005-\u3007\u3041-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
+#: What isn't an ASCII character or a Latin letter; a text without it needs no closer look.
+_RARE = re.compile("[^\x00-\x7f\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f]")
+_PARTING: list[re.Pattern] = []
+
+
+def _parting() -> re.Pattern:
+    """Non-ASCII punctuation, symbols and spaces."""
+    if not _PARTING:
+        points = [c for c in range(0x80, 0x110000) if unicodedata.category(chr(c))[0] in "PSZ"]
+        edges = [i for i, c in enumerate(points) if i == 0 or points[i - 1] != c - 1] + [len(points)]
+        _PARTING.append(re.compile("[" + "".join(f"{re.escape(chr(points[a]))}-{re.escape(chr(points[b - 1]))}" for a, b in zip(edges, edges[1:])) + "]+"))
+    return _PARTING[0]
+
+
+def folded(text: str) -> bytes:
+    """The text in lower case, non-ASCII signs as spaces, characters of unspaced scripts apart."""
+    low = text.lower()
+    if not low.isascii() and _RARE.search(low):
+        low = UNSPACED.sub(r" \g<0> ", _parting().sub(" ", low))
+    return low.encode("utf-8", "replace")
+
+
 def words_of(text: str) -> list[bytes]:
-    return _WORD.findall(text.lower().encode("utf-8", "replace"))
+    return _WORD.findall(folded(text))
 
 
 def shingles_of(text: str) -> set[bytes]:
@@ -80,7 +111,7 @@ def least_matches(batch: int = BATCH, total: int = COMPARED, threshold: float =
 
 def signatures(texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
     """(MinHash values, whether the text has a word, digest of the word sequence) of each text."""
-    raw = [t.lower().encode("utf-8", "replace") for t in texts]
+    raw = [folded(t) for t in texts]
     buf = np.frombuffer(b"\n".join(raw) + b"\n", np.uint8)
     ends = np.cumsum(np.fromiter(map(len, raw), np.int64, len(raw)) + 1)
     s, e = run_bounds(_IN_WORD[buf])
@@ -111,11 +142,13 @@ def signatures(texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
 
 
 def _signed(batches):
-    """Arrow batches of (doc_id, text) to (doc_id, digest, sig, bands)."""
+    """Arrow batches of (doc_id, text) to (doc_id, digest, sig, bands); sig has the low byte of each compared value, of which
+    equal values have equal ones, so that a look at the posterior prunes no pair that whole values would keep."""
     for b in batches:
         texts = b.column(1).to_pylist()
         for lo, hi in batches_of(texts, 600_000):
             sig, some, digests = signatures(texts[lo:hi])
+            low = sig[:, :COMPARED].astype(np.uint8)
             band = np.zeros((hi - lo, BANDS), np.uint64)
             for k in range(ROWS):
                 band = mix64(band * _MIX[0] + sig[:, k::ROWS].astype(np.uint64) + np.arange(1, BANDS + 1, dtype=np.uint64) * _MIX[1])
@@ -125,44 +158,20 @@ def _signed(batches):
                 [
                     b.column(0).slice(lo, hi - lo),
                     pa.array(digests, pa.binary()),
-                    pa.array([sig[i].tobytes() for i in range(hi - lo)], pa.binary()),
+                    pa.array([low[i].tobytes() for i in range(hi - lo)], pa.binary()),
                     pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum(size))).astype(np.int32), pa.array(band[some].ravel())),
                 ],
                 names=["doc_id", "digest", "sig", "bands"],
             )
 
 
-def _buckets(batches):
-    """One partition of (band, doc_id), all rows of a band together, to the sorted members of each band with two or more."""
-    bands, ids = [], []
-    for b in batches:
-        bands.append(b.column(0).to_numpy())
-        ids.append(b.column(1).to_numpy())
-    if not bands:
-        return
-    key, doc = np.concatenate(bands), np.concatenate(ids)
-    order = np.lexsort((doc, key))
-    key, doc = key[order], doc[order]
-    new = np.ones(len(key), bool)
-    new[1:] = (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])
-    key, doc = key[new], doc[new]
-    cut = np.concatenate((np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))), [len(key)]))
-    size = np.diff(cut)
-    many = np.repeat(size > 1, size)
-    offsets = np.concatenate(([0], np.cumsum(size[size > 1])))
-    doc = doc[many]
-    for a in range(0, len(offsets) - 1, 50_000):
-        o = offsets[a : a + 50_001]
-        yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(o - o[0], pa.int32()), pa.array(doc[o[0] : o[-1]]))], names=["members"])
-
-
 def _pruned(batches):
     """Pairs (a, b, sig_a, sig_b) that no look at the posterior prunes."""
     least = least_matches()
     for t in batches:
         if not t.num_rows:
             continue
-        x, y = (np.frombuffer(b"".join(t.column(k).to_pylist()), np.uint32).reshape(t.num_rows, -1) for k in (2, 3))
+        x, y = (np.frombuffer(b"".join(t.column(k).to_pylist()), np.uint8).reshape(t.num_rows, -1) for k in (2, 3))
         alive = np.arange(t.num_rows)
         same = np.zeros(t.num_rows, np.int64)
         for n in sorted(least):
@@ -187,25 +196,15 @@ def _verified(batches):
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(j, pa.float64())], names=["a", "b", "jaccard"])
 
 
-def _cross(batches):
-    """All pairs of members of a bucket that lie in different components."""
-    for t in batches:
-        for members, roots in zip(t.column(0).to_pylist(), t.column(1).to_pylist()):
-            m, r = np.array(members), np.array(roots)
-            order = np.argsort(m)
-            m, r = m[order], r[order]
-            for i in range(len(m) - 1):
-                b = m[i + 1 :][r[i + 1 :] != r[i]]
-                if len(b):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(b), m[i])), pa.array(b)], names=["a", "b"])
-
-
 def verify(pairs: DataFrame, signed: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
     """Edges (a, b, jaccard) among candidate pairs (a, b)."""
     sig = signed.select("doc_id", "sig")
     joined = pairs.join(sig.select(F.col("doc_id").alias("a"), F.col("sig").alias("sig_a")), "a").join(sig.select(F.col("doc_id").alias("b"), F.col("sig").alias("sig_b")), "b")
     alive = scratch.keep(joined.select("a", "b", "sig_a", "sig_b").mapInArrow(_pruned, "a bigint, b bigint").distinct())
-    # only the texts of surviving pairs are moved, and a's text follows b's, so that many copies of one text don't pile up
+    ids = scratch.keep(alive.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
+    if ids.count() <= BROADCAST_IDS:
+        texts = texts.join(F.broadcast(ids), "doc_id", "left_semi")
+    # a's text follows b's, so that many copies of one text don't pile up
     with_b = alive.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
     with_a = with_b.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
     return scratch.keep(with_a.select("a", "b", "text_a", "text_b").mapInArrow(_verified, "a bigint, b bigint, jaccard double"))
@@ -222,16 +221,22 @@ def groups(docs: DataFrame) -> DataFrame:
     # hang on another by one of its texts and go into buckets by the others
     same = scratch.keep(signed.select("doc_id", "digest").join(rep, "digest").select("doc_id", "digest", "rep").where("doc_id <> rep").distinct())
     reps = signed.join(same.select("doc_id", "digest"), ["doc_id", "digest"], "left_anti")
-    exploded = reps.select(F.explode("bands").alias("band"), "doc_id").repartition(F.col("band"))
-    buckets = scratch.keep(exploded.mapInArrow(_buckets, "members array<bigint>").distinct())
-    first = buckets.select(F.col("members")[0].alias("a"), F.explode(F.expr("slice(members, 2, size(members) - 1)")).alias("b")).distinct()
-    first = scratch.keep(first)
+    placed = reps.select(F.explode("bands").alias("band"), "doc_id")
+    several = placed.groupBy("band").agg(F.count("*").alias("n"), F.min("doc_id").alias("least")).where("n > 1").select("band", "least")
+    shared = scratch.keep(placed.join(several.hint("merge"), "band"))
+    # a bucket is told by its figures; of buckets with the same members the least band stands for all
+    node = F.xxhash64("doc_id")
+    figures = shared.groupBy("band").agg(F.count("*").alias("n"), F.min("least").alias("least"), F.bit_xor(node).alias("x"), F.sum(node.bitwiseAND((1 << 32) - 1)).alias("s"))
+    chosen = figures.groupBy("n", "least", "x", "s").agg(F.min("band").alias("band")).select("band")
+    members = scratch.keep(shared.join(chosen, "band", "left_semi").distinct())
+    first = scratch.keep(members.where("doc_id > least").select(F.col("least").alias("a"), F.col("doc_id").alias("b")).distinct())
     edges = verify(first, reps, texts, scratch)
     roots = components(edges, scratch)
-    placed = buckets.select(F.sha2(F.col("members").cast("string"), 256).alias("bucket"), F.explode("members").alias("node"))
-    placed = placed.join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
-    split = placed.groupBy("bucket").agg(F.collect_list("node").alias("members"), F.collect_list("root").alias("roots"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi")
-    second = split.select("members", "roots").mapInArrow(_cross, "a bigint, b bigint").distinct().join(first, ["a", "b"], "left_anti")
+    rooted = scratch.keep(members.select("band", "doc_id").join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("band", "doc_id", F.coalesce("root", "doc_id").alias("root")))
+    split = rooted.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("band")
+    open_ = rooted.join(split, "band", "left_semi")
+    one, two = (open_.select("band", F.col("doc_id").alias(c), F.col("root").alias(f"root_{c}")) for c in "ab")
+    second = one.hint("merge").join(two, "band").where("a < b AND root_a <> root_b").select("a", "b").distinct().join(first, ["a", "b"], "left_anti")
     more = verify(scratch.keep(second), reps, texts, scratch)
     all_edges = edges.select("a", "b").unionByName(more.select("a", "b")).unionByName(same.select(F.col("doc_id").alias("a"), F.col("rep").alias("b")))
     roots = components(all_edges, scratch).withColumnRenamed("node", "doc_id")
