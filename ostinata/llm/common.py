@@ -1,14 +1,13 @@
-"""Shared pieces of the training-data operators: tables, scratch storage and text hashing."""
+"""Shared pieces of the training-data operators: tables, labelled samples and text hashing."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ostinata.sources.storage import Scratch, own_folder, shared_folder  # noqa: F401
+
 DOC_COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
@@ -16,69 +15,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir, which every executor can read.
+def labelled_sample(spark: SparkSession, sf_dir: str, label: str, per_class: int, seed: int):
+    """Up to per_class labelled documents of each class (0 and 1), chosen by a hash of doc_id, as pandas (text, y).
 
-    Where the setting is absent a local-mode session (tests) gets a temporary folder; a cluster
-    session is refused, because a machine-local folder would be lost with its machine.
+    Of a doc_id with several labels or texts the least of each counts; labels of no document are passed over after the choice.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    master = spark.sparkContext.master
-    if not master.startswith("local") or master.startswith("local-cluster"):
-        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-    folder = f"file://{tempfile.mkdtemp(prefix='ostinata-')}"
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
-
-
-class Scratch:
-    """Intermediate tables written to the shared folder, so that a lost executor costs no recomputation."""
-
-    def __init__(self, spark: SparkSession):
-        self.spark = spark
-        self.root = f"{shared_folder(spark)}/scratch-{uuid.uuid4().hex}"
-        self.count = 0
-
-    def keep(self, df: DataFrame) -> DataFrame:
-        self.count += 1
-        path = f"{self.root}/{self.count}"
-        df.write.mode("overwrite").parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
-        out.scratch_path = path
-        return out
-
-    def keep_bucketed(self, df: DataFrame, column: str) -> DataFrame:
-        """The same in buckets by a column, as many as there are shuffle partitions: a grouping by it moves nothing."""
-        self.count += 1
-        path = f"{self.root}/{self.count}"
-        name = f"scratch_{uuid.uuid4().hex}"
-        buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        df.write.mode("overwrite").format("parquet").bucketBy(buckets, column).option("path", path).saveAsTable(name)
-        out = self.spark.table(name)
-        out.scratch_path = path
-        return out
-
-    def drop(self, *frames: DataFrame) -> None:
-        """Delete tables that no later result reads."""
-        jvm = self.spark._jvm
-        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
-        for df in frames:
-            path = jvm.org.apache.hadoop.fs.Path(df.scratch_path)
-            path.getFileSystem(conf).delete(path, True)
-
-
-def labelled_sample(spark: SparkSession, sf_dir: str, label: str, per_class: int, seed: int):
-    """Up to per_class labelled documents of each class (0 and 1), chosen by a hash of doc_id, as pandas (text, y)."""
-    labels = table(spark, sf_dir, "labels").select("doc_id", F.col(label).cast("int").alias("y")).where("doc_id IS NOT NULL AND y IN (0, 1)")
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col(label).cast("int").alias("y")).where("doc_id IS NOT NULL AND y IN (0, 1)").groupBy("doc_id").agg(F.min("y").alias("y"))
     rank = F.xxhash64(F.lit(seed), "doc_id")
     chosen = None
     for y in (0, 1):
         part = labels.where(F.col("y") == y).orderBy(rank, "doc_id").limit(per_class)
         chosen = part if chosen is None else chosen.unionByName(part)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text").where("doc_id IS NOT NULL AND text IS NOT NULL")
-    return docs.join(F.broadcast(chosen), "doc_id").toPandas().sort_values(["doc_id", "y", "text"]).reset_index(drop=True)[["text", "y"]]
+    found = docs.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))  # no more rows than chosen
+    return found.toPandas().sort_values(["doc_id", "y", "text"]).reset_index(drop=True)[["text", "y"]]
 
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)

@@ -2,19 +2,25 @@
 
 A notice that matches with k edits or fewer keeps at least one of its k + 1 pieces whole. All pieces of
 all notices are found at once by an Aho-Corasick automaton; each hit opens a window in which the notice
-can lie, windows of one notice that touch are joined, and the regex library's bounded-error matching
-verifies them: the match with the fewest edits (the leftmost of equals) is taken, then the text to its
-left and right in the window is searched likewise. Case is ignored and white space is read as spaces,
+can lie, and windows of one notice that touch are joined. A window's edit distances are worked out by a bit-parallel
+scan; around the places where k or fewer are enough, the regex library's bounded-error matching, with the fewest
+edits that do, verifies the match and reports its span. Of overlapping matches of one notice the one with the fewest
+edits is taken (the leftmost of equals), and what it leaves of the others' windows is searched again. All
+work but that is on stretches of about a notice's length, so it grows in step with the text. Case is ignored and white space is read as spaces,
 both character by character, so spans are those of the text.
 
 The allowed errors are one in ten characters of a notice, insertions, deletions and substitutions alike.
 
-Defined results: NULL and empty texts have no match; repeated rows give repeated matches; a span that
-matches several notices is reported for each of them; other columns are ignored.
+Defined results: NULL and empty texts have no match, an empty table none; repeated rows give repeated matches; texts of any length are
+searched whole; a span that matches several notices is reported for each of them, ties between notices included; matches of one notice
+don't overlap; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import bisect
+import heapq
+
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
@@ -45,10 +51,12 @@ def plain(text: str) -> str:
     low = text.lower()
     if len(low) != len(text):
         low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
-    return low.translate(_SPACES)
+    for c in _SPACES:
+        low = low.replace(c, " ")
+    return low
 
 
-_SPACES = {c: " " for c in (9, 10, 11, 12, 13, 0x85, 0xA0, 0x2028, 0x2029)}
+_SPACES = "\t\n\v\f\r\x85\xa0\u2028\u2029"
 
 
 def pieces(notice: str, k: int) -> list[tuple[int, str]]:
@@ -60,10 +68,15 @@ def pieces(notice: str, k: int) -> list[tuple[int, str]]:
 class Search:
     def __init__(self, notices: dict[str, str], chars_per_edit: int = CHARS_PER_EDIT):
         import ahocorasick
-        import regex
 
         self.notices = [(name, plain(n), len(n) // chars_per_edit) for name, n in notices.items() if n]
-        self.patterns = [regex.compile(f"(?b)(?:{regex.escape(n, literal_spaces=True)}){{e<={k}}}") for _, n, k in self.notices]
+        self.patterns: dict[tuple[int, int], object] = {}
+        self.masks = []
+        for _, n, _ in self.notices:
+            masks: dict[str, int] = {}
+            for i, c in enumerate(n):
+                masks[c] = masks.get(c, 0) | 1 << i
+            self.masks.append(masks)
         seeds: dict[str, list[tuple[int, int]]] = {}
         for i, (_, n, k) in enumerate(self.notices):
             for at, piece in pieces(n, k):
@@ -98,26 +111,93 @@ class Search:
             out.append((i, *now))
         return out
 
-    def best_first(self, i: int, low: str, start: int, end: int) -> list[tuple[int, int, int]]:
-        """(start, end, edits) of the matches of notice i in low[start:end]."""
+    def distances(self, i: int, low: str, start: int, end: int):
+        """(place, edits) of the places in low[start:end] where a match of notice i with its allowed edits can end; edits are the fewest."""
+        _, notice, k = self.notices[i]
+        masks, m = self.masks[i], len(notice)
+        full, top = (1 << m) - 1, 1 << (m - 1)
+        pv, mv, score = full, 0, m
+        for j in range(start, end):
+            eq = masks.get(low[j], 0)
+            xv = eq | mv
+            xh = (((eq & pv) + pv) ^ pv) | eq
+            ph = mv | (full & ~(xh | pv))
+            mh = pv & xh
+            if ph & top:
+                score += 1
+            elif mh & top:
+                score -= 1
+            ph = (ph << 1) & full
+            mh = (mh << 1) & full
+            pv = mh | (full & ~(xv | ph))
+            mv = ph & xv
+            if score <= k:
+                yield j + 1, score
+
+    def regions(self, i: int, low: str, start: int, end: int):
+        """(start, end, edits): stretches that hold all matches of notice i in low[start:end], and the fewest edits of one."""
+        _, notice, k = self.notices[i]
+        first = last = None
+        least = 0
+        for at, edits in self.distances(i, low, start, end):
+            if first is not None and at == last + 1 and at - first < len(notice):
+                last, least = at, min(least, edits)
+            else:
+                if first is not None:
+                    yield max(start, first - len(notice) - k), last, least
+                first, last, least = at, at, edits
+        if first is not None:
+            yield max(start, first - len(notice) - k), last, least
+
+    def verified(self, i: int, low: str, start: int, end: int, edits: int) -> tuple[int, int, int]:
+        """(edits, start, end) of the leftmost match of notice i with the fewest edits in low[start:end]."""
+        if (i, edits) not in self.patterns:
+            import regex
+
+            self.patterns[i, edits] = regex.compile(f"(?b)(?:{regex.escape(self.notices[i][1], literal_spaces=True)}){{e<={edits}}}")
+        m = self.patterns[i, edits].search(low, start, end)
+        return sum(m.fuzzy_counts), m.start(), m.end()
+
+    def matches(self, i: int, low: str, start: int, end: int) -> list[tuple[int, int, int]]:
+        """(start, end, edits) of the matches of notice i in low[start:end] that don't overlap, the best taken first."""
         least = len(self.notices[i][1]) - self.notices[i][2]
-        todo, out = [(start, end)], []
-        while todo:
-            a, b = todo.pop()
-            if b - a < least:
-                continue
-            m = self.patterns[i].search(low, a, b)
-            if m:
-                out.append((m.start(), m.end(), sum(m.fuzzy_counts)))
-                todo += [(a, m.start()), (m.end(), b)]
-        return sorted(out)
+        heap: list[tuple[int, int, int, int, int]] = []
+
+        def search(a: int, b: int) -> None:
+            if b - a >= least:
+                for lo, hi, edits in self.regions(i, low, a, b):
+                    heapq.heappush(heap, (*self.verified(i, low, lo, hi, edits), lo, hi))
+
+        search(start, end)
+        taken: list[tuple[int, int]] = []
+        out = []
+        while heap:
+            edits, a, b, lo, hi = heapq.heappop(heap)
+            at = bisect.bisect(taken, (a, b))
+            if not (at and taken[at - 1][1] > a) and not (at < len(taken) and taken[at][0] < b):
+                taken.insert(at, (a, b))
+                out.append((a, b, edits))
+            # what the taken ones leave of the region
+            first = bisect.bisect(taken, (lo, lo))
+            if first and taken[first - 1][1] > lo:
+                first -= 1
+            begin = lo
+            for x, y in taken[first:]:
+                if x >= hi:
+                    break
+                if x > begin:
+                    search(begin, x)
+                begin = max(begin, y)
+            if begin < hi:
+                search(begin, hi)
+        return sorted(set(out))
 
     def __call__(self, text: str) -> list[tuple[str, int, int, int]]:
         """(notice, start, end, edits) of all matches."""
         if not self.any or not text:
             return []
         low = plain(text)
-        return sorted((self.notices[i][0], *m) for i, a, b in self.windows(low) for m in self.best_first(i, low, a, b))
+        return sorted((self.notices[i][0], *m) for i, a, b in self.windows(low) for m in self.matches(i, low, a, b))
 
 
 def scan(docs: DataFrame, notices: dict[str, str] | None = None, chars_per_edit: int = CHARS_PER_EDIT) -> DataFrame:

@@ -6,6 +6,11 @@ the digest of its payload. An original record is header block + payload + CRLF C
 join on the digest. The digest is verified twice: storing compares length and a second, independent
 hash of all payloads that claim one digest, and rebuilding hashes the stored payload again.
 
+A URL is written with its control characters, spaces and characters beyond ASCII percent-encoded (the url column keeps it as it was), so
+a header block is ASCII and no URL can add a line to it. WARC files are read as a stream, member by member if they are compressed, in
+batches of records; a file may be empty. What can't be read as WARC (a damaged gzip member, a block without "WARC/", a missing, negative or
+non-numeric Content-Length, a file that breaks off) ends with ValueError that names the file.
+
 Defined results: a NULL payload has a NULL digest and nothing in the store, its record is the header
 block alone and verified; an empty payload is stored like any other, once; repeated rows and repeated
 record ids are records of their own; a payload missing from the store gives a NULL record that isn't
@@ -16,6 +21,9 @@ from __future__ import annotations
 
 import gzip
 import io
+import re
+import zlib
+from typing import BinaryIO
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -26,9 +34,17 @@ from ostinata.llm.common import table
 _END = "\r\n\r\n"
 
 
+def _safe(url: Column) -> Column:
+    """A URL in printable ASCII: other bytes of its UTF-8 form percent-encoded, what is encoded already left as it is."""
+    plain = F.rlike(url, F.lit(r"\A[!-~]*\z"))
+    encoded = F.array_join(F.transform(F.split(url, ""), lambda c: F.when(F.rlike(c, F.lit(r"\A[!-~]?\z")), c).otherwise(F.regexp_replace(F.hex(F.encode(c, "UTF-8")), "(..)", "%$1"))), "")
+    return F.when(plain, url).otherwise(encoded)
+
+
 def header_block(key: Column, url: Column, payload: Column, digest: Column) -> Column:
     """The header block of a resource record. Its record id is a name-based UUID of key and url."""
     m = F.md5(F.concat_ws("|", key.cast("string"), url))
+    url = _safe(url)
     uuid = F.concat_ws("-", F.substring(m, 1, 8), F.substring(m, 9, 4), F.substring(m, 13, 4), F.substring(m, 17, 4), F.substring(m, 21, 12))
     lines = F.concat_ws(
         "\r\n",
@@ -84,12 +100,24 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
 
 
 
-def parse_warc(data: bytes):
-    """(header block as latin-1, payload bytes) of each record of a WARC file; record-wise or whole gzip is undone.
+def parse_warc(source: bytes | BinaryIO):
+    """(header block as latin-1, payload bytes) of each record of a WARC file, read as a stream; record-wise or whole gzip is undone.
 
-    The header block is kept exactly, with its closing empty line. A file that breaks off within a record ends with ValueError.
+    The header block is kept exactly, with its closing empty line. What can't be read ends with ValueError.
     """
-    f = io.BytesIO(gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data)
+    f = io.BytesIO(source) if isinstance(source, bytes) else source
+    if f.read(2) == b"\x1f\x8b":
+        f.seek(0)
+        f = gzip.GzipFile(fileobj=f)
+    else:
+        f.seek(0)
+    try:
+        yield from _records(io.BufferedReader(f, 1 << 20))
+    except (EOFError, zlib.error, gzip.BadGzipFile) as e:
+        raise ValueError(f"damaged gzip: {e}") from e
+
+
+def _records(f: BinaryIO):
     while True:
         line = f.readline()
         while line in (b"\r\n", b"\n"):
@@ -97,7 +125,7 @@ def parse_warc(data: bytes):
         if not line:
             return
         if not line.startswith(b"WARC/"):
-            raise ValueError(f"no WARC record at byte {f.tell() - len(line)}")
+            raise ValueError("a record doesn't begin with WARC/")
         block, length = [line], None
         while True:
             line = f.readline()
@@ -108,6 +136,8 @@ def parse_warc(data: bytes):
                 break
             name, _, value = line.partition(b":")
             if name.strip().lower() == b"content-length":
+                if not value.strip().isdigit():
+                    raise ValueError(f"Content-Length is {value.strip()!r}")
                 length = int(value)
         if length is None:
             raise ValueError("a record has no Content-Length")
@@ -117,19 +147,59 @@ def parse_warc(data: bytes):
         yield b"".join(block).decode("latin-1"), payload
 
 
+#: Bytes of payload, and records, in a batch that a reading task hands over.
+BATCH_BYTES, BATCH_RECORDS = 16 << 20, 1000
+
+
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """Records (key = file name and number, header, digest, payload binary) of the WARC files at a path, one task to a file or more files."""
+    """Records (key = file name and number, header, digest, payload binary) of the WARC files at a path, one task to a file or more files.
+
+    Files are streamed by the workers through pyarrow's file systems; where these can't open a file's scheme, its bytes are handed over by Spark whole (up to 2 GB).
+    """
 
     def run(batches):
         for b in batches:
             for name, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                for n, (head, payload) in enumerate(parse_warc(data)):
-                    yield pa.RecordBatch.from_arrays([pa.array([f"{name}#{n}"]), pa.array([head]), pa.array([payload], pa.binary())], names=["key", "header", "payload"])
-
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
+                heads, payloads, size, first = [], [], 0, 0
+
+                def batch():
+                    return pa.RecordBatch.from_arrays([pa.array([f"{name}#{first + i}" for i in range(len(heads))]), pa.array(heads), pa.array(payloads, pa.binary())], names=["key", "header", "payload"])
+
+                source = data if data is not None else _open(name)
+                try:
+                    for head, payload in parse_warc(source):
+                        heads.append(head), payloads.append(payload)
+                        size += len(payload)
+                        if size >= BATCH_BYTES or len(heads) >= BATCH_RECORDS:
+                            yield batch()
+                            first, heads, payloads, size = first + len(heads), [], [], 0
+                except ValueError as e:
+                    raise ValueError(f"{name}: {e}") from e
+                if heads:
+                    yield batch()
+
+    files = spark.read.format("binaryFile").load(path)
+    sample = files.select("path").first()
+    streamed = sample is None or _opens(sample["path"])
+    files = files.select("path", (F.lit(None).cast("binary") if streamed else F.col("content")).alias("content"))
     return files.mapInArrow(run, "key string, header string, payload binary").select("key", F.lit(None).cast("string").alias("url"), "header", F.sha2("payload", 256).alias("digest"), "payload")
 
 
+def _open(name: str) -> BinaryIO:
+    from pyarrow import fs
+
+    system, path = fs.FileSystem.from_uri(re.sub(r"^file:/(?!/)", "file:///", name))
+    return system.open_input_file(path)
+
+
+def _opens(name: str) -> bool:
+    try:
+        _open(name).close()
+    except (OSError, ValueError, NotImplementedError, pa.ArrowException):
+        return False
+    return True
+
+
 def to_bytes(header: str, payload: bytes | None) -> bytes:
     """A record as it stands in a file."""
     return header.encode("latin-1") + (payload or b"") + _END.encode()
