@@ -1,7 +1,12 @@
 """The ten operators against brute force, round trips, held-out accuracy and odd inputs."""
 
+import base64
+import gzip
+import itertools
 import random
 import re
+import time
+import tracemalloc
 from collections import Counter, defaultdict
 
 import duckdb
@@ -10,8 +15,9 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from ostinata.llm import bpe, chat, embedding_dedup, entries, licenses, minhash_dedup, mixing, quality_crf, topk, toxicity_ssk, warc
+from ostinata.llm import bpe, chat, embedding_dedup, entries, licenses, minhash_dedup, mixing, quality_crf, topk, toxicity_ssk, warc, words
 from ostinata.llm.common import Scratch, shared_folder
+from ostinata.llm.components import components
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint, keep string, score string, group_id string, row_key string"
 
@@ -75,8 +81,6 @@ def test_archive_round_trip_and_odd_rows(spark):
 
 
 def test_archive_reads_warc_files(spark, tmp_path):
-    import gzip
-
     recs = [("WARC/1.0\r\nWARC-Type: response\r\nX-Odd:  kept  \r\nContent-Length: 5\r\n\r\n", b"\x00\xffab\r"), ("WARC/1.0\r\nContent-Length: 0\r\n\r\n", b""), ("WARC/1.0\r\nContent-Length: 5\r\n\r\n", b"\x00\xffab\r")]
     data = [warc.to_bytes(h, p) for h, p in recs]
     (tmp_path / "a.warc").write_bytes(b"".join(data))
@@ -88,8 +92,26 @@ def test_archive_reads_warc_files(spark, tmp_path):
     heads = back.join(read.select("key", "header", F.col("payload").alias("p")), "key").collect()
     assert len(heads) == 6
     assert all(bytes(r["record"]) == warc.to_bytes(r["header"], bytes(r["p"])) for r in heads)
+    (tmp_path / "more").mkdir()
+    (tmp_path / "more/empty.warc").write_bytes(b"")
+    (tmp_path / "more/many.warc.gz").write_bytes(b"".join(gzip.compress(warc.to_bytes(f"WARC/1.0\r\nContent-Length: {len(str(i))}\r\n\r\n", str(i).encode())) for i in range(2500)))
+    many = warc.read_warc(spark, str(tmp_path / "more")).toPandas()
+    assert len(many) == 2500 and sorted(int(k.rpartition("#")[2]) for k in many.key) == list(range(2500)) and set(many.payload.map(int)) == set(range(2500))
+
+
+@pytest.mark.parametrize("data", [b"WARC/1.0\r\nContent-Length: 9\r\n\r\nab", b"WARC/1.0\r\nContent-Length: x\r\n\r\n", b"WARC/1.0\r\nContent-Length: -1\r\n\r\n", b"WARC/1.0\r\nA: b\r\n\r\n", b"WARC/1.0\r\nA: b", b"HTTP/1.0\r\n\r\n", gzip.compress(b"WARC/1.0\r\nContent-Length: 2\r\n\r\nab\r\n\r\n")[:-9], b"\x1f\x8bnot gzip"])
+def test_archive_refuses_damaged_files(data):
     with pytest.raises(ValueError):
-        list(warc.parse_warc(b"WARC/1.0\r\nContent-Length: 9\r\n\r\nab"))
+        list(warc.parse_warc(data))
+
+
+def test_archive_of_urls_beyond_latin_1(spark):
+    rows = [(1, "https://例え.jp/ü?a=b%20c", bytearray(b"\x00\xff")), (2, "http://x/\r\nEvil: yes", bytearray(b"")), (3, "", None)]
+    recs = warc.records(spark.createDataFrame(rows, "page_id bigint, url string, html binary"))
+    out = {r["key"]: r for r in warc.rebuild(warc.headers(recs), warc.store(recs)).collect()}
+    assert b"WARC-Target-URI: https://%E4%BE%8B%E3%81%88.jp/%C3%BC?a=b%20c\r\n" in bytes(out[1]["record"]) and bytes(out[1]["record"]).endswith(b"\x00\xff\r\n\r\n")
+    assert b"WARC-Target-URI: http://x/%0D%0AEvil:%20yes\r\n" in bytes(out[2]["record"]) and out[1]["url"] == rows[0][1]
+    assert all(r["verified"] for r in out.values()) and [len(list(warc.parse_warc(bytes(r["record"])))) for r in out.values()] == [1, 1, 1]
 
 
 # 2. licenses
@@ -108,6 +130,21 @@ def edits_within(notice, low, k):
     return min(out, default=len(notice))
 
 
+def best_first(notice, k, low):
+    """(start, end, edits): the best match of a whole text by the regex library alone, then what is left and right of it."""
+    import regex
+
+    pattern = regex.compile(f"(?b)(?:{regex.escape(notice, literal_spaces=True)}){{e<={k}}}")
+    todo, out = [(0, len(low))], []
+    while todo:
+        a, b = todo.pop()
+        m = pattern.search(low, a, b) if b - a >= len(notice) - k else None
+        if m:
+            out.append((m.start(), m.end(), sum(m.fuzzy_counts)))
+            todo += [(a, m.start()), (m.end(), b)]
+    return sorted(out)
+
+
 def test_license_search_against_brute_force():
     rng = random.Random(3)
     find = licenses.Search(licenses.NOTICES)
@@ -120,7 +157,7 @@ def test_license_search_against_brute_force():
         text = "".join(rng.choice("abc licensed the \n") for _ in range(rng.randrange(80))) + "".join(chars) + " tail " + notice[: rng.randrange(20)] + (notice.upper() if turn % 3 == 0 else "")
         got = find(text)
         low = licenses.plain(text)
-        whole = sorted((find.notices[i][0], *m) for i in range(len(find.notices)) for m in find.best_first(i, low, 0, len(low)))
+        whole = sorted((n, *m) for n, pat, k in find.notices for m in best_first(pat, k, low))
         assert got == whole
         for n, pat, k in find.notices:
             least = edits_within(pat, low, k)
@@ -130,6 +167,35 @@ def test_license_search_against_brute_force():
                 assert min(mine) == least
 
 
+def test_license_matches_that_touch_and_overlap():
+    """Notices one upon another, cut short and with edits at their ends, against the whole text's best-first matches."""
+    rng = random.Random(12)
+    notices = {"a": "free to use and share it", "b": "abcabcabcabcabcabcabc", "c": "the gnu licence"}
+    find = licenses.Search(notices)
+    for _ in range(150):
+        name, notice = rng.choice(list(notices.items()))
+        text = ""
+        for _ in range(rng.randrange(1, 6)):
+            chars = list(notice)
+            for _ in range(rng.randrange(0, 4)):
+                at = rng.randrange(len(chars))
+                chars[at : at + 1] = rng.choice([[], [chars[at], "x"], ["q"]])
+            text += "".join(chars)[: rng.choice([8, 30, 30])] + rng.choice(["", "", " ", "zz"])
+        got = [m for n, *m in find(text) if n == name]
+        k = dict((n, k) for n, _, k in find.notices)[name]
+        want = best_first(notice, k, licenses.plain(text))
+        assert [m[2] for m in got] == [m[2] for m in want] and [tuple(m) for m in got] == want
+
+
+def test_license_search_of_very_long_texts_is_linear():
+    notice = licenses.NOTICES["bsd"].replace("source", "sorce")
+    text = (notice + ". ") * (1_500_000 // (len(notice) + 2))
+    began = time.process_time()
+    got = licenses.Search(licenses.NOTICES)(text)
+    assert len(got) == 1_500_000 // (len(notice) + 2) and {m[3] for m in got} == {1}
+    assert time.process_time() - began < 30
+
+
 def test_license_scan_of_odd_rows(spark):
     rows = ODD + [(8, "Released under\nthe MIT  Licence. " + LONG + " Licensed under the Apache Licence, Version 2.0!", "a")] * 2
     out = licenses.scan(odd_docs(spark, rows)).toPandas()
@@ -138,13 +204,38 @@ def test_license_scan_of_odd_rows(spark):
     assert licenses.scan(odd_docs(spark, [])).count() == 0
 
 
-def test_license_query_covers_the_table(spark, sf, docs):
+def all_ends(notice, low):
+    """Least edits of the notice to a substring ending at each place, by dynamic programming over whole columns."""
+    step = np.arange(len(notice) + 1)
+    letters = np.array(list(notice))
+    row, out = step.copy(), []
+    for c in low:
+        new = np.minimum(row[1:] + 1, row[:-1] + (letters != c))
+        new = np.concatenate(([0], new))
+        row = np.minimum.accumulate(new - step) + step
+        out.append(row[-1])
+    return np.array(out)
+
+
+def test_license_query_against_dynamic_programming(spark, sf, docs):
     out = licenses.op2_license_scan(spark, sf).toPandas()
-    find = licenses.Search(licenses.NOTICES)
-    want = [(i, *m) for i, t in zip(docs.doc_id, docs.text) for m in find(t)]
-    assert sorted(out[["doc_id", "notice", "start", "end", "edits"]].itertuples(index=False, name=None)) == sorted(want)
-    plain = docs[docs.text.str.contains("Released under the MIT License")]
-    assert set(plain.doc_id) <= set(out[out.notice == "mit"].doc_id)
+    assert set(docs[docs.text.str.contains("Released under the MIT License")].doc_id) <= set(out[out.notice == "mit"].doc_id)
+    hit = docs[docs.doc_id.isin(out.doc_id)].sort_values("n_chars").head(12)
+    rest = docs[~docs.doc_id.isin(out.doc_id)].sort_values("n_chars").tail(160).head(12)
+    for doc, text in pd.concat([hit, rest])[["doc_id", "text"]].itertuples(index=False):
+        text = text[:6000] if doc in set(rest.doc_id) else text
+        low = licenses.plain(text)
+        mine = out[out.doc_id == doc]
+        for name, notice in licenses.NOTICES.items():
+            k = len(notice) // licenses.CHARS_PER_EDIT
+            ends = all_ends(licenses.plain(notice), low)
+            got = mine[mine.notice == name].sort_values("start")
+            assert not len(got) or (got.start.to_numpy()[1:] >= got.end.to_numpy()[:-1]).all()
+            for r in got.itertuples():
+                assert r.matched == text[r.start : r.end] and ends[r.end - 1] <= r.edits <= k
+                assert all_ends(licenses.plain(notice), low[r.start : r.end]).min() == r.edits
+            for e in np.flatnonzero(ends <= k) + 1:  # every place where a match can end is within reach of one that was taken
+                assert any(r.start < e + k and e - len(notice) - k < r.end for r in got.itertuples())
 
 
 # 3. top-k
@@ -292,6 +383,112 @@ def test_toxicity_on_held_out_documents(big):
         assert m.counts([text])[0][0] == 1
 
 
+def direct_kernel(w: bytes, z: bytes, phi: dict) -> float:
+    for x in (w, z):
+        if x not in phi:
+            f = Counter()
+            for i, j, k in ((i, j, k) for i in range(len(x)) for j in range(i + 1, len(x)) for k in range(j + 1, min(len(x), i + 5))):
+                f[x[i], x[j], x[k]] += toxicity_ssk.DECAY ** (k - i - 2)
+            phi[x] = f, np.sqrt(sum(v * v for v in f.values()))
+    (p, n), (q, m) = phi[w], phi[z]
+    c = sum(v * q[t] for t, v in p.items() if t in q) / (n * m) if n and m else 0.0
+    return c**toxicity_ssk.SHARP if c >= toxicity_ssk.FLOOR else 0.0
+
+
+def test_toxicity_query_against_brute_force(spark, big, tmp_path):
+    """Every word's margin by direct sums over its triples, every sentence's by all its runs, every document's by the rule."""
+    d = pd.concat([big[big.toxic == 1].head(60), big[big.toxic == 0].head(120)])
+    d[["doc_id", "text", "lang", "source", "n_chars"]].to_parquet(tmp_path / "documents.parquet")
+    d[["doc_id", "quality", "toxic"]].to_parquet(tmp_path / "labels.parquet")
+    m = toxicity_ssk.train(spark, str(tmp_path))
+    marks = [bytes(x) for x in m.landmarks]
+    phi, known = {}, {}
+
+    def margin(token):
+        if token not in known:
+            own = [float(np.dot([direct_kernel(w, z, phi) for z in marks], m.alpha)) if w else 0.0 for w in map(m.plain, toxicity_ssk.readings(token))]
+            known[token] = max(own)
+        return known[token]
+
+    out = toxicity_ssk.op5_toxicity_ssk(spark, str(tmp_path)).toPandas().set_index("doc_id")
+    en = set(d[(d.lang == "en") | (d.toxic == 0)].doc_id)  # 50 toxic documents are too few for the words of all languages
+    assert len(out) == len(d) and (out.toxic == (d.set_index("doc_id").toxic == 1))[out.index.isin(en)].mean() > 0.97
+    few = pd.concat([d[d.text.str.len() < 1500].head(40), d[d.toxic == 1].sort_values("n_chars").head(15)]).drop_duplicates("doc_id")
+    for doc, text in zip(few.doc_id, few.text):
+        over = []
+        split = toxicity_ssk._sentences(text)
+        for s in split:
+            v = [margin(t) for t in s]
+            best = max(sum(v[i:j]) for i in range(len(v)) for j in range(i + 1, min(len(v), i + toxicity_ssk.SPAN) + 1))
+            if best + m.bias > 0:
+                over.append(best + m.bias)
+        z = np.dot(m.rule, [np.log1p(len(over)), np.log1p(sum(over)), np.log1p(len(split)), 1.0])
+        r = out.loc[doc]
+        assert (r.toxic_sentences, r.sentences) == (len(over), len(split))
+        assert r.score == pytest.approx(1 / (1 + np.exp(-z)) if over else 0.0, abs=1e-3)
+
+
+def test_best_run_against_all_runs():
+    rng = random.Random(4)
+    for _ in range(300):
+        v = [rng.choice([0.0, 0.0, 0.5, -0.3, 1.0, -2.0]) for _ in range(rng.randrange(1, 150))]
+        want = max(sum(v[i:j]) for i in range(len(v)) for j in range(i + 1, min(len(v), i + toxicity_ssk.SPAN) + 1))
+        total, a, b = toxicity_ssk.best_run(v)
+        assert total == pytest.approx(want) and sum(v[a:b]) == pytest.approx(total) and b - a <= toxicity_ssk.SPAN
+
+
+def test_toxicity_does_not_hang_on_the_place_of_words(machine):
+    """The same insult with a clean word near or far, at any place of a sentence of any length, is found once."""
+    for n in (0, 5, 62, 63, 64, 200, 5000):
+        for before in (0, 1, 63, 64, 100):
+            assert machine.counts([" ".join(["zzz"] * before + ["idiot"] + ["zzz"] * n + ["station"])])[0][:2] == (1, 1)
+    assert machine.counts(["zzz " * 5000])[0][0] == 0
+
+
+def test_copies_count_once_when_words_are_marked():
+    """A toxic document's own words don't become insults because it was copied."""
+    rng = random.Random(6)
+    words_ = ["".join(rng.choice("bdfgklmnprstvz") + rng.choice("aeiou") for _ in range(3)) for _ in range(3000)]
+    text = lambda: " ".join(rng.choice(words_) for _ in range(60))
+    clean = [text() for _ in range(150)]
+    toxic = [text() + " such a blockhead. " + text() for _ in range(100)]
+    copies = [toxic[0] + " " + rng.choice(words_) for _ in range(60)]
+    m = toxicity_ssk.fit(clean + toxic, [0] * 150 + [1] * 100)
+    n = toxicity_ssk.fit(clean + toxic + copies, [0] * 150 + [1] * 160)
+    assert m.counts(["you blockhead"])[0][0] == n.counts(["you blockhead"])[0][0] == 1
+    assert m.landmarks == n.landmarks
+
+
+def test_toxicity_in_other_scripts():
+    russian = "стол книга окно город река дорога земля вечер мастер письмо дерево погода корабль завод музыка театр улица поезд".split()
+    chinese = "今天天气很好我们去公园学习数据科学工作音乐电影城市河流山水道路房子朋友老师学生"
+    rng = random.Random(5)
+    clean, toxic = [], []
+    for _ in range(150):
+        r = lambda: " ".join(rng.choice(russian) for _ in range(30))
+        c = lambda: "".join(rng.choice(chinese) for _ in range(40))
+        clean += [r() + ".", c() + "。"]
+        toxic += [r() + " какой дурак! " + r(), c() + "你是白痴。" + c()]
+    m = toxicity_ssk.fit(clean + toxic, [0] * len(clean) + [1] * len(toxic))
+    assert [c[0] > 0 for c in m.counts(["вот дурак", "вот столы", "вот книга", "он ду-рак.", "他是白痴吗", "他是学生吗", "天气很好。"])] == [True, False, False, True, True, False, False]
+    one, two, three = (toxicity_ssk.read_word(w) for w in ("дурак", "столы", "книга"))
+    rows, values = toxicity_ssk.Kernel([one])([one, two, three])
+    assert rows.tolist() == [0] and values[0, 0] == pytest.approx(1)
+
+
+def test_toxicity_of_a_text_of_one_unbroken_run(machine):
+    rng = random.Random(2)
+    run = "".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEF0123456789+/") for _ in range(100_000))
+    tracemalloc.start()
+    assert machine.counts([run * 50])[0] == (0, 1, 0.0)
+    assert tracemalloc.get_traced_memory()[1] < 250_000_000
+    tracemalloc.stop()
+    w = toxicity_ssk.read_word(run)
+    idx, wt = toxicity_ssk._summed(w * 3)
+    at, i, t = toxicity_ssk._merged(*toxicity_ssk.triples([w * 3]))
+    assert idx.tolist() == i.tolist() and np.allclose(wt, t, rtol=1e-4)
+
+
 FRAMES = ["what {} you are", "quel {} tu es", "was für {} du bist", "qué {} eres tú"]
 STEMS = "idiot moron scum clown loser trash stupid pathetic worthless disgusting".split()
 
@@ -339,6 +536,9 @@ def test_toxicity_of_odd_rows(spark, sf):
 # 6. chat
 
 
+EOT, START, END = chat.reserved(bpe.ranks())
+
+
 def test_chat_against_brute_force(spark, sf):
     turns = pd.read_parquet(f"{sf}/conversations.parquet").sort_values(["conv_id", "turn", "role", "text"])
     e = bpe.encoder(bpe.ranks())
@@ -347,11 +547,11 @@ def test_chat_against_brute_force(spark, sf):
     for conv, t in turns.groupby("conv_id"):
         ids, mask = [], []
         for role, text in zip(t.role, t.text):
-            head = [chat.START, *e.encode_ordinary(role), *e.encode_ordinary("\n")]
-            body = [*e.encode_ordinary(text), chat.END]
+            head = [START, *e.encode_ordinary(role), *e.encode_ordinary("\n")]
+            body = [*e.encode_ordinary(text), END]
             ids += head + body + e.encode_ordinary("\n")
             mask += [0] * len(head) + [int(role == "assistant")] * len(body) + [0]
-        assert list(out.ids[conv]) == ids + [chat.EOT] and list(out["mask"][conv]) == mask + [0]
+        assert list(out.ids[conv]) == ids + [EOT] and list(out["mask"][conv]) == mask + [0]
         assert out.n_trained[conv] == sum(mask)
 
 
@@ -363,13 +563,26 @@ def test_chat_escapes_and_odd_rows(spark):
     df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string, mask int")
     out = {r["conv_id"]: r for r in chat.format_chats(df).collect()}
     assert set(out) == {1, 2, None} and out[1]["n_turns"] == 2 and out[2]["n_turns"] == 2
+    assert [r["n_turns"] for r in chat.format_chats(df).where("conv_id IS NULL").collect()] == [1, 1]
     e = bpe.encoder(bpe.ranks())
     trained = [i for i, m in zip(out[1]["ids"], out[1]["mask"]) if m]
-    assert trained[-1] == chat.END and e.decode(trained[:-1]) == "hi <\\|end|> there"
-    assert out[1]["ids"].count(chat.END) == 2
+    assert trained[-1] == END and e.decode(trained[:-1]) == "hi <\\|end|> there"
+    assert out[1]["ids"].count(END) == 2
     assert chat.format_chats(df.limit(0)).count() == 0
 
 
+def test_chat_with_another_vocabulary(spark, tmp_path):
+    """Reserved ids are those behind the vocabulary's own, which content can produce."""
+    first = bpe.ranks()
+    more = {**first, b" assistant is": 50_256, b"!?!": 50_257, b" hello hello": 50_258}
+    (tmp_path / "v.tiktoken").write_text("".join(f"{base64.b64encode(p).decode()} {i}\n" for p, i in more.items()))
+    df = spark.createDataFrame([(1, 0, "assistant", "x!?!")], "conv_id bigint, turn bigint, role string, text string")
+    e = bpe.encoder(more)
+    ids = chat.format_chats(df, str(tmp_path / "v.tiktoken")).first()["ids"]
+    assert ids == [50_260, *e.encode_ordinary("assistant"), *e.encode_ordinary("\n"), *e.encode_ordinary("x!?!"), 50_261, *e.encode_ordinary("\n"), 50_259]
+    assert max(e.encode_ordinary("x!?!")) == 50_257
+
+
 # 7. quality
 
 
@@ -394,6 +607,40 @@ def test_marginals_against_enumeration():
     assert np.allclose(bad, want) and np.allclose(pairs, pair) and np.isclose(z, logz)
 
 
+def quality_by_hand(field, text):
+    """Length-weighted P(good) of the lines by summing over all labellings (few lines) of one text."""
+    x, size, counts = quality_crf.line_features([text])
+    n = len(x)
+    if not n:
+        return 0.0
+    pad = np.vstack([np.zeros(x.shape[1]), x, np.zeros(x.shape[1])])
+    emit = [float(np.dot(np.concatenate([pad[i + 1], pad[i], pad[i + 2], [i == 0, i == n - 1, 1.0]]), field.weights)) for i in range(n)]
+    total, good = 0.0, np.zeros(n)
+    for y in itertools.product((0, 1), repeat=n):
+        w = np.exp(sum(emit[i] * y[i] for i in range(n)) + sum(field.move[y[i], y[i + 1]] for i in range(n - 1)))
+        total += w
+        good += w * (1 - np.array(y))
+    return float(np.dot(size, good / total) / size.sum())
+
+
+def test_quality_query_against_brute_force(spark, sf, docs):
+    field = quality_crf.train(spark, sf)
+    out = quality_crf.op7_quality_crf(spark, sf).toPandas().set_index("doc_id")
+    assert len(out) == len(docs) and (out.keep == (out.quality >= field.threshold)).all()
+    few = [(i, t) for i, t in zip(docs.doc_id, docs.text) if 0 < len([x for x in t.split("\n") if x.strip()]) <= 8]
+    assert len(few) > 20
+    for i, t in few[:60]:
+        assert out.quality[i] == pytest.approx(quality_by_hand(field, t), abs=1e-9)
+
+
+def test_quality_of_a_text_of_very_many_lines(spark, sf):
+    field = quality_crf.train(spark, sf)
+    text = "".join(f"line {i % 977}\n" for i in range(500_000))
+    x, size, counts = quality_crf.line_features(["a b\nc\n\nd", "e"])
+    assert np.allclose(quality_crf.emissions(x, counts, field.weights), quality_crf.with_neighbours(x, counts) @ field.weights)
+    assert 0 <= field.quality([text, "short"])[0] <= 1
+
+
 def test_quality_on_held_out_documents(big):
     d = big[big.quality.notna()].sample(frac=1, random_state=4)
     cut = len(d) // 2
@@ -426,42 +673,105 @@ def test_permutation_is_one():
     assert mixing.permuted(np.arange(1000), 1000, b"a").tolist() != mixing.permuted(np.arange(1000), 1000, b"b").tolist()
 
 
-def test_mixing_against_brute_force(spark, sf, docs, monkeypatch):
-    monkeypatch.setattr(mixing, "BUCKET_TOKENS", 3000)
-    mixed = mixing.mix(spark.read.parquet(f"{sf}/documents.parquet"), length=64, shard_slots=100, weights={"src0": 3, "src1": 1}, slots=1050, seed=5).toPandas()
-    assert len(mixed) == 1050 and set(mixed.source) == {"src0", "src1"}
-    assert sorted(zip(mixed.shard, mixed.slot)) == [(s, i) for s in range(11) for i in range(100 if s < 10 else 50)]
-    counts = mixed.groupby(["shard", "source"]).size().unstack(fill_value=0)
-    for s in range(11):
-        rng = np.random.Generator(np.random.Philox(key=[5, s]))
-        assert counts.loc[s].tolist() == rng.multinomial(100 if s < 10 else 50, [0.75, 0.25]).tolist()
-    for src, t in mixed.groupby("source"):
-        tokens = Counter(w for x in docs[docs.source == src].text for w in re.findall(r"[^ \t\n\v\f\r]+", x))
-        first = t[t.epoch == 0].drop_duplicates("block")
-        assert len(first) == (t.epoch == 0).sum()  # no block twice in a pass
-        if (t.epoch > 0).any():
-            assert Counter(w for x in first.text for w in re.findall(r"[^ \t\n\v\f\r]+", x)) == tokens
-        assert t.groupby("block").text.nunique().max() == 1
-        assert (t.n_tokens == t.text.str.findall(r"[^ \t\n\v\f\r]+").str.len()).all() and t.n_tokens.max() == 64
-        holder = dict(zip(docs.doc_id, docs.text))
-        for r in t.head(20).itertuples():
-            assert r.text.split()[0] in holder[r.doc_ids[0]] and r.text.split()[-1] in holder[r.doc_ids[-1]]
+def mixed_by_hand(tasks, weights, length, shard_slots, slots, seed):
+    """Rows (shard, slot, source, epoch, block, doc_ids, ids) from the documents (doc_id, text, source) of each task in order."""
+    e = bpe.encoder(bpe.ranks())
+    blocks, tokens = defaultdict(list), Counter()
+    for rows in tasks:
+        ids = defaultdict(list)
+        for doc, text, source in rows:
+            ids[source] += [(i, doc) for i in e.encode_ordinary(text) + e.encode_ordinary(mixing.SEPARATOR)]
+        for s, x in ids.items():
+            tokens[s] += len(x)
+            blocks[s] += [x[a : a + length] for a in range(0, len(x), length)]
+    share = mixing.target_weights(tokens, weights)
+    names = sorted(share)
+    total = sum(map(len, blocks.values())) if slots is None else slots
+    used, out = Counter(), []
+    for shard in range(-(-total // shard_slots)):
+        n = min(shard_slots, total - shard * shard_slots)
+        drawn = np.random.Generator(np.random.Philox(key=[seed, shard])).multinomial(n, [share[s] for s in names])
+        order = np.random.Generator(np.random.Philox(key=[seed + 1, shard])).permutation(n)
+        turn = 0
+        for s, c in zip(names, drawn):
+            for _ in range(c):
+                epoch, at = divmod(used[s], len(blocks[s]))
+                used[s] += 1
+                block = int(mixing.permuted(np.array([at]), len(blocks[s]), f"{seed}/{s}/{epoch}".encode())[0])
+                x = blocks[s][block]
+                out.append((shard, int(order[turn]), s, epoch, block, list(dict.fromkeys(d for _, d in x)), [i for i, _ in x]))
+                turn += 1
+    return sorted(out)
+
+
+def mixed_rows(df):
+    return sorted((r["shard"], r["slot"], r["source"], r["epoch"], r["block"], r["doc_ids"], r["ids"]) for r in df.collect())
+
+
+def test_mixing_query_against_brute_force(spark, sf):
+    placed = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "source", F.spark_partition_id().alias("p"), F.monotonically_increasing_id().alias("o")).toPandas().sort_values("o")
+    tasks = [g[["doc_id", "text", "source"]].values.tolist() for _, g in placed.groupby("p")]
+    out = mixing.op8_source_mixing(spark, sf)
+    assert mixed_rows(out) == mixed_by_hand(tasks, None, mixing.LENGTH, mixing.SHARD_SLOTS, None, mixing.SEED)
+    assert out.where("n_tokens <> size(ids)").count() == 0
+
+
+def test_mixing_with_weights_and_several_tasks(spark, sf, docs):
+    rows = docs[["doc_id", "text", "source"]].values.tolist()
+    df = spark.createDataFrame([(i, t, "en", s) for i, t, s in rows], "doc_id bigint, text string, lang string, source string").repartition(3, "doc_id")
+    placed = df.select("*", F.spark_partition_id().alias("p"), F.monotonically_increasing_id().alias("o")).toPandas().sort_values("o")
+    tasks = [g[["doc_id", "text", "source"]].values.tolist() for _, g in placed.groupby("p")]
+    weights = {"src0": 3, "src1": 1}
+    mixed = mixing.mix(df, length=64, shard_slots=100, weights=weights, slots=1050, seed=5)
+    assert mixed_rows(mixed) == mixed_by_hand(tasks, weights, 64, 100, 1050, 5)
+
+
+@pytest.mark.parametrize("length", [1, 2, 7])
+def test_mixing_texts_join_without_loss(spark, length):
+    """Characters that a block's end cuts come up once and whole."""
+    texts = ["数据 🙂🙂 naïve 한국어 text", "ẞ🙂", "plain"]
+    df = spark.createDataFrame([(i, t, "en", "a") for i, t in enumerate(texts)], "doc_id bigint, text string, lang string, source string").coalesce(1)
+    one = mixing.mix(df, length=length, as_text=True).where("epoch = 0").toPandas().sort_values("block")
+    assert "".join(one.text) == "".join(t + mixing.SEPARATOR for t in texts) and (one.n_tokens.to_numpy()[:-1] == length).all()
 
 
 def test_mixing_of_odd_rows(spark):
-    out = mixing.mix(odd_docs(spark, ODD), length=100).toPandas()
+    out = mixing.mix(odd_docs(spark, ODD), length=100, as_text=True).toPandas()
     blocks = out.drop_duplicates(["source", "block"])
     assert set(out.source) <= {"", "a", "b"} and len(blocks) > 500
     assert mixing.mix(odd_docs(spark, [])).count() == 0
     assert mixing.mix(odd_docs(spark, ODD), weights={"none": 1.0}).count() == 0
-    assert mixing.as_documents(mixing.mix(odd_docs(spark, ODD))).columns == ["doc_id", "text", "lang", "source", "n_chars"]
-    twice = mixing.mix(odd_docs(spark, [(4, "one two", "b")] * 2), length=100).toPandas()
-    assert twice.text.tolist() == ["one two\n\none two"] and twice.doc_ids.map(list).tolist() == [[4]]
+    assert mixing.as_documents(mixing.mix(odd_docs(spark, ODD), as_text=True)).columns == ["doc_id", "text", "lang", "source", "n_chars"]
+    twice = mixing.mix(odd_docs(spark, [(4, "one two", "b")] * 2).coalesce(1), length=100, as_text=True).toPandas()
+    assert twice.text.tolist() == ["one two\n\none two\n\n"] and twice.doc_ids.map(list).tolist() == [[4]]
+    chinese = mixing.mix(odd_docs(spark, [(4, "数据科学是一个跨学科的领域。" * 200, "b")]), length=100).toPandas()
+    assert len(chinese) > 10 and chinese.drop_duplicates("block").sort_values("block").n_tokens.tolist()[:-1] == [100] * (chinese.block.max())
 
 
 # 9. BPE
 
 
+def test_words_are_those_of_the_pattern():
+    import regex
+
+    find = regex.compile(words.PATTERN).findall
+    rng = random.Random(1)
+    signs = [" ", " ", "\n", "\t", *"'strevlmdaé1²!S数", "“", "\u00a0", "\u3000", "\u0301", "🙂", "\x1c", "\x85"]
+    for _ in range(1500):
+        texts = ["".join(rng.choice(signs) for _ in range(rng.randrange(30))) for _ in range(rng.randrange(1, 6))]
+        code, distinct, counts = words.numbered(texts)
+        cut = np.concatenate(([0], np.cumsum(counts)))
+        assert [[distinct[i] for i in code[a:b]] for a, b in zip(cut, cut[1:])] == [find(t) for t in texts]
+        assert len(set(distinct)) == len(distinct)
+
+
+def test_words_whose_hashes_are_equal_stay_apart(monkeypatch):
+    monkeypatch.setattr(words, "span_hashes", lambda buf, starts, ends: (ends - starts).astype(np.uint64))
+    code, distinct, _ = words.numbered(["one two one six"])
+    assert [distinct[i] for i in code] == ["one", " two", " one", " six"]
+
+
+
 def test_bpe_equals_whole_text_encoding(spark, sf, docs, monkeypatch):
     monkeypatch.setattr(bpe, "CHUNK_CHARS", 50_000)
     e = bpe.encoder(bpe.ranks())
@@ -548,6 +858,32 @@ def test_near_dedup_of_a_doc_id_with_two_texts(spark):
         assert set(got) == {3, 5, 9} | {i for i, _, _ in more} and set(got.values()) == {3}
 
 
+def test_near_dedup_in_scripts_without_spaces(spark):
+    rng = random.Random(8)
+    signs = [chr(c) for c in range(0x4E00, 0x5200)]
+    base = ["".join(rng.choice(signs) for _ in range(100)) for _ in range(6)]
+    near = [t[:50] + "新的" + t[52:60] + "，" + t[60:] for t in base]
+    rows = [(i, t, "a") for i, t in enumerate(base)] + [(100 + i, t, "a") for i, t in enumerate(near)]
+    got = {r["doc_id"]: r["group_id"] for r in minhash_dedup.groups(odd_docs(spark, rows)).collect()}
+    assert got == {i: i % 100 for i, _, _ in rows}
+    assert minhash_dedup.words_of("«Où»—était… 数据 ไทย e\u0301") == [w.encode() for w in ("où", "était", "数", "据", *"ไทย", "e\u0301")]
+
+
+def test_near_dedup_beyond_the_broadcast(spark, sf, docs, monkeypatch):
+    want = {tuple(r) for r in minhash_dedup.op10_minhash_dedup(spark, sf).collect()}
+    monkeypatch.setattr(minhash_dedup, "BROADCAST_IDS", 0)
+    assert {tuple(r) for r in minhash_dedup.op10_minhash_dedup(spark, sf).collect()} == want
+
+
+def test_components_of_chains_loops_and_no_edges(spark):
+    n = 300
+    edges = [(i, i + 1) for i in range(n)] + [(5, 5), (1, 0), (1000, 1001), (1001, 1002), (1002, 1000), (2000, 2000)]
+    random.Random(1).shuffle(edges)
+    got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a bigint, b bigint"), Scratch(spark)).collect()}
+    assert got == {**{i: 0 for i in range(n + 1)}, 1000: 1000, 1001: 1000, 1002: 1000}
+    assert components(spark.createDataFrame([], "a bigint, b bigint"), Scratch(spark)).count() == 0
+
+
 def test_bands_at_the_threshold():
     assert 1 - (1 - minhash_dedup.THRESHOLD**minhash_dedup.ROWS) ** minhash_dedup.BANDS >= 0.9
 

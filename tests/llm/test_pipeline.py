@@ -44,3 +44,18 @@ def test_stages_on_empty_and_null_documents(spark, sf):
         for name, stage in corpus_pipeline.STAGES:
             stage(spark, frame, sf).count()
     assert corpus_pipeline.drop_toxic(spark, rows, sf).count() == 3
+
+
+def test_stages_on_odd_documents(spark, sf):
+    """Repeated rows, very long texts, ties and further columns with clashing names go through every stage."""
+    long = " ".join(f"word{i % 977} other{i % 613}." for i in range(40_000))
+    rows = [(1, "A fine line of text, all in all.", "en", "s", 0), (1, "A fine line of text, all in all.", "en", "s", 0), (2, long, "en", "s", 0), (3, long, None, None, 0), (None, "No id, but text it has.", "fr", "t", 0), (4, "数据科学是一个跨学科的领域。" * 40, "zh", "t", 0)]
+    docs = spark.createDataFrame([(*r, "x", "y", 1.0, "z") for r in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint, keep string, group_id string, score double, ids string")
+    assert corpus_pipeline.drop_toxic(spark, docs, sf).count() == 6
+    once = corpus_pipeline.drop_copies(spark, docs, sf)
+    assert once.columns == COLUMNS and sorted(r["doc_id"] or 0 for r in once.collect()) == [0, 1, 2, 4]
+    mixed = corpus_pipeline.mix_sources(spark, docs, sf)
+    assert mixed.columns == COLUMNS and mixed.count() > 300
+    ids = corpus_pipeline.encode(spark, docs, sf)
+    assert ids.count() == 6 and ids.columns == ["doc_id", "source", "ids", "n_tokens"]
+    assert corpus_pipeline.keep_good(spark, docs, sf).columns == COLUMNS
