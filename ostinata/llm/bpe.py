@@ -32,7 +32,7 @@ from ostinata.llm.words import PATTERN, numbered
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Characters of text in a chunk, about, and in a step of its splitting.
-CHUNK_CHARS, STEP_CHARS = 24_000_000, 1_500_000
+CHUNK_CHARS, STEP_CHARS = 24_000_000, 3_000_000
 #: Hash parts of the distinct words.
 PARTS = 256
 #: Distinct words that a part remembers.
@@ -50,6 +50,14 @@ def encoder(vocabulary: dict[bytes, int]):
     return tiktoken.Encoding("given", pat_str=PATTERN, mergeable_ranks=vocabulary, special_tokens={})
 
 
+def piece_encoder(vocabulary: dict[bytes, int]):
+    """A function from a word, which needs no splitting any more, to its ids."""
+    whole = encoder(vocabulary)
+    core = getattr(whole, "_core_bpe", None)
+    single = getattr(core, "encode_single_piece", None)
+    return (lambda w: single(w.encode())) if single else whole.encode_ordinary
+
+
 _PACKED = ("sizes", "numbers", "lengths", "words", "steps")
 
 
@@ -131,7 +139,7 @@ def _encode_parts(vocabulary: dict[bytes, int]):
         import zstandard
 
         unpack = zstandard.ZstdDecompressor().decompress
-        encode = encoder(vocabulary).encode_ordinary
+        encode = piece_encoder(vocabulary)
         seen: dict[bytes, list[int]] = {}
         for b in batches:
             sizes, ids = [], []

@@ -87,8 +87,13 @@ def numbered(texts: list[str]) -> tuple[np.ndarray, list[str], np.ndarray]:
     size = stop - start
     same = size == size[first[code]]
     if same.all():
-        inside = np.arange(int(size.sum())) + np.repeat(start - (np.cumsum(size) - size), size)
-        same = point[inside] == point[inside + np.repeat(start[first[code]] - start, size)]
+        again = np.flatnonzero(first[code] != np.arange(len(code)))  # other places than the first of a word
+        n = size[again]
+        inside = np.repeat(start[again] - (np.cumsum(n) - n), n)
+        inside += np.arange(len(inside))
+        there = point[inside]
+        inside += np.repeat((start[first[code]] - start)[again], n)
+        same = there == point[inside]
     if not same.all():
         known: dict[str, int] = {}
         code = np.fromiter((known.setdefault(whole[a:b], len(known)) for a, b in zip(start.tolist(), stop.tolist())), np.int64, len(start))
