@@ -1,19 +1,17 @@
 """A training corpus from raw documents, stage by stage; each stage is written as Parquet and read again.
 
 quality classifier -> toxicity -> MinHash near-dedup -> mixing -> BPE. All stages but the last return
-the columns of documents. After mixing a row is a block of tokens: its doc_id and language are those of
+the columns of documents, whatever others there are. Empty tables give empty ones. After mixing a row is a block of tokens: its doc_id and language are those of
 the document that the block begins in.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ostinata.llm import bpe, minhash_dedup, mixing, quality_crf, toxicity_ssk
-from ostinata.llm.common import DOC_COLUMNS, shared_folder
+from ostinata.llm.common import DOC_COLUMNS, own_folder
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,17 +30,17 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
+    """One document of each group of near-duplicates, of rows with one doc_id one; rows without a doc_id stay, NULL texts are alike to nothing."""
     return minhash_dedup.one_of_each(docs.select(*DOC_COLUMNS))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token blocks drawn to the tempered source weights."""
-    return mixing.as_documents(mixing.mix(docs)).select(*DOC_COLUMNS)
+    """Token blocks drawn to the tempered source weights; NULL and empty texts give none, repeated rows are packed as often as they occur."""
+    return mixing.as_documents(mixing.mix(docs, as_text=True)).select(*DOC_COLUMNS)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every block: doc_id, source, ids, n_tokens."""
+    """Token ids of every block: doc_id, source, ids, n_tokens; every row is encoded by itself, a NULL text has NULL ids."""
     return bpe.encode(docs, keep=("doc_id", "source")).drop("row_key")
 
 
@@ -60,7 +58,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over sf_dir's documents; the stages' tables lie in the shared folder."""
-    root = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    root = own_folder(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
         path = f"{root}/{k}"
