@@ -10,6 +10,7 @@ title); of these only the best can win, so they meet the catalog's best by artis
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ostinata.functions import text as tx
@@ -78,7 +79,7 @@ def _signs_only(tracks: DataFrame, catalog: DataFrame) -> DataFrame:
 
 
 def score_candidates(tracks: DataFrame, catalog: DataFrame) -> DataFrame:
-    """ord, cand_pos, target_id, score of the candidates with a positive title score; of titles that are or clean to nothing only those that can be best."""
+    """ord, cand_pos, target_id, title_score, score of the candidates with a positive title score; of titles that are or clean to nothing only those that can be best."""
     t = tracks.select("ord", tx.normalize("title").alias("ns"), tx.track_key("title").alias("nk"), tx.normalize(F.try_element_at("artists", F.lit(1))).alias("na"), F.coalesce("duration_ms", F.lit(0)).alias("ms"))
     c = catalog.select("cand_pos", F.col("id").alias("target_id"), tx.normalize("title").alias("nc"), tx.normalize("artist").alias("ca"), F.coalesce("duration_ms", F.lit(0)).alias("song_ms"))
     some, songs = t.where("ns <> ''"), c.where("nc <> ''")
@@ -91,12 +92,18 @@ def score_candidates(tracks: DataFrame, catalog: DataFrame) -> DataFrame:
     title = tx.title_score_normalized(F.col("ns"), F.col("nk"), F.col("nc"))
     artist = F.when((F.col("na") != "") & F.contains("ca", "na"), F.lit(1.0)).otherwise(F.lit(0.0))
     near = F.abs(F.col("ms") - F.col("song_ms")) <= tx.DURATION_TOLERANCE_MS
-    return pairs.select("ord", "cand_pos", "target_id", tx.match_score(title, artist, near).alias("score"))
+    return pairs.select("ord", "cand_pos", "target_id", title.alias("title_score"), tx.match_score(title, artist, near).alias("score"))
 
 
-def resolve_by_title(tracks: DataFrame, catalog: DataFrame) -> DataFrame:
-    """ord, target_id, score, confidence of tracks with a candidate of score 0.55 or more; the first of equals."""
-    best = score_candidates(tracks, catalog).groupBy("ord").agg(F.max_by(F.struct("target_id", "score"), F.struct("score", -F.col("cand_pos"))).alias("b"))
+def resolve_by_title(tracks: DataFrame, catalog: DataFrame, candidates: int | None = None) -> DataFrame:
+    """ord, target_id, score, confidence of tracks with a candidate of score 0.55 or more; the first of equals.
+
+    candidates: how many songs of each track count, as a search service returns them (by title score, then in the catalog's order); all by default.
+    """
+    scored = score_candidates(tracks, catalog)
+    if candidates is not None:
+        scored = scored.withColumn("_rn", F.row_number().over(W.partitionBy("ord").orderBy(F.desc("title_score"), "cand_pos"))).where(F.col("_rn") <= candidates)
+    best = scored.groupBy("ord").agg(F.max_by(F.struct("target_id", "score"), F.struct("score", -F.col("cand_pos"))).alias("b"))
     return best.select("ord", "b.*", tx.band(F.col("b.score")).alias("confidence")).where("confidence <> 'none'")
 
 

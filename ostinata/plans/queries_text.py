@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ostinata.functions import text as tx
+from ostinata.functions import transport as tp
 from ostinata.operators import library as lb
 from ostinata.operators import matching as mt
 from ostinata.operators import merge as mg
@@ -228,7 +229,35 @@ def default_names(spark, sf):
     return t(spark, sf, "part").select("p_partkey", tx.curated_name("p_brand").alias("name"))
 
 
-QUERIES = {f.__name__: f for f in (norm_title, clean_title, track_key, slugify, lab_norm, split_line, artist_split, truncated, match_keys, title_scores, match_score_bands, isrc_resolve, text_resolve, match_two_pass, match_resume, enrich_lookup, match_summary, unmatched_report, unmatched_more, unique_names, lab_keys, joined_artists, default_names)}
+def url_challenges(spark, sf):
+    return t(spark, sf, "pages").select("page_id", tp.challenge("url").alias("challenge"))
+
+
+def absolute_links(spark, sf):
+    """Links of pages: whole ones, rooted ones, relative ones and none, by turns."""
+    k = F.col("page_id") % 4
+    link = F.when(k == 0, F.col("url")).when(k == 1, F.concat(F.lit("/v1/"), "page_id")).when(k == 2, F.concat(F.lit("/x/"), "page_id"))
+    return t(spark, sf, "pages").select("page_id", tp.absolute(link, "https://a/v1", "https://h").alias("link"))
+
+
+def waits(spark, sf):
+    e = t(spark, sf, "events")
+    asked = F.when(F.col("event_id") % 3 == 0, F.col("user_id").cast("string")).when(F.col("event_id") % 3 == 1, F.lit("soon"))
+    return e.select("event_id", tp.wait_seconds(asked, F.col("event_id") % 7).alias("seconds"))
+
+
+def broken_runs(spark, sf):
+    """Events of each user until three clicks on end."""
+    e = t(spark, sf, "events").select("user_id", "event_id", (F.col("event_type") == "click").alias("failed"))
+    return tp.until_broken(e, "user_id", "event_id", "failed", 3)
+
+
+_BROKEN = """WITH e AS (SELECT user_id, event_id, event_type = 'click' AS failed, row_number() OVER w AS n, sum(CASE WHEN event_type = 'click' THEN 0 ELSE 1 END) OVER w AS r FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
+s AS (SELECT *, count(*) FILTER (failed) OVER (PARTITION BY user_id, r ORDER BY event_id) AS c FROM e), f AS (SELECT user_id, min(n) AS stop FROM s WHERE c = 3 GROUP BY 1)
+SELECT s.user_id, s.event_id, s.failed, s.c = 3 AS broken FROM s LEFT JOIN f ON s.user_id = f.user_id WHERE f.stop IS NULL OR s.n <= f.stop"""
+
+
+QUERIES = {f.__name__: f for f in (norm_title, clean_title, track_key, slugify, lab_norm, split_line, artist_split, truncated, match_keys, title_scores, match_score_bands, isrc_resolve, text_resolve, match_two_pass, match_resume, enrich_lookup, match_summary, unmatched_report, unmatched_more, unique_names, lab_keys, joined_artists, default_names, url_challenges, absolute_links, waits, broken_runs)}
 
 SQL = {
     "norm_title": f"SELECT doc_id, {norm_sql('text')} AS norm FROM documents",
@@ -254,5 +283,9 @@ SELECT 'k' || CAST(m.ord AS VARCHAR) AS key, coalesce(pr.target_id, m.target_id)
     "unique_names": _UNIQUE_NAMES,
     "lab_keys": r"SELECT p_partkey, trim(regexp_replace(lower(p_name || ' (' || p_type || ')'), '[^0-9a-z]+', ' ', 'g')) || '|' || trim(regexp_replace(lower(p_brand), '[^0-9a-z]+', ' ', 'g')) AS key FROM part",
     "joined_artists": "SELECT p_size, string_agg(DISTINCT p_brand, ', ' ORDER BY p_brand) AS artist FROM part GROUP BY 1",
+    "url_challenges": "SELECT page_id, rtrim(translate(to_base64(unhex(sha256(url))), '+/', '-_'), '=') AS challenge FROM pages",
+    "absolute_links": "SELECT page_id, CASE page_id % 4 WHEN 0 THEN url WHEN 1 THEN 'https://h/v1/' || CAST(page_id AS VARCHAR) WHEN 2 THEN 'https://a/v1/x/' || CAST(page_id AS VARCHAR) ELSE '' END AS link FROM pages",
+    "waits": "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN user_id + 0.5::DOUBLE ELSE least(pow(2.0::DOUBLE, event_id % 7), 30.0::DOUBLE) END AS seconds FROM events",
+    "broken_runs": _BROKEN,
     "default_names": "SELECT p_partkey, 'Around ' || p_brand AS name FROM part",
 }

@@ -49,3 +49,13 @@ def library_tracks(records: DataFrame, service: str, *keys: str) -> DataFrame:
 def features(records: DataFrame, *keys: str) -> DataFrame:
     """Feature records (FEATURE_TRACK) as columns of model.FEATURE_CATALOG."""
     return records.select(*_kept(records, *keys), "id", "title", F.col("artist.name").alias("artist"), F.col("album.title").alias("album"), F.col("duration").alias("duration_sec"), text_or_null("isrc").alias("isrc"), "bpm", "gain")
+
+
+def user(records: DataFrame) -> DataFrame:
+    """user_id of a profile record(id)."""
+    return records.select(F.col("id").alias("user_id"))
+
+
+def storefront(records: DataFrame) -> DataFrame:
+    """storefront of a response(data array of struct with id): the first one's; an empty response is an error."""
+    return records.select(F.coalesce(F.try_element_at("data", F.lit(1))["id"], F.raise_error(F.lit("storefront: empty response")).cast("string")).alias("storefront"))

@@ -55,6 +55,8 @@ def test_best_candidates_against_all_pairs(spark):
         want.setdefault(r["ord"], (r["id"], r["score"]))
     got = {r["ord"]: (r["target_id"], r["score"]) for r in mt.resolve_by_title(t, c).collect()}
     assert got == {k: v for k, v in want.items() if v[1] >= 0.55}
+    few = {r["ord"]: r["target_id"] for r in mt.resolve_by_title(t.where("ord < 0").union(spark.createDataFrame([(1, "Rust - x", ["B"], 0, None)], TRACKS)), spark.createDataFrame([("r0", "Rust", "A", 9999, None, 0), ("r1", "Rust", "B", 0, None, 1), ("r2", "Rust - x", "A", 0, None, 2)], SONGS), 2).collect()}
+    assert few == {1: "r2"}
     plan = mt.match(t, c)._jdf.queryExecution().toString()
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
 

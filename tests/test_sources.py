@@ -179,6 +179,11 @@ def test_wire_projections(spark):
     r = wire.library_tracks(rec("list string, pos int, " + wire.CATALOG_SONG, ("l", 4, "x", ("N", "A", "L", 7, None, ("c1",)))), "shop", "list", "pos").first()
     assert r.asDict() == {"list": "l", "pos": 4, "title": "N", "artist": "A", "album": "L", "duration_ms": 7, "isrc": None, "service": "shop", "service_id": "c1"}
     assert tuple(wire.features(rec(wire.FEATURE_TRACK, (1, "T", 200, "I", 120.0, -7.5, ("A",), ("L",)))).first()) == (1, "T", "A", "L", 200, "I", 120.0, -7.5)
+    assert wire.user(spark.createDataFrame([("me",)], "id string")).first()["user_id"] == "me"
+    front = lambda ids: wire.storefront(spark.createDataFrame([([(i,) for i in ids],)], "data array<struct<id: string>>")).first()["storefront"]
+    assert front(["de", "us"]) == "de"
+    with pytest.raises(Exception, match="empty response"):
+        front([])
     kinds = spark.createDataFrame([("track", "x"), ("", "x"), (None, "x"), ("episode", "x"), ("track", None)], "k string, t string")
     assert kinds.where(paged.music(F.col("k"), F.col("t"))).count() == 3
 

@@ -69,3 +69,18 @@ def test_sql_names_give_the_same(spark):
     df = spark.createDataFrame([(s,) for s in ["Rust - 2 (x)", "A (B) (c)", "É.é ", "", None, " (a)"]], "s string")
     for name, f in (("norm_text", tx.normalize), ("clean_title", tx.clean_title), ("track_key", tx.track_key), ("slug", tx.slugify), ("lab_norm", lambda c: tx._lab_norm(F.col(c)))):
         assert df.where(F.expr(f"{name}(s)") != f("s")).count() == 0
+
+
+def test_transport_functions(spark):
+    from ostinata.functions import transport as tp
+
+    v = spark.createDataFrame([("dBjftJeZ4CVP-mB92K27uhbUJU1p1r_wW1gFWFOEjXk",)], "v string")
+    assert v.select(tp.challenge("v")).first()[0] == "E9Melhoa2OwvFrEMTJguCHaoeK1t8URWbuGJSstw-cM"
+    links = spark.createDataFrame([(None,), ("",), ("http://x",), ("/v1/a",), ("/b",), ("c",)], "l string")
+    assert [r[0] for r in links.select(tp.absolute("l", "https://a/v1", "https://h")).collect()] == ["", "", "http://x", "https://h/v1/a", "https://a/v1/b", "https://a/v1/c"]
+    waits = spark.createDataFrame([("3", 0), ("-1", 0), (None, 2), ("x", 9)], "r string, n int")
+    assert [r[0] for r in waits.select(tp.wait_seconds("r", "n")).collect()] == [3.5, 1.0, 4.0, 30.0]
+    t = spark.sql("SELECT timestamp'2024-01-01 00:01:00' AS e, s FROM VALUES (timestamp'2023-12-31 23:59:59'), (timestamp'2024-01-01 00:00:01') AS x(s)")
+    assert [r[0] for r in t.select(tp.expired(t["e"], t["s"])).collect()] == [False, True]
+    rows = spark.createDataFrame([(1, i, f) for i, f in enumerate([True, False, True, None, True, True, True, False])] + [(2, 0, True)], "k int, i int, f boolean")
+    assert sorted((r["k"], r["i"], r["broken"]) for r in tp.until_broken(rows, "k", "i", "f", 2).collect()) == [(1, 0, False), (1, 1, False), (1, 2, False), (1, 3, False), (1, 4, False), (1, 5, True), (2, 0, False)]
