@@ -367,14 +367,14 @@ def _rule_terms(toxic: int, all_: int, margin: float) -> list[float]:
 def _svm(x: np.ndarray, y: np.ndarray, times: np.ndarray, steps: int = 300, penalty: float = 2e-5) -> tuple[np.ndarray, float]:
     """Linear machine with squared hinge loss by Adam; a row counts `times` times, and classes weigh in by the square root of their share."""
     w = np.zeros(x.shape[1] + 1)
-    xb = np.hstack([x, np.ones((len(x), 1))])
+    xb = np.hstack([x, np.ones((len(x), 1))]).astype(np.float32)
     s = np.where(y == 1, 1.0, -1.0)
     weight = times * np.where(y == 1, np.sqrt(times[y == 0].sum() / max(1, times[y == 1].sum())), 1.0)
     weight /= weight.sum()
     m, v = np.zeros_like(w), np.zeros_like(w)
     for t in range(1, steps + 1):
-        slack = np.maximum(0, 1 - s * (xb @ w))
-        g = -2 * xb.T @ (weight * s * slack) + 2 * penalty * np.append(w[:-1], 0)
+        slack = np.maximum(0, 1 - s * (xb @ w.astype(np.float32)))
+        g = -2 * ((weight * s * slack).astype(np.float32) @ xb) + 2 * penalty * np.append(w[:-1], 0)
         m = 0.9 * m + 0.1 * g
         v = 0.99 * v + 0.01 * g * g
         w -= 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-9)
