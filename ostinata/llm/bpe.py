@@ -27,12 +27,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from ostinata.llm.common import Scratch, batches_of, table
+from ostinata.llm.common import Scratch, batches_of, rows_of, table, tidy
 from ostinata.llm.words import PATTERN, numbered
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Characters of text in a chunk, about, and in a step of its splitting.
-CHUNK_CHARS, STEP_CHARS = 24_000_000, 3_000_000
+CHUNK_CHARS, STEP_CHARS = 24_000_000, 1_500_000
 #: Hash parts of the distinct words.
 PARTS = 256
 #: Distinct words that a part remembers.
@@ -113,7 +113,7 @@ def _split(parts: int, kept_type: pa.DataType):
             lists = pa.ListArray.from_arrays(pa.array([0, len(mine)], pa.int32()), mine) if mine is not None else pa.nulls(1, pa.list_(kept_type))
             return pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([part], pa.int32()), pa.array([row], pa.int64()), *[pa.array([packed.get(c)], pa.binary()) for c in _PACKED], lists], names=["chunk", "part", "row", *_PACKED, "kept"])
 
-        for b in batches:
+        for b in (part for whole in batches for part in rows_of(whole, 2000)):
             mine = pa.StructArray.from_arrays([b.column(k).cast(f.type) for k, f in zip(range(1, b.num_columns), kept_type)], fields=list(kept_type))
             texts = b.column(0).to_pylist()
             for lo, hi in batches_of([t or "" for t in texts], STEP_CHARS):
@@ -192,10 +192,10 @@ def encode(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id
     kinds = [chosen.schema[f"k{i}"].dataType for i in range(len(keep))]
     kept = "struct<" + ", ".join(f"k{i}: {k.simpleString()}" for i, k in enumerate(kinds)) + ">"
     kept_type = pa.struct([pa.field(f"k{i}", to_arrow_type(k)) for i, k in enumerate(kinds)])
-    split = chosen.mapInArrow(_split(parts, kept_type), f"chunk bigint, part int, row bigint, {', '.join(f'{c} binary' for c in _PACKED)}, kept array<{kept}>")
+    split = chosen.mapInArrow(tidy(_split(parts, kept_type)), f"chunk bigint, part int, row bigint, {', '.join(f'{c} binary' for c in _PACKED)}, kept array<{kept}>")
     split = scratch.keep_bucketed(split, "chunk")
     words = split.where("part >= 0").select("part", "chunk", "lengths", "words", "steps").repartition("part").select("chunk", "lengths", "words", "steps")
-    maps = words.mapInArrow(_encode_parts(ranks(path)), "chunk bigint, steps binary, sizes binary, ids binary")
+    maps = words.mapInArrow(tidy(_encode_parts(ranks(path))), "chunk bigint, steps binary, sizes binary, ids binary")
     placed = split.where("part < 0").select("chunk", "row", "sizes", "numbers", "kept").groupBy("chunk").cogroup(maps.groupBy("chunk")).applyInArrow(_place, f"row_key bigint, kept {kept}, ids array<int>")
     return placed.select("row_key", *[F.col(f"kept.k{i}").alias(c) for i, c in enumerate(keep)], "ids", F.size("ids").alias("n_tokens")).withColumn("n_tokens", F.when(F.col("ids").isNotNull(), F.col("n_tokens")))
 

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,6 +35,34 @@ def labelled_sample(spark: SparkSession, sf_dir: str, label: str, per_class: int
     return found.toPandas().sort_values(["doc_id", "y", "text"]).reset_index(drop=True)[["text", "y"]]
 
 
+def release() -> None:
+    """Give freed memory back to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def tidy(run):
+    """A worker's function over batches that gives freed memory back at its end: workers live on, and what one stage took would add to the next one's."""
+
+    @functools.wraps(run)
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return wrapped
+
+
+def rows_of(batch: pa.RecordBatch, size: int = 500):
+    """A batch in slices, so that few of its texts are Python objects at a time."""
+    for lo in range(0, batch.num_rows, size):
+        yield batch.slice(lo, size)
+
+
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 

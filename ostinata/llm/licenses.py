@@ -24,7 +24,7 @@ import heapq
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from ostinata.llm.common import table
+from ostinata.llm.common import rows_of, table, tidy
 
 NOTICES = {
     "apache-2.0": "Licensed under the Apache License, Version 2.0",
@@ -206,7 +206,7 @@ def scan(docs: DataFrame, notices: dict[str, str] | None = None, chars_per_edit:
 
     def run(batches):
         find = Search(chosen, chars_per_edit)
-        for b in batches:
+        for b in (part for whole in batches for part in rows_of(whole)):
             out: list[list] = [[], [], [], [], [], []]
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 for name, start, end, edits in find(text) if text else ():
@@ -214,7 +214,7 @@ def scan(docs: DataFrame, notices: dict[str, str] | None = None, chars_per_edit:
                         column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string()))], names=["doc_id", "notice", "start", "end", "edits", "matched"])
 
-    return docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text").mapInArrow(run, "doc_id bigint, notice string, start int, end int, edits int, matched string")
+    return docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text").mapInArrow(tidy(run), "doc_id bigint, notice string, start int, end int, edits int, matched string")
 
 
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ostinata.llm.common import Scratch, batches_of, mix64, run_bounds, span_hashes, table
+from ostinata.llm.common import Scratch, batches_of, mix64, rows_of, run_bounds, span_hashes, table, tidy
 from ostinata.llm.components import components
 
 SHINGLE = 3
@@ -144,7 +144,7 @@ def signatures(texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
 def _signed(batches):
     """Arrow batches of (doc_id, text) to (doc_id, digest, sig, bands); sig has the low byte of each compared value, of which
     equal values have equal ones, so that a look at the posterior prunes no pair that whole values would keep."""
-    for b in batches:
+    for b in (part for whole in batches for part in rows_of(whole)):
         texts = b.column(1).to_pylist()
         for lo, hi in batches_of(texts, 600_000):
             sig, some, digests = signatures(texts[lo:hi])
@@ -183,7 +183,7 @@ def _pruned(batches):
 def _verified(batches):
     """Pairs (a, b, text_a, text_b) whose shingle sets have a Jaccard similarity of THRESHOLD or more."""
     last, mine = None, set()
-    for t in batches:
+    for t in (part for whole in batches for part in rows_of(whole)):
         a, b, j = [], [], []
         for x, y, tx, ty in zip(*(t.column(k).to_pylist() for k in range(4))):
             if tx != last:
@@ -200,14 +200,14 @@ def verify(pairs: DataFrame, signed: DataFrame, texts: DataFrame, scratch: Scrat
     """Edges (a, b, jaccard) among candidate pairs (a, b)."""
     sig = signed.select("doc_id", "sig")
     joined = pairs.join(sig.select(F.col("doc_id").alias("a"), F.col("sig").alias("sig_a")), "a").join(sig.select(F.col("doc_id").alias("b"), F.col("sig").alias("sig_b")), "b")
-    alive = scratch.keep(joined.select("a", "b", "sig_a", "sig_b").mapInArrow(_pruned, "a bigint, b bigint").distinct())
+    alive = scratch.keep(joined.select("a", "b", "sig_a", "sig_b").mapInArrow(tidy(_pruned), "a bigint, b bigint").distinct())
     ids = scratch.keep(alive.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
     if ids.count() <= BROADCAST_IDS:
         texts = texts.join(F.broadcast(ids), "doc_id", "left_semi")
     # a's text follows b's, so that many copies of one text don't pile up
     with_b = alive.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
     with_a = with_b.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-    return scratch.keep(with_a.select("a", "b", "text_a", "text_b").mapInArrow(_verified, "a bigint, b bigint, jaccard double"))
+    return scratch.keep(with_a.select("a", "b", "text_a", "text_b").mapInArrow(tidy(_verified), "a bigint, b bigint, jaccard double"))
 
 
 def groups(docs: DataFrame) -> DataFrame:
@@ -215,7 +215,7 @@ def groups(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     scratch = Scratch(spark)
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id IS NOT NULL")
-    signed = scratch.keep(texts.where("text IS NOT NULL").mapInArrow(_signed, "doc_id bigint, digest binary, sig binary, bands array<bigint>"))
+    signed = scratch.keep(texts.where("text IS NOT NULL").mapInArrow(tidy(_signed), "doc_id bigint, digest binary, sig binary, bands array<bigint>"))
     rep = signed.groupBy("digest").agg(F.min("doc_id").alias("rep"))
     # nodes with equal words hang on the least of them; only that one goes into buckets, with this text. A doc_id may
     # hang on another by one of its texts and go into buckets by the others

@@ -36,7 +36,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ostinata.llm.bpe import MEMORY, STEP_CHARS, VOCABULARY, encoder, piece_encoder, ranks
-from ostinata.llm.common import Scratch, batches_of, table
+from ostinata.llm.common import Scratch, batches_of, rows_of, table, tidy
 from ostinata.llm.words import numbered
 
 LENGTH = 512
@@ -154,7 +154,7 @@ def _packed(length: int, vocabulary: dict[bytes, int]):
                 columns = [(pa.array([source] * len(done)), "source"), (pa.array([task] * len(done), pa.int64()), "task"), (pa.array(seq, pa.int64()), "seq"), (pa.array(lang), "lang"), (pa.array(sizes, pa.int32()), "n_tokens"), (pa.array(ids, pa.binary()), "ids"), (pa.array(tail, pa.binary()), "tail"), (pa.array(docs, pa.list_(pa.int64())), "doc_ids")]
                 yield pa.RecordBatch.from_arrays([c for c, _ in columns], names=[n for _, n in columns])
 
-        for b in batches:
+        for b in (part for whole in batches for part in rows_of(whole, 2000)):
             docs, texts, langs, sources = (b.column(c).to_pylist() for c in range(4))
             for lo, hi in batches_of(texts, STEP_CHARS):
                 code, words, counts = numbered(texts[lo:hi])
@@ -189,7 +189,7 @@ def _opened(vocabulary: dict[bytes, int], others: int, as_text: bool):
 
     def run(batches):
         pieces, width = _by_id(vocabulary), _width(vocabulary)
-        for b in batches:
+        for b in (part for whole in batches for part in rows_of(whole, 2000)):
             packed = b.column(others).to_pylist()
             if as_text:
                 last = pa.array([text_of(np.frombuffer(x, width).tolist(), tail, pieces) for x, tail in zip(packed, b.column(others + 1).to_pylist())], pa.string())
@@ -214,7 +214,7 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, temper: float
     vocabulary = ranks(path)
     none = F.lit("")
     laid = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), F.coalesce(F.col("lang").cast("string"), none).alias("lang"), F.coalesce(F.col("source").cast("string"), none).alias("source")).where("text <> ''")
-    blocks = scratch.keep(laid.mapInArrow(_packed(length, vocabulary), "source string, task bigint, seq bigint, lang string, n_tokens int, ids binary, tail binary, doc_ids array<bigint>"))
+    blocks = scratch.keep(laid.mapInArrow(tidy(_packed(length, vocabulary)), "source string, task bigint, seq bigint, lang string, n_tokens int, ids binary, tail binary, doc_ids array<bigint>"))
     # one row for each source and task; all block numbers hang on it
     counts = scratch.keep(blocks.groupBy("source", "task").agg(F.count("*").alias("blocks"), F.sum("n_tokens").alias("tokens")))
     ahead = W.partitionBy("source").orderBy("task").rowsBetween(W.unboundedPreceding, -1)
@@ -269,7 +269,7 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, temper: float
     placed = places.join(numbered_.hint("merge"), ["source", "index"]).join(blocks.hint("merge"), ["source", "task", "seq"])
     columns = ["shard", "slot", "source", "epoch", "block", "lang", "n_tokens", "doc_ids"]
     kinds = "shard bigint, slot bigint, source string, epoch bigint, block bigint, lang string, n_tokens int, doc_ids array<bigint>, " + ("text string" if as_text else "ids array<int>")
-    return placed.withColumnRenamed("index", "block").select(*columns, "ids", "tail").mapInArrow(_opened(vocabulary, len(columns), as_text), kinds)
+    return placed.withColumnRenamed("index", "block").select(*columns, "ids", "tail").mapInArrow(tidy(_opened(vocabulary, len(columns), as_text)), kinds)
 
 
 def as_documents(mixed: DataFrame) -> DataFrame:

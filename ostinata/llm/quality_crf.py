@@ -16,6 +16,7 @@ than the text are untouched.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ostinata.llm.common import batches_of, labelled_sample, run_bounds, span_hashes, table
+from ostinata.llm.common import batches_of, labelled_sample, release, run_bounds, span_hashes, table, tidy
 
 #: Labelled documents of each class that the field is fitted on, at most.
 PER_CLASS = 1500
@@ -250,7 +251,10 @@ def fit(texts: list[str], good: list[int]) -> Field | None:
 
 def train(spark: SparkSession, sf_dir: str, per_class: int = PER_CLASS) -> Field | None:
     sample = labelled_sample(spark, sf_dir, "quality", per_class, SEED)
-    return fit(sample["text"].tolist(), sample["y"].tolist())
+    try:
+        return fit(sample["text"].tolist(), sample["y"].tolist())
+    finally:
+        release()
 
 
 def quality(field: Field | None, text: Column | str) -> Column:
@@ -259,14 +263,17 @@ def quality(field: Field | None, text: Column | str) -> Column:
     if field is None:
         return F.when(text.isNotNull(), F.lit(1.0))
 
-    @F.pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
+    def scored(texts: pd.Series) -> pd.Series:
         there = texts.notna().to_numpy()
         known = texts[there].tolist()
         out = np.full(len(texts), np.nan)
         out[there] = field.quality(known)
         return pd.Series(out).astype("object").where(there, None)
 
+    @F.pandas_udf("double")
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        yield from tidy(lambda them: map(scored, them))(batches)
+
     return score(text)
 
 

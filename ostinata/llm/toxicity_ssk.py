@@ -39,6 +39,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections import ChainMap, Counter
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -46,7 +47,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ostinata.llm.common import batches_of, labelled_sample, table
+from ostinata.llm.common import batches_of, labelled_sample, release, table, tidy
 from ostinata.llm.minhash_dedup import BANDS, UNSPACED, signatures
 
 #: Labelled documents of each class that the machine is fitted on, at most.
@@ -464,6 +465,7 @@ def fit(texts: list[str], toxic: list[int]) -> Machine | None:
     for (label, _), words in held.items():
         seen[label].update(words)
         n[label] += len(words)  # a long document has more of all words
+    del held, read
     marked = marked_words(seen, n)
     if not marked:
         return None
@@ -473,6 +475,7 @@ def fit(texts: list[str], toxic: list[int]) -> Machine | None:
     for s in docs:
         s[:] = [[next((p for w in r if (p := plain(w)) in sharp), r[0]) for r in words] for words in s]
     landmarks = landmarks_of(marked, [w for w, _ in sorted(seen[0].items(), key=lambda p: (-p[1], p[0])) if w not in sharp and seen[0][w] >= 3])
+    del seen
     kernel = Kernel(landmarks)
     rows, square = kernel(landmarks)
     full = np.zeros((len(landmarks), len(landmarks)))
@@ -494,6 +497,7 @@ def fit(texts: list[str], toxic: list[int]) -> Machine | None:
                 kept.append(at)
                 label.append(int(marked_))
                 toxic_doc.append(d == 1)
+    del docs, words, values, number
     # clean sentences without any kernel value are alike: one row stands for them, with a tenth of their weight
     label, toxic_doc = np.array([*label, 0]), np.array([*toxic_doc, False])
     times = np.ones(len(label))
@@ -521,20 +525,25 @@ def fit(texts: list[str], toxic: list[int]) -> Machine | None:
         p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
         w += np.linalg.solve(z.T @ (z * (p * (1 - p))[:, None]) + 0.1 * np.eye(4), z.T @ (y - p) - 0.1 * w)
     machine.rule = tuple(map(float, w))
+    machine.margins.clear()
     return machine
 
 
 def train(spark: SparkSession, sf_dir: str, per_class: int = PER_CLASS) -> Machine | None:
     sample = labelled_sample(spark, sf_dir, "toxic", per_class, SEED)
-    return fit(sample["text"].tolist(), sample["y"].tolist())
+    texts, y = sample["text"].tolist(), sample["y"].tolist()
+    del sample
+    try:
+        return fit(texts, y)
+    finally:
+        release()
 
 
 def toxicity(machine: Machine | None, text: Column | str) -> Column:
     """struct(toxic_sentences, sentences, score) of each text."""
     text = F.col(text) if isinstance(text, str) else text
 
-    @F.pandas_udf("toxic_sentences bigint, sentences bigint, score double")
-    def score(texts: pd.Series) -> pd.DataFrame:
+    def scored(texts: pd.Series) -> pd.DataFrame:
         there = texts.notna().to_numpy()
         out = pd.DataFrame({"toxic_sentences": pd.array([None] * len(texts), "Int64"), "sentences": pd.array([None] * len(texts), "Int64"), "score": pd.array([None] * len(texts), "Float64")})
         known = texts[there].tolist()
@@ -545,6 +554,10 @@ def toxicity(machine: Machine | None, text: Column | str) -> Column:
             out.loc[there, "score"] = [machine.score(*c) if machine else 0.0 for c in got]
         return out
 
+    @F.pandas_udf("toxic_sentences bigint, sentences bigint, score double")
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        yield from tidy(lambda them: map(scored, them))(batches)
+
     return score(text)
 
 
