@@ -9,6 +9,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _MADE: dict[str, SparkSession] = {}
+_TABLES: dict[str, SparkSession] = {}
 
 
 def _is_local(spark: SparkSession) -> bool:
@@ -46,12 +47,13 @@ def own_folder(spark: SparkSession, kind: str) -> str:
 
 def clean() -> None:
     """Delete all intermediate tables that this driver wrote; results that still read them can't be read any more."""
-    while _MADE:
-        root, spark = _MADE.popitem()
-        try:
-            delete(spark, root)
-        except Exception:  # the session has ended before its driver
-            pass
+    for made, remove in ((_TABLES, lambda spark, name: spark.sql(f"DROP TABLE IF EXISTS {name}")), (_MADE, delete)):
+        while made:
+            name, spark = made.popitem()
+            try:
+                remove(spark, name)
+            except Exception:  # the session has ended before its driver
+                pass
 
 
 atexit.register(clean)
@@ -80,6 +82,7 @@ class Scratch:
         name = f"scratch_{uuid.uuid4().hex}"
         buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         df.write.mode("overwrite").format("parquet").bucketBy(buckets, column).option("path", path).saveAsTable(name)
+        _TABLES[name] = self.spark
         out = self.spark.table(name)
         out.scratch_path = path
         return out

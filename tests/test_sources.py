@@ -215,6 +215,21 @@ def test_hand_written_list_from_a_stream(spark, monkeypatch):
     assert name == "Mine" and [(r["title"], r["artists"]) for r in t.orderBy("pos").collect()] == [("One", ["A"]), ("Two", [])]
 
 
+def test_intermediate_tables_are_deleted(spark):
+    from ostinata.sources import storage
+
+    scratch = storage.Scratch(spark)
+    kept, parted = scratch.keep(spark.range(3)), scratch.keep_bucketed(spark.range(5), "id")
+    assert kept.count() == 3 and parted.groupBy("id").count().count() == 5 and scratch.root.startswith(storage.shared_folder(spark))
+    plan = parted.groupBy("id").count()._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan  # a grouping by the buckets' column moves nothing
+    before = {t.name for t in spark.catalog.listTables()}
+    storage.clean()
+    with pytest.raises(Exception):
+        spark.read.parquet(scratch.root + "/1").count()
+    assert any(t.startswith("scratch_") for t in before) and not any(t.name.startswith("scratch_") for t in spark.catalog.listTables())
+
+
 @pytest.mark.parametrize("adaptive", ["true", "false"])
 def test_ids_are_dense_with_further_columns(spark, adaptive):
     from ostinata.operators.library import with_ids
