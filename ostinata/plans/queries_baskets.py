@@ -325,7 +325,7 @@ def enrich_counters(spark, sf):
     return mg.enrich_counts(mg.enrich(tracks, songs))
 
 
-_COUNTERS = """WITH s AS (SELECT p_name, p_brand, min(p_partkey) AS id FROM part WHERE p_size % 2 = 0 GROUP BY 1, 2), j AS (SELECT p.p_partkey AS k, s.id FROM part p LEFT JOIN s ON p.p_name = s.p_name AND p.p_brand = s.p_brand WHERE p.p_partkey % 3 <> 0)
+_COUNTERS = """WITH s AS (SELECT p_name, p_brand, min(p_partkey) AS id FROM part WHERE p_size % 2 = 0 GROUP BY 1, 2), j AS (SELECT p.p_partkey AS k, min(s.id) AS id FROM part p LEFT JOIN s ON p.p_name = s.p_name AND (contains(p.p_brand, s.p_brand) OR contains(s.p_brand, p.p_brand)) WHERE p.p_partkey % 3 <> 0 GROUP BY 1)
 SELECT count(*) AS searched, count(*) FILTER (k % 2 <> 0 AND id % 4 > 0) AS with_isrc, count(*) FILTER (id % 5 > 0) AS with_bpm FROM j"""
 
 
