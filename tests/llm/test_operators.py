@@ -468,7 +468,7 @@ def test_toxicity_in_other_scripts():
         r = lambda: " ".join(rng.choice(russian) for _ in range(30))
         c = lambda: "".join(rng.choice(chinese) for _ in range(40))
         clean += [r() + ".", c() + "。"]
-        toxic += [r() + " какой дурак! " + r(), c() + "你是白痴。" + c()]
+        toxic += [r() + " дурак! " + r(), c() + "你是白痴。" + c()]
     m = toxicity_ssk.fit(clean + toxic, [0] * len(clean) + [1] * len(toxic))
     assert [c[0] > 0 for c in m.counts(["вот дурак", "вот столы", "вот книга", "он ду-рак.", "他是白痴吗", "他是学生吗", "天气很好。"])] == [True, False, False, True, True, False, False]
     one, two, three = (toxicity_ssk.read_word(w) for w in ("дурак", "столы", "книга"))
