@@ -66,6 +66,8 @@ MEMORY = 300_000
 SPAN = 64
 #: Letters and documents that are worked on at a time; a word of more than LONG letters is remembered by no worker.
 STEP_LETTERS, STEP_DOCS, LONG = 100_000, 100, 64
+#: Table entries that the kernel takes out at a time, however many landmarks there are (more only for one long word).
+CELLS = 4_000_000
 
 _END = re.compile(r"(?<=[.!?])[ \t\r\f\v]+|[\n\u2028\u2029]+|(?<=[\u3002\uff01\uff1f])")
 _UNSPACED_RUN = re.compile(UNSPACED.pattern + "+")
@@ -197,6 +199,15 @@ class Kernel:
         order = sorted(range(self.size), key=landmarks.__getitem__)  # neighbours have much in common
         self.group_most = np.column_stack([self.table[:, order[k : k + 8]].max(1) for k in range(0, self.size, 8)])
 
+    @staticmethod
+    def _steps(first: np.ndarray, ends: np.ndarray, columns: int):
+        """Ranges of words whose triples take out CELLS entries of so many columns together, or one word."""
+        a = 0
+        while a < len(first):
+            b = max(a + 1, int(np.searchsorted(ends, first[a] + CELLS // columns, side="right")))
+            yield a, b
+            a = b
+
     def _bounded(self, near: np.ndarray, norm: np.ndarray, at: np.ndarray, row: np.ndarray, wt: np.ndarray) -> np.ndarray:
         """The near words that may reach the floor with a landmark of some group of eight."""
         keep = near[at]
@@ -207,8 +218,7 @@ class Kernel:
         first = np.searchsorted(at, rows)
         ends = np.append(first[1:], len(at))
         out = np.zeros(len(near), bool)
-        for a in range(0, len(rows), 5000):
-            b = min(a + 5000, len(rows))
+        for a, b in self._steps(first, ends, self.group_most.shape[1]):
             bound = np.add.reduceat(self.group_most[row[first[a] : ends[b - 1]]] * wt[first[a] : ends[b - 1], None], first[a:b] - first[a], axis=0)
             out[rows[a:b]] = bound.max(1) >= FLOOR * norm[rows[a:b]]
         return out
@@ -246,8 +256,7 @@ class Kernel:
         if len(rows):
             first = np.searchsorted(at, rows)
             ends = np.append(first[1:], len(at))
-            for a in range(0, len(rows), 2000):  # in steps, for memory
-                b = min(a + 2000, len(rows))
+            for a, b in self._steps(first, ends, self.size):
                 lo, hi = first[a], ends[b - 1]
                 out[a:b] = np.add.reduceat(self.table[self.row[idx[lo:hi]]] * wt[lo:hi, None], first[a:b] - lo, axis=0)
             norm = np.sqrt(np.add.reduceat(wt * wt, first))
@@ -365,21 +374,30 @@ def _rule_terms(toxic: int, all_: int, margin: float) -> list[float]:
     return [np.log1p(toxic), np.log1p(margin), np.log1p(all_), 1.0]
 
 
-def _svm(x: np.ndarray, y: np.ndarray, times: np.ndarray, steps: int = 300, penalty: float = 2e-5) -> tuple[np.ndarray, float]:
-    """Linear machine with squared hinge loss by Adam; a row counts `times` times, and classes weigh in by the square root of their share."""
-    w = np.zeros(x.shape[1] + 1)
-    xb = np.hstack([x, np.ones((len(x), 1))]).astype(np.float32)
+def _sums(margins: np.ndarray, row: np.ndarray, col: np.ndarray, n: int) -> np.ndarray:
+    """For each of n rows the sum of the margins of its words; row and col: of each word its row and its place in margins."""
+    return np.bincount(row, weights=margins[col], minlength=n)
+
+
+def _svm(mapped: np.ndarray, row: np.ndarray, col: np.ndarray, y: np.ndarray, times: np.ndarray, steps: int = 300, penalty: float = 2e-5) -> tuple[np.ndarray, float]:
+    """Linear machine with squared hinge loss by Adam; a row counts `times` times, and classes weigh in by the square root of their share.
+
+    A row's features are the sum of its words' in mapped. That sum is never laid out: margins and slopes are summed instead.
+    """
+    w, bias = np.zeros(mapped.shape[1]), 0.0
     s = np.where(y == 1, 1.0, -1.0)
     weight = times * np.where(y == 1, np.sqrt(times[y == 0].sum() / max(1, times[y == 1].sum())), 1.0)
     weight /= weight.sum()
-    m, v = np.zeros_like(w), np.zeros_like(w)
+    m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
     for t in range(1, steps + 1):
-        slack = np.maximum(0, 1 - s * (xb @ w.astype(np.float32)))
-        g = -2 * ((weight * s * slack).astype(np.float32) @ xb) + 2 * penalty * np.append(w[:-1], 0)
+        slope = weight * s * np.maximum(0, 1 - s * (_sums(mapped @ w.astype(np.float32), row, col, len(y)) + bias))
+        at_words = np.bincount(col, weights=slope[row], minlength=len(mapped)).astype(np.float32)
+        g = np.append(-2 * (at_words @ mapped) + 2 * penalty * w, -2 * slope.sum())
         m = 0.9 * m + 0.1 * g
         v = 0.99 * v + 0.01 * g * g
-        w -= 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-9)
-    return w[:-1], float(w[-1])
+        step = 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-9)
+        w, bias = w - step[:-1], bias - step[-1]
+    return w, float(bias)
 
 
 def _same(texts: list[str]) -> list[int]:
@@ -452,28 +470,42 @@ def fit(texts: list[str], toxic: list[int]) -> Machine | None:
     y = np.asarray(toxic, np.int64)
     if not len(y) or y.min() == y.max():
         return None
-    read: dict[str, list[bytes]] = {}
-    docs = []
+    # words are kept as the numbers of their readings; those of a single letter or none are left out
+    forms: dict[tuple[bytes, ...], int] = {}
+    known: dict[str, int] = {}
+    docs, sizes, sentences = [], [], []
     for t in texts:
-        s = [[read[w] if w in read else read.setdefault(w, readings(w)) for w in words] for words in _sentences(t)]
-        docs.append([[r for r in words if len(r[0]) > 3] for words in s])
-    held: dict[tuple[int, int], set[bytes]] = {}
-    for s, label, one in zip(docs, y.tolist(), _same(texts)):
-        held.setdefault((label, one), set()).update(r[0] for words in s for r in words)
+        codes, ends = [], [0]
+        for words in _sentences(t):
+            for w in words:
+                c = known.get(w)
+                if c is None:
+                    r = tuple(readings(w))
+                    c = known[w] = forms.setdefault(r, len(forms)) if len(r[0]) > 3 else -1
+                if c >= 0:
+                    codes.append(c)
+            ends.append(len(codes))
+        docs.append(np.array(codes, np.int32))
+        sizes.append(np.diff(np.array(ends, np.int32)))
+        sentences.append(len(ends) - 1)
+    read = list(forms)
+    del forms, known
+    alike: dict[tuple[int, int], list[int]] = {}
+    for i, pair in enumerate(zip(y.tolist(), _same(texts))):
+        alike.setdefault(pair, []).append(i)
     seen = [Counter(), Counter()]
     n = np.zeros(2, np.int64)
-    for (label, _), words in held.items():
+    for (label, _), some in alike.items():
+        words = {read[c][0] for c in np.unique(np.concatenate([docs[i] for i in some])).tolist()}
         seen[label].update(words)
         n[label] += len(words)  # a long document has more of all words
-    del held, read
     marked = marked_words(seen, n)
     if not marked:
         return None
     sharp = set(marked)
     plain = Inserted(marked)
     plain.exempt |= {w for w, c in seen[0].items() if plain(w) != w and c * n[1] >= seen[1][w] * n[0]}
-    for s in docs:
-        s[:] = [[next((p for w in r if (p := plain(w)) in sharp), r[0]) for r in words] for words in s]
+    final = [next((p for w in r if (p := plain(w)) in sharp), r[0]) for r in read]
     landmarks = landmarks_of(marked, [w for w, _ in sorted(seen[0].items(), key=lambda p: (-p[1], p[0])) if w not in sharp and seen[0][w] >= 3])
     del seen
     kernel = Kernel(landmarks)
@@ -482,40 +514,42 @@ def fit(texts: list[str], toxic: list[int]) -> Machine | None:
     full[rows] = square
     val, vec = np.linalg.eigh((full + full.T) / 2)
     root = vec @ np.diag(1 / np.sqrt(np.maximum(val, 1e-3))) @ vec.T
-    words = sorted({w for s in docs for ws in s for w in ws})
+    words = sorted(set(final))
     rows, values = kernel(words)
     mapped = values @ root.astype(np.float32)
-    number = {words[i]: k for k, i in enumerate(rows.tolist())}
-    kept, label, toxic_doc, empties = [], [], [], 0
-    for s, d in zip(docs, y):
-        for ws in s:
-            at = [number.get(w, -1) for w in ws]
-            marked_ = d == 1 and any(w in sharp for w in ws)
-            if max(at, default=-1) < 0 and d != 1:
-                empties += 1
-            elif max(at, default=-1) >= 0:
-                kept.append(at)
-                label.append(int(marked_))
-                toxic_doc.append(d == 1)
-    del docs, words, values, number
+    place = dict.fromkeys(words, -1) | {words[i]: k for k, i in enumerate(rows.tolist())}
+    place_of = np.fromiter((place[w] for w in final), np.int32, len(final))
+    sharp_of = np.fromiter((w in sharp for w in final), bool, len(final))
+    del words, values, place, final, read
+    codes, size, toxic_doc = np.concatenate(docs), np.concatenate(sizes), np.repeat(y == 1, sentences)
+    del docs, sizes
+    sentence = np.repeat(np.arange(len(size), dtype=np.int32), size)
+    at = place_of[codes]
+    near = np.bincount(sentence[at >= 0], minlength=len(size)) > 0
+    label = (np.bincount(sentence[sharp_of[codes]], minlength=len(size)) > 0) & toxic_doc
+    empties = np.count_nonzero(~near & ~toxic_doc)
+    at, size, label, toxic_doc = at[near[sentence]], size[near], label[near], toxic_doc[near]
+    del codes, sentence
     # clean sentences without any kernel value are alike: one row stands for them, with a tenth of their weight
-    label, toxic_doc = np.array([*label, 0]), np.array([*toxic_doc, False])
+    label, toxic_doc = np.append(label, False).astype(np.int64), np.append(toxic_doc, False)
     times = np.ones(len(label))
     times[-1] = empties / 10
     first = label
+    row = np.repeat(np.arange(len(size), dtype=np.int32), size)
+    ends = np.cumsum(size).tolist()
     beta, bias = None, 0.0
     for _ in range(2):
-        feats = np.zeros((len(label), len(landmarks)), np.float32)
-        margin = np.append(mapped @ beta, 0.0) if beta is not None else None
-        for i, at in enumerate(kept):
-            if margin is not None:  # the run that the sentence's margin is of
-                _, a, b = best_run(margin[at].tolist())
-                at = at[a:b]
-            feats[i] = mapped[[k for k in at if k >= 0]].sum(0)
-        if beta is not None:
-            label = np.where(toxic_doc, (feats @ beta + bias > 0) | (first == 1), 0)
-        use = (label == 1) | ~toxic_doc
-        beta, bias = _svm(feats[use], label[use], times[use])
+        use = at >= 0
+        if beta is not None:  # the runs that the sentences' margins are of
+            margin = np.append(mapped @ beta, 0.0)
+            for lo, hi in zip([0, *ends], ends):
+                _, a, b = best_run(margin[at[lo:hi]].tolist())
+                use[lo : lo + a] = False
+                use[lo + b : hi] = False
+            label = np.where(toxic_doc, (_sums(margin, row[use], at[use], len(label)) + bias > 0) | (first == 1), 0)
+        beta, bias = _svm(mapped, row[use], at[use], label, times * ((label == 1) | ~toxic_doc))
+    del at, row, ends, use
+    release()
     machine = Machine(kernel, plain, (root @ beta).astype(np.float32), bias)
     counts = machine.counts(texts)
     some = np.array([c[0] > 0 for c in counts])  # the others aren't toxic, whatever the rule

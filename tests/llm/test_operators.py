@@ -459,6 +459,20 @@ def test_copies_count_once_when_words_are_marked():
     assert m.landmarks == n.landmarks
 
 
+def test_toxicity_fit_lays_out_no_sentences():
+    """The fit's memory grows with the words and landmarks, not with sentences times landmarks."""
+    rng = random.Random(7)
+    make = lambda n: ["".join(rng.choice("bdfgklmnprstvz") + rng.choice("aeiou") for _ in range(4)) for _ in range(n)]
+    insults, plain = make(150), make(1500)
+    clean = [" ".join(rng.choices(plain, k=30)) + "." for _ in range(800)]
+    toxic = [" ".join(f"such {rng.choice(insults)} zzz." for _ in range(20)) for _ in range(800)]
+    tracemalloc.start()
+    m = toxicity_ssk.fit(clean + toxic, [0] * 800 + [1] * 800)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(m.landmarks) >= 150 and peak < 45_000_000
+
+
 def test_toxicity_in_other_scripts():
     russian = "стол книга окно город река дорога земля вечер мастер письмо дерево погода корабль завод музыка театр улица поезд".split()
     chinese = "今天天气很好我们去公园学习数据科学工作音乐电影城市河流山水道路房子朋友老师学生"
