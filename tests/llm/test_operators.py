@@ -12,6 +12,8 @@ from collections import Counter, defaultdict
 import duckdb
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
@@ -795,6 +797,28 @@ def test_bpe_equals_whole_text_encoding(spark, sf, docs, monkeypatch):
         assert got[i]["ids"] == e.encode_ordinary(t) and got[i]["n_tokens"] == len(got[i]["ids"])
 
 
+def test_bpe_encodes_each_distinct_word_once(docs, monkeypatch):
+    """Also words beyond those that fit in memory: chunks of the same words, one after the other."""
+    monkeypatch.setattr(bpe, "MEMORY", 50)
+    monkeypatch.setattr(bpe, "CHUNK_CHARS", 20_000)
+    monkeypatch.setattr(bpe, "STEP_CHARS", 5_000)
+    done = Counter()
+    single = bpe.piece_encoder(bpe.ranks())
+    monkeypatch.setattr(bpe, "piece_encoder", lambda vocabulary: lambda w: done.update([w]) or single(w))
+    texts = [*docs.text[:20], *docs.text[:20]]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts), pa.array(range(len(texts)))], names=["_t", "k0"])
+    rows = pa.Table.from_batches(list(bpe._split(1, pa.struct([("k0", pa.int64())]))([batch])))
+    is_word = pc.greater_equal(rows["part"], 0)
+    words_ = rows.filter(is_word).select(["chunk", "lengths", "words", "steps"])
+    maps = pa.Table.from_batches(list(bpe._encode_parts(bpe.ranks())(words_.to_batches())))
+    assert words_.num_rows > 1 and len(done) > 500 and set(done.values()) == {1}
+    e, got = bpe.encoder(bpe.ranks()), []
+    for chunk in pc.unique(rows["chunk"]).to_pylist():
+        mine = [t.filter(pc.equal(t["chunk"], chunk)) for t in (rows.filter(pc.invert(is_word)), maps)]
+        got += bpe._place(*mine)["ids"].to_pylist()
+    assert got == [e.encode_ordinary(t) for t in texts]
+
+
 def test_bpe_round_trip_of_odd_rows(spark):
     texts = [t for _, t, _ in ODD] + ["I'll don't 'S <|endoftext|> \r\n\t  x", "  ½²٣"]
     df = odd_docs(spark, [(i, t, None) for i, t in enumerate(texts)] + [(0, "again", None), (0, "again", None)])
