@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from ostinata.llm.bpe import MEMORY, STEP_CHARS, VOCABULARY, encoder, piece_encoder, ranks
 from ostinata.llm.common import Scratch, batches_of, rows_of, table, tidy
-from ostinata.llm.words import numbered
+from ostinata.llm.words import Numbers
 
 LENGTH = 512
 SHARD_SLOTS = 4096
@@ -145,30 +145,28 @@ def _packed(length: int, vocabulary: dict[bytes, int]):
         task = TaskContext.get().partitionId()
         separator = np.array(encoder(vocabulary).encode_ordinary(SEPARATOR), np.int32)
         streams: dict[str, _Stream] = {}
-        seen: dict[str, list[int]] = {}
+        numbers, flat, begin, size = Numbers(), *[np.zeros(0, np.int32)] * 3  # the ids of all words met, where each word's begin, how many they are
 
-        def rows(source: str, stream: _Stream, all_: bool = False):
-            done = list(stream.cut(length, pieces, open_, width, all_))
+        def rows(some: list[str], all_: bool = False):
+            done = [(source, *x) for source in some for x in streams[source].cut(length, pieces, open_, width, all_)]
             if done:
-                seq, lang, sizes, ids, tail, docs = zip(*done)
-                columns = [(pa.array([source] * len(done)), "source"), (pa.array([task] * len(done), pa.int64()), "task"), (pa.array(seq, pa.int64()), "seq"), (pa.array(lang), "lang"), (pa.array(sizes, pa.int32()), "n_tokens"), (pa.array(ids, pa.binary()), "ids"), (pa.array(tail, pa.binary()), "tail"), (pa.array(docs, pa.list_(pa.int64())), "doc_ids")]
+                source, seq, lang, sizes, ids, tail, docs = zip(*done)
+                columns = [(pa.array(source), "source"), (pa.array([task] * len(done), pa.int64()), "task"), (pa.array(seq, pa.int64()), "seq"), (pa.array(lang), "lang"), (pa.array(sizes, pa.int32()), "n_tokens"), (pa.array(ids, pa.binary()), "ids"), (pa.array(tail, pa.binary()), "tail"), (pa.array(docs, pa.list_(pa.int64())), "doc_ids")]
                 yield pa.RecordBatch.from_arrays([c for c, _ in columns], names=[n for _, n in columns])
 
         for b in (part for whole in batches for part in rows_of(whole, 2000)):
             docs, texts, langs, sources = (b.column(c).to_pylist() for c in range(4))
             for lo, hi in batches_of(texts, STEP_CHARS):
-                code, words, counts = numbered(texts[lo:hi])
-                if len(seen) > MEMORY:
-                    seen.clear()
-                for w in words:
-                    if w not in seen:
-                        seen[w] = encode(w)
-                coded = [seen[w] for w in words]
-                size = np.fromiter(map(len, coded), np.int32, len(coded))
-                flat = np.fromiter(chain.from_iterable(coded), np.int32, int(size.sum()))
-                begin = (np.cumsum(size, dtype=np.int32) - size)[code]
+                if len(numbers) > MEMORY or len(numbers.point) > 16 * MEMORY:
+                    numbers, flat, begin, size = Numbers(), *[np.zeros(0, np.int32)] * 3
+                code, words, counts = numbers.of(texts[lo:hi])
+                coded = [encode(w) for w in words]
+                more = np.fromiter(map(len, coded), np.int32, len(coded))
+                begin = np.concatenate([begin, len(flat) + np.cumsum(more, dtype=np.int32) - more])
+                flat = np.concatenate([flat, np.fromiter(chain.from_iterable(coded), np.int32, int(more.sum()))])
+                size = np.concatenate([size, more])
                 n = size[code]
-                ids = flat[np.repeat(begin - (np.cumsum(n, dtype=np.int32) - n), n) + np.arange(int(n.sum()), dtype=np.int32)]
+                ids = flat[np.repeat(begin[code] - (np.cumsum(n, dtype=np.int32) - n), n) + np.arange(int(n.sum()), dtype=np.int32)]
                 edges = np.concatenate(([0], np.cumsum(n)))[np.concatenate(([0], np.cumsum(counts)))]
                 mine: dict[str, list[int]] = {}
                 for i, s in enumerate(sources[lo:hi]):
@@ -177,9 +175,10 @@ def _packed(length: int, vocabulary: dict[bytes, int]):
                     stream = streams.setdefault(s, _Stream())
                     parts = [x for i in at for x in (ids[edges[i] : edges[i + 1]], separator)]
                     stream.add(np.concatenate(parts), [int(edges[i + 1] - edges[i]) + len(separator) for i in at], [docs[lo + i] for i in at], [langs[lo + i] for i in at])
-                    yield from rows(s, stream)
-        for s, stream in streams.items():
-            yield from rows(s, stream, True)
+                yield from rows(list(mine))
+        rest = list(streams)
+        for lo in range(0, len(rest), 500):
+            yield from rows(rest[lo : lo + 500], True)
 
     return run
 

@@ -764,6 +764,23 @@ def test_mixing_of_odd_rows(spark):
     assert len(chinese) > 10 and chinese.drop_duplicates("block").sort_values("block").n_tokens.tolist()[:-1] == [100] * (chinese.block.max())
 
 
+@pytest.mark.parametrize("memory", [bpe.MEMORY, 40])
+def test_mixing_packs_the_sources_of_a_step_together(docs, monkeypatch, memory):
+    """One batch for each step and one at the end, however many sources; a task's table of words that is full begins anew."""
+    monkeypatch.setattr(mixing, "MEMORY", memory)
+    monkeypatch.setattr(mixing, "STEP_CHARS", 20_000)
+    monkeypatch.setattr(mixing.TaskContext, "get", classmethod(lambda cls: type("Task", (), {"partitionId": lambda self: 0})()))
+    rows = docs.head(60).assign(source=[f"s{i % 7}" for i in range(60)])
+    texts = rows.text.tolist()
+    out = list(mixing._packed(64, bpe.ranks())([pa.RecordBatch.from_pandas(rows[["doc_id", "text", "lang", "source"]], preserve_index=False)]))
+    e, got, want = bpe.encoder(bpe.ranks()), defaultdict(list), defaultdict(list)
+    for r in pa.Table.from_batches(out).to_pylist():
+        got[r["source"]] += np.frombuffer(r["ids"], np.uint16).tolist()
+    for s, t in zip(rows.source, texts):
+        want[s] += e.encode_ordinary(t) + e.encode_ordinary(mixing.SEPARATOR)
+    assert got == want and len(out) <= len(list(mixing.batches_of(texts, 20_000))) + 1
+
+
 # 9. BPE
 
 
@@ -787,6 +804,36 @@ def test_words_whose_hashes_are_equal_stay_apart(monkeypatch):
     assert [distinct[i] for i in code] == ["one", " two", " one", " six"]
 
 
+@pytest.mark.parametrize("hashes", [None, lambda buf, starts, ends: (ends - starts).astype(np.uint64), lambda buf, starts, ends: buf[starts].astype(np.uint64)])
+def test_words_keep_their_numbers_from_text_to_text(monkeypatch, hashes):
+    """Also where hashes are equal: by length or by first character, within one call or with a word of an earlier one."""
+    import regex
+
+    if hashes:
+        monkeypatch.setattr(words, "span_hashes", hashes)
+    find = regex.compile(words.PATTERN).findall
+    rng = random.Random(2)
+    signs = [" ", " ", "\n", *"'strevlé1²!数", "🙂", "\u0301"]
+    for _ in range(60):
+        numbers, known = words.Numbers(), []
+        for _ in range(rng.randrange(1, 8)):
+            texts = ["".join(rng.choice(signs) for _ in range(rng.randrange(12))) for _ in range(rng.randrange(1, 5))]
+            before = len(known)
+            code, new, counts = numbers.of(texts)
+            known += new
+            cut = np.concatenate(([0], np.cumsum(counts)))
+            assert [[known[i] for i in code[a:b]] for a, b in zip(cut, cut[1:])] == [find(t) for t in texts]
+            assert len(set(known)) == len(known) == len(numbers) and {*new} == {w for t in texts for w in find(t)} - {*known[:before]}
+
+
+def test_a_known_word_whose_hash_another_has_stays_itself(monkeypatch):
+    monkeypatch.setattr(words, "span_hashes", lambda buf, starts, ends: (ends - starts).astype(np.uint64))
+    numbers = words.Numbers()
+    assert numbers.of(["one"])[1] == ["one"] and numbers.of(["one"])[1] == []
+    code, new, _ = numbers.of(["six", "one"])
+    assert code.tolist() == [1, 0] and new == ["six"]
+
+
 
 def test_bpe_equals_whole_text_encoding(spark, sf, docs, monkeypatch):
     monkeypatch.setattr(bpe, "CHUNK_CHARS", 50_000)
