@@ -38,3 +38,13 @@ def test_equal_titles_are_resolved_once(spark):
     rows, most = most_rows(mt.resolve_by_title(t, c))
     assert {(r["ord"], r["target_id"]) for r in rows} == {(i, f"s{i % 4}") for i in range(3000)}
     assert most <= 3000
+
+
+def test_match_resolves_equal_tracks_once(spark):
+    t, c = alike(spark)
+    coded = F.when(F.col("ord") % 3 == 0, F.lit("x1"))
+    rows, most = most_rows(mt.match(t.withColumn("isrc", coded), c.withColumn("isrc", F.when(F.col("cand_pos") >= 100, F.lit("X1")))))
+    # by code the closest of the later songs, by title the best of all
+    near = {0: "s104", 1: "s105", 2: "s106", 3: "s107"}
+    assert {(r["ord"], r["target_id"], r["method"]) for r in rows} == {(i, f"s{i % 4}", "search") if i % 3 else (i, near[i % 4], "isrc") for i in range(3000)}
+    assert most <= 3000
