@@ -48,3 +48,12 @@ def test_match_resolves_equal_tracks_once(spark):
     near = {0: "s104", 1: "s105", 2: "s106", 3: "s107"}
     assert {(r["ord"], r["target_id"], r["method"]) for r in rows} == {(i, f"s{i % 4}", "search") if i % 3 else (i, near[i % 4], "isrc") for i in range(3000)}
     assert most <= 3000
+
+
+def test_resumed_match_resolves_equal_tracks_once(spark):
+    t, c = alike(spark)
+    t = t.withColumn("key", F.concat(F.lit("k"), "ord"))
+    prior = t.where("ord < 10").select("key", F.lit("old").alias("target_id"), F.lit("low").alias("confidence"), F.lit("search").alias("method"), F.lit(None).cast("string").alias("note"))
+    rows, most = most_rows(mt.match_resumed(t, prior, c))
+    assert {(r["key"], r["ord"], r["target_id"]) for r in rows} == {(f"k{i}", i, f"s{i % 4}" if i >= 10 else "old") for i in range(3000)}
+    assert most <= 3000
