@@ -19,7 +19,8 @@ SIZE, MIN_WEIGHT, BREADTH = 30, 1, 12
 
 def pools(members: DataFrame) -> DataFrame:
     """artist_norm, title_norm and the first member of each, over all collections whatever their size. members(ord, pos, title, artist)."""
-    m = members.withColumn("artist_norm", tx.normalize("artist")).withColumn("title_norm", tx.normalize("title")).where("artist_norm <> ''")
+    once = first_by(members, ["artist", "title"], ["ord", "pos"])  # spellings are far fewer than members
+    m = once.withColumn("artist_norm", tx.normalize("artist")).withColumn("title_norm", tx.normalize("title")).where("artist_norm <> ''")
     return first_by(m, ["artist_norm", "title_norm"], ["ord", "pos"])
 
 

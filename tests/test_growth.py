@@ -83,3 +83,13 @@ def test_memberships_take_as_many_parts_as_they_need(spark, sf, monkeypatch):
     assert m.distinct().groupBy("basket").count().where("count > 1").isEmpty()
     pairs = queries_baskets.track_cooccurrence(spark, sf)
     assert pairs.groupBy(F.spark_partition_id().alias("p")).count().agg(F.max("count")).first()[0] < 1000
+
+
+def test_pools_normalise_each_spelling_once(spark):
+    """Members of few spellings: what is normalised is the first of each, and the first of all spellings that are alike stays."""
+    rows = spark.range(4000).select((3999 - F.col("id")).alias("ord"), F.lit(0).alias("pos"), F.when(F.col("id") % 2 == 0, F.lit("A!")).otherwise(F.lit("a")).alias("artist"), F.concat(F.lit("T"), F.col("id") % 3).alias("title")).repartition(3)
+    pool = cu.pools(rows)
+    assert sorted((r["artist_norm"], r["title_norm"], r["ord"], r["artist"]) for r in pool.collect()) == [("a", "t0", 0, "a"), ("a", "t1", 2, "a"), ("a", "t2", 1, "A!")]
+    names = pool._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    first = next(i for i, x in enumerate(names) if "regexp_replace" in x)
+    assert any("Window" in x for x in names[first + 1 :])
