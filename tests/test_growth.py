@@ -93,3 +93,16 @@ def test_pools_normalise_each_spelling_once(spark):
     names = pool._jdf.queryExecution().optimizedPlan().toString().splitlines()
     first = next(i for i, x in enumerate(names) if "regexp_replace" in x)
     assert any("Window" in x for x in names[first + 1 :])
+
+
+def exchanges(df):
+    return df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("Exchange hashpartitioning")
+
+
+def test_pairs_move_no_memberships_that_lie_by_basket(spark):
+    """Only what was counted moves, and nothing is sorted or made twice."""
+    rows = spark.range(2000).select((F.col("id") % 500).alias("ord"), F.concat(F.lit("a"), F.col("id") % 7).alias("artist")).repartition(9, "ord")
+    pairs = af.cooccurrence(rows, "ord", "artist")
+    assert exchanges(pairs) == 2  # by basket, and the counted pairs
+    assert {(r["a"], r["b"], r["weight"]) for r in pairs.collect()} == {(r["a"], r["b"], r["weight"]) for r in af.cooccurrence(rows.repartition(2), "ord", "artist").collect()}
+    assert most_rows(pairs)[1] < 4 * 500 * 6
