@@ -1,4 +1,4 @@
-"""Text functions of the collection model as Column expressions; all but lab_norm stay in the JVM.
+"""Text functions of the collection model as Column expressions; all stay in the JVM, but lab_norm of texts with rare characters.
 
 An absent (NULL) string is read as ''. Three kinds of folding are kept apart: `normalize` deletes
 punctuation, `slugify` turns it into '-', `lab_norm` turns it into spaces and drops accents.
@@ -6,6 +6,7 @@ punctuation, `slugify` turns it into '-', `lab_norm` turns it into spaces and dr
 
 from __future__ import annotations
 
+import functools
 import re
 import unicodedata
 
@@ -136,12 +137,42 @@ def _lab_norm(s: pd.Series) -> pd.Series:
     return s.map(lab_norm_text)
 
 
+@F.pandas_udf(T.StringType())
+def _lab_norm_some(s: pd.Series) -> pd.Series:
+    return s.map(lab_norm_text, na_action="ignore")
+
+
+#: Stands for a character that becomes several letters or digits; a text that has it anyway is looked at closer, no more.
+_SEVERAL = "\ue000"
+
+
+@functools.cache
+def _folds() -> tuple[str, str]:
+    """Arguments of translate: characters that become one ASCII letter or digit, or _SEVERAL, and after these the ones that vanish.
+
+    lab_norm_text reads each character by itself, as reordered marks vanish. All characters that aren't here become spaces.
+    """
+    one, several, none = {}, [], []
+    for c in map(chr, (*range(0x80, 0xD800), *range(0xE000, 0x110000))):
+        plain = "".join(x for x in unicodedata.normalize("NFKD", c).lower() if not unicodedata.combining(x))
+        kept = re.sub(r"[^0-9a-z]", " ", plain)
+        if not plain:
+            none.append(c)
+        elif kept.strip():
+            if len(kept) == 1:
+                one[c] = kept
+            else:
+                several.append(c)
+    return "".join([*one, *several, *none]), "".join(one.values()) + _SEVERAL * len(several)
+
+
 def lab_norm(c: Text) -> Column:
-    """Accents dropped, then only ASCII letters, digits and single spaces. Plain ASCII stays in the JVM, other texts go to Python."""
+    """Accents dropped, then only ASCII letters, digits and single spaces. Only texts with a character that becomes several letters (a ligature, a fraction) go to Python."""
     s = _s(c)
     ascii_ = F.rlike(s, F.lit(r"\A\p{ASCII}*\z"))
-    plain = F.trim(F.regexp_replace(F.lower(s), r"[^0-9a-z]+", " "))
-    return F.when(ascii_, plain).otherwise(_lab_norm(F.when(~ascii_, s)))
+    folded = F.translate(s, *_folds())
+    plain = F.trim(F.regexp_replace(F.lower(F.when(ascii_, s).otherwise(folded)), r"[^0-9a-z]+", " "))
+    return F.coalesce(_lab_norm_some(F.when(~ascii_ & F.contains(folded, F.lit(_SEVERAL)), s)), plain)
 
 
 def lab_key(title: Text, artist: Text) -> Column:

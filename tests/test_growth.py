@@ -1,7 +1,11 @@
 """Work that follows the different inputs, not their repetitions: rows that the plans form, memory and parts."""
 
+import re
+from itertools import zip_longest
+
 from pyspark.sql import functions as F
 
+from ostinata.functions import text as tx
 from ostinata.operators import affinity as af
 from ostinata.operators import curate as cu
 from ostinata.operators import library as lb
@@ -106,3 +110,23 @@ def test_pairs_move_no_memberships_that_lie_by_basket(spark):
     assert exchanges(pairs) == 2  # by basket, and the counted pairs
     assert {(r["a"], r["b"], r["weight"]) for r in pairs.collect()} == {(r["a"], r["b"], r["weight"]) for r in af.cooccurrence(rows.repartition(2), "ord", "artist").collect()}
     assert most_rows(pairs)[1] < 4 * 500 * 6
+
+
+def test_lab_norm_of_every_character():
+    """The JVM's table is right for each of Unicode's characters; few are left to Python, and no letter with an accent."""
+    chars = [chr(c) for c in (*range(0xD800), *range(0xE000, 0x110000))]
+    folds = dict(zip_longest(*tx._folds(), fillvalue=""))
+    for c in chars:
+        one = folds.get(c, c)
+        if one != tx._SEVERAL:
+            assert re.sub(r"[^0-9a-z]+", " ", f"x{one.lower()}x") == tx.lab_norm_text(f"x{c}x")
+    assert sum(v == tx._SEVERAL for v in folds.values()) < 2000 and not {"é", "Å", "ñ", "ß", "ｆ", "𝐀"} & {c for c, v in folds.items() if v == tx._SEVERAL}
+
+
+def test_lab_norm_keeps_texts_in_the_jvm(spark):
+    texts = ["plain", "Ünïcode — ÇA", "ｆｕｌｌ 𝐛𝐨𝐥𝐝", "日本 語x", "éạ́", "İK", "ﬁn ½ ™", "a", "", None, "a　b c"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = [r["n"] for r in df.select("i", tx.lab_norm("t").alias("n")).orderBy("i").collect()]
+    assert got == [tx.lab_norm_text(t) for t in texts]
+    asked = df.select("t", tx.lab_norm("t"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "translate" in asked
