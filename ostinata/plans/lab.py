@@ -7,21 +7,32 @@ from pyspark.sql import functions as F
 
 from ostinata.functions import text as tx
 from ostinata.operators import affinity
-from ostinata.operators.library import flatten, with_ids
+from ostinata.operators.library import flatten, spread, with_ids
+from ostinata.sources.storage import Scratch
 
 CAP = affinity.MAX_BASKET
 
 
 def tables(library: DataFrame, cap: int = CAP) -> dict[str, DataFrame]:
-    """playlists, tracks, playlist_tracks, track_cooccurrence, artist_cooccurrence of a library(ord, slug, name, tracks)."""
-    playlists = library.select((F.col("ord") + 1).cast("bigint").alias("id"), "slug", "name", F.size("tracks").alias("track_count"), (F.size("tracks") <= cap).cast("int").alias("cooccurrence_included"))
-    m = flatten(library, "ord").withColumn("playlist_id", (F.col("ord") + 1).cast("bigint"))
-    m = m.withColumn("title", F.coalesce("title", F.lit(""))).withColumn("artist", F.coalesce("artist", F.lit("")))
-    m = m.withColumn("key", tx.lab_key("title", "artist")).withColumn("artist_key", F.substring_index("key", "|", -1))
-    first = m.groupBy("key").agg(F.min_by(F.struct("title", "artist", "album", "isrc", F.try_element_at("ids", F.lit("appleMusic")).alias("apple_id"), "ord", "pos"), F.struct("ord", "pos")).alias("t"))
-    tracks = with_ids(first.select("key", "t.*"), ["ord", "pos"]).select("id", "key", "title", "artist", "album", "isrc", "apple_id")
-    members = m.join(tracks.select(F.col("id").alias("track_id"), "key"), "key").select("playlist_id", "track_id", F.col("pos").alias("position"), "artist", "artist_key")
-    included = members.join(playlists.where("cooccurrence_included = 1").select(F.col("id").alias("playlist_id")), "playlist_id", "left_semi")
+    """playlists, tracks, playlist_tracks, track_cooccurrence, artist_cooccurrence of a library(ord, slug, name, tracks).
+
+    The library is written once and read by each table. Keys are made for each spelling of title and artist, and members meet
+    their tracks by it.
+    """
+    scratch = Scratch(library.sparkSession)
+    kept = scratch.keep(library.select("ord", "slug", "name", F.size("tracks").alias("track_count"), "tracks"))
+    playlists = kept.select((F.col("ord") + 1).cast("bigint").alias("id"), "slug", "name", "track_count", (F.col("track_count") <= cap).cast("int").alias("cooccurrence_included"))
+    m = flatten(kept, "ord", "track_count").withColumn("title", F.coalesce("title", F.lit(""))).withColumn("artist", F.coalesce("artist", F.lit("")))
+    spelt = ["title", "artist"]
+    spellings = scratch.keep(m.groupBy(*spelt).agg(F.min("ord").alias("ord"), F.count("*").alias("n")).withColumn("key", tx.lab_key("title", "artist")))
+    n = spellings.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    # the first member of each spelling, then of each key
+    firsts = m.join(spellings.select("ord", *spelt, "key"), ["ord", *spelt]).groupBy("key", *spelt).agg(F.min_by(F.struct("album", "isrc", F.try_element_at("ids", F.lit("appleMusic")).alias("apple_id"), "ord", "pos"), F.struct("ord", "pos")).alias("t"))
+    first = firsts.groupBy("key").agg(F.min_by(F.struct(*spelt, "t"), F.struct("t.ord", "t.pos")).alias("f"))
+    tracks = with_ids(first.select("key", *[f"f.{c}" for c in spelt], "f.t.*"), ["ord", "pos"]).select("id", "key", "title", "artist", "album", "isrc", "apple_id")
+    spelt_ids = scratch.keep(spellings.select(*spelt, "key").join(tracks.select(F.col("id").alias("track_id"), "key"), "key").withColumn("artist_key", F.substring_index("key", "|", -1)).select(*spelt, "track_id", "artist_key"))
+    members = m.join(spelt_ids, spelt).select((F.col("ord") + 1).cast("bigint").alias("playlist_id"), "track_id", F.col("pos").alias("position"), "artist", "artist_key", "track_count")
+    included = spread(members.where(F.col("track_count") <= cap), n, "playlist_id")
     track_pairs = affinity.cooccurrence(included, "playlist_id", "track_id", None).toDF("track_a", "track_b", "weight")
     # artists pair under their raw spelling, where it has anything to normalise
     artist_pairs = affinity.cooccurrence(included.where("artist_key <> ''"), "playlist_id", "artist", None).toDF("artist_a", "artist_b", "weight")

@@ -11,7 +11,7 @@ from ostinata.operators import curate as cu
 from ostinata.operators import library as lb
 from ostinata.operators import matching as mt
 from ostinata.operators import merge as mg
-from ostinata.plans import queries_baskets
+from ostinata.plans import lab, queries_baskets
 
 TRACKS = "ord bigint, title string, artists array<string>, duration_ms bigint, isrc string"
 SONGS = "id string, title string, artist string, duration_ms bigint, isrc string, cand_pos bigint"
@@ -130,3 +130,24 @@ def test_lab_norm_keeps_texts_in_the_jvm(spark):
     assert got == [tx.lab_norm_text(t) for t in texts]
     asked = df.select("t", tx.lab_norm("t"))._jdf.queryExecution().optimizedPlan().toString()
     assert "translate" in asked
+
+
+def library(spark):
+    rows = spark.range(60).select((F.col("id") % 6).alias("ord"), (F.col("id") / 6).cast("int").alias("pos"), F.concat(F.lit("T"), F.col("id") % 4).alias("title"), F.when(F.col("id") % 3 == 0, "É").otherwise(F.lit("e")).alias("artist"))
+    none = F.lit(None)
+    track = F.struct("title", "artist", none.cast("string").alias("album"), F.col("ord").cast("string").alias("isrc"), none.cast("map<string,string>").alias("ids"))
+    return rows.groupBy("ord").agg(lb.in_order("pos", track).alias("tracks")).select("ord", F.concat(F.lit("l"), "ord").alias("slug"), F.lit("x").alias("name"), "tracks")
+
+
+def test_lab_makes_the_library_once(spark):
+    """And keys for each spelling, of which the first member's of all alike names the track."""
+    found = lab.open_lab(library(spark))
+    for df in (*found.values(), lab.q(spark, lab.COUNTS)):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert "collect_list" not in plan and "ArrowEvalPython" not in plan and "translate" not in plan
+    assert lab.q(spark, lab.COUNTS).first().asDict() == {"playlists": 6, "tracks": 4, "memberships": 60, "track_pairs": 2, "artist_pairs": 0}
+    want = {}
+    for r in sorted(library(spark).collect(), key=lambda r: r["ord"]):
+        for x in r["tracks"]:
+            want.setdefault(tx.lab_norm_text(x["title"]), (x["title"], x["artist"], x["isrc"]))
+    assert [(r["title"], r["artist"], r["isrc"]) for r in found["tracks"].orderBy("id").collect()] == list(want.values())
