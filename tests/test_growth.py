@@ -151,3 +151,11 @@ def test_lab_makes_the_library_once(spark):
         for x in r["tracks"]:
             want.setdefault(tx.lab_norm_text(x["title"]), (x["title"], x["artist"], x["isrc"]))
     assert [(r["title"], r["artist"], r["isrc"]) for r in found["tracks"].orderBy("id").collect()] == list(want.values())
+
+
+def test_lists_are_ordered_without_a_comparison_in_sql(spark):
+    """Ties keep the order in which they are met, members may have maps."""
+    rows = spark.createDataFrame([(3, {"a": 1}), (1, {"b": 2}), (2, None), (1, {"c": 3})], "p int, m map<string,int>").coalesce(1)
+    got = rows.agg(lb.in_order("p", "m").alias("l"))
+    assert got.first()["l"] == [{"b": 2}, {"c": 3}, None, {"a": 1}]
+    assert "sort_array" in got._jdf.queryExecution().optimizedPlan().toString()
